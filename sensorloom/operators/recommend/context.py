@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -74,9 +75,11 @@ def with_predictions(zones: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def build_context(
     zones: DataFrame, sensors: DataFrame, readings: DataFrame, alerts: DataFrame, as_of: Instant,
-    predictions: DataFrame | None = None, model_version: str = "unknown", settings: Settings = DEFAULTS,
+    predict: Callable[[DataFrame], DataFrame] | None = None, model_version: str = "unknown",
+    settings: Settings = DEFAULTS,
 ) -> Context:
+    """``predict`` maps the wide zone rows to predicted yields; without it no yield rule runs."""
     wide = zone_wide_view(zones, sensors, readings, as_of, settings)
-    if predictions is not None:
-        wide = with_predictions(wide, predictions)
+    if predict is not None:
+        wide = with_predictions(wide, predict(wide))
     return Context(wide, active_alerts(alerts, wide), model_version, settings)

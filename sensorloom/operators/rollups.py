@@ -11,7 +11,7 @@ from sensorloom.operators.joins import lookup_join
 from sensorloom.settings import DEFAULTS
 
 
-def _metrics(value: str) -> list:
+def rollup_metrics(value: str) -> list:
     return [
         F.min(value).cast("double").alias("min_value"),
         F.max(value).cast("double").alias("max_value"),
@@ -28,7 +28,7 @@ def hourly_rollup(clean: DataFrame, sensors: DataFrame) -> DataFrame:
     )
     return located.groupBy(
         "zone_id", "sensor_type", F.date_trunc("hour", "timestamp").alias("hour_utc")
-    ).agg(*_metrics("value"))
+    ).agg(*rollup_metrics("value"))
 
 
 def hourly_zone_metrics(hourly: DataFrame, dim_zone: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def daily_greenhouse_metrics(fact: DataFrame, dim_zone: DataFrame) -> DataFrame:
     return (
         lookup_join(usual, sites, "zone_id", spread_by=["reading_timestamp"])
         .groupBy("greenhouse_id", F.to_date("reading_timestamp").alias("metric_date"), "sensor_type")
-        .agg(*_metrics("reading_value"), F.count_if("is_outlier").alias("outlier_count"))
+        .agg(*rollup_metrics("reading_value"), F.count_if("is_outlier").alias("outlier_count"))
     )
 
 

@@ -454,7 +454,7 @@ def statements() -> dict[str, str]:
         "greenhouse_history": """SELECT id, sensor_id, "timestamp", CAST(value AS DOUBLE) AS value FROM windowed
             WHERE sensor_id IN (SELECT sensor_id FROM ranges WHERE greenhouse_id = 1 AND sensor_type = 'humidity')
             ORDER BY "timestamp" DESC, id DESC LIMIT 1000""",
-        "recent_topn": "SELECT * FROM recent WHERE rank <= 30",
+        "recent_topn": "SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM recent WHERE rank <= 30",
         "multi_window_stats": """SELECT r.sensor_id, w.h AS window_hours,
               min(CAST(r.value AS DOUBLE)) FILTER (r."timestamp" >= now - to_hours(w.h)) AS min_value,
               max(CAST(r.value AS DOUBLE)) FILTER (r."timestamp" >= now - to_hours(w.h)) AS max_value,
@@ -502,7 +502,7 @@ def statements() -> dict[str, str]:
         "alerts_list_total": "SELECT count(*) AS total FROM alerts WHERE severity = 'warning' AND status = 'resolved'",
         "recommendations_list": "SELECT * FROM recommendations WHERE priority = 'high' AND status = 'completed' ORDER BY created_at DESC, id DESC LIMIT 50",
         "recommendations_list_total": "SELECT count(*) AS total FROM recommendations WHERE priority = 'high' AND status = 'completed'",
-        "alert_banner": """SELECT greenhouse_id, severity, severity_count, position, id AS alert_id, message FROM (
+        "alert_banner": """SELECT greenhouse_id, severity, severity_count, CAST(position AS INTEGER) AS position, id AS alert_id, message FROM (
               SELECT *, count(*) OVER (PARTITION BY greenhouse_id, severity) AS severity_count,
                 ROW_NUMBER() OVER (PARTITION BY greenhouse_id, severity ORDER BY created_at DESC, id DESC) AS position
               FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY greenhouse_id ORDER BY created_at DESC, id DESC) AS rn

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,33 +24,34 @@ def write_metrics_json(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
 
-def write_table(frame: DataFrame, path: str, date_column: str | None = None, sort_by: tuple[str, ...] = ()) -> int:
-    """Replace a Parquet table and return the rows written, counted while writing.
-
-    With a date column the table is partitioned by it and only the dates in ``frame`` are
-    replaced. Rows go to their date's writers by date and a hash of their key, so that one
-    busy day is not written by one task; sorting lets readers skip row groups.
+def write_table(
+    frame: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (),
+    sort_by: Sequence[str] = (),
+    replace: str = "table",
+    writers: int = 16,
+) -> int:
+    """Write a Parquet table and return its row count, observed while writing.
+
+    ``replace`` is ``table`` for a full refresh or ``partitions`` to replace only the
+    partitions that occur in the frame, which also makes a repeated write harmless.
+    Each partition value is written by up to ``writers`` tasks, so one busy date is not
+    one task, and rows are sorted so that readers can skip row groups.
     """
+    mode = {"table": "static", "partitions": "dynamic"}[replace]
     seen = Observation()
-    observed = frame.observe(seen, F.count(F.lit(1)).alias("rows"))
-    writer_columns = [date_column, *sort_by[:1]] if date_column else list(sort_by[:1])
-    if writer_columns:
-        spread = F.pmod(F.xxhash64(*(sort_by or writer_columns)), F.lit(16))
-        observed = observed.withColumn("_spread", spread)
-        keys = [*([date_column] if date_column else []), "_spread"]
-        observed = observed.repartition(*keys).drop("_spread")
-        observed = observed.sortWithinPartitions(*([date_column] if date_column else []), *sort_by)
-    writer = observed.write.mode("overwrite")
-    if date_column:
-        writer = writer.partitionBy(date_column).option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    rows = frame.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if partition_by:
+        spread = F.pmod(F.xxhash64(*(sort_by or frame.columns)), F.lit(writers)).alias("_writer")
+        rows = rows.repartition(*partition_by, spread)
+    if partition_by or sort_by:
+        rows = rows.sortWithinPartitions(*partition_by, *sort_by)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", mode)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return int(seen.get["rows"])
 
 
-def append_table(frame: DataFrame, path: str, *partition_columns: str) -> None:
-    frame.write.mode("append").partitionBy(*partition_columns).parquet(path)
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
