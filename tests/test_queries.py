@@ -1,0 +1,181 @@
+"""Lookups, overviews, roll-ups, models and quality checks on literal rows."""
+
+from datetime import date
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from sensorloom.operators import cleaning, history, models, overview, quality, rollups
+from tests.conftest import DAY, NOON, hours, minutes
+
+
+@pytest.fixture(scope="module")
+def site(fleet):
+    return {
+        "greenhouses": fleet.greenhouses(1, 2),
+        "zones": fleet.zones(1, 2),
+        "sensors": fleet.sensors((1, 1, "temperature"), (2, 1, "humidity"), (3, 1, "co2"), (4, 2, "temperature")),
+        "readings": fleet.readings(
+            (1, hours(2), 20.0), (1, hours(1), 22.0), (1, NOON, 24.0), (2, minutes(5), 95.0), (3, minutes(5), 3000.0)
+        ),
+    }
+
+
+def test_aggregation_triple(site):
+    row = history.sensor_stats(site["readings"], hours(24), NOON).filter("sensor_id = 1").first()
+    assert (row.reading_count, row.min_value, row.max_value, row.avg_value, row.current_value) == (3, 20.0, 24.0, 22.0, 24.0)
+
+
+def test_summary_keeps_sensors_without_data(site):
+    found = {
+        r.sensor_id: r
+        for r in overview.sensor_summary(site["sensors"], site["zones"], site["readings"], hours(24), NOON).collect()
+    }
+    assert (found[1].status, found[1].deviation_percent) == ("normal", 0.0)
+    assert (found[2].status, found[2].deviation_percent) == ("critical", 75.0)
+    # a CO2 sensor has no zone target, so its summary status stays unknown
+    assert (found[3].status, found[3].current_value, found[3].target_min) == ("unknown", 3000.0, None)
+    assert (found[4].status, found[4].current_value, found[4].reading_count) == ("unknown", None, 0)
+
+
+def test_overviews(site, fleet):
+    summaries = overview.sensor_summary(site["sensors"], site["zones"], site["readings"], hours(24), NOON)
+    zones = overview.zone_overview(site["zones"], summaries)
+    assert {r.zone_id: (r.overall_status, r.sensor_count) for r in zones.collect()} == {1: ("critical", 3), 2: ("unknown", 1)}
+    alerts = fleet.alerts({}, {"severity": "critical", "status": "acknowledged"}, {"status": "resolved", "severity": "critical"})
+    recs = fleet.recommendations({}, {"priority": "low"}, {"priority": "critical", "status": "dismissed"})
+    counts = overview.open_counts(site["greenhouses"], alerts, recs)
+    found = {r.greenhouse_id: r for r in overview.greenhouse_overview(site["greenhouses"], zones, counts, hours(24), NOON).collect()}
+    assert found[1].overall_status == "critical" and found[2].overall_status == "unknown"
+    assert (found[1].open_alerts_count, found[1].critical_alerts_count) == (2, 1)
+    assert (found[1].open_recommendations_count, found[1].high_priority_recommendations_count) == (2, 1)
+    assert (found[2].zone_count, found[2].open_alerts_count) == (0, 0)
+    kpis = overview.fleet_kpis(summaries, counts).first()
+    assert (kpis.active_sensors, kpis.warning_count, kpis.critical_count, kpis.open_alerts) == (3, 0, 1, 2)
+    assert (kpis.avg_temperature, kpis.avg_humidity, kpis.avg_soil_moisture) == (24.0, 95.0, None)
+    documents = {r.zone_id: r for r in overview.zone_documents(site["zones"], summaries).collect()}
+    assert [s.sensor_id for s in documents[1].readings] == [1, 2, 3]
+
+
+def test_topology_keeps_empty_levels_and_nests(site, fleet):
+    zones = fleet.zones(1, 2, 3)
+    flat = overview.topology(site["greenhouses"], zones, site["sensors"])
+    found = {(r.greenhouse_id, r.zone_id): [s.id for s in r.sensors] for r in flat.collect()}
+    assert found == {(1, 1): [1, 2, 3], (1, 2): [4], (1, 3): [], (2, None): []}
+    site_columns = ["greenhouse_id", "greenhouse_name", "location", "status"]
+    nested = {r.greenhouse_id: r for r in overview.site_documents(flat, site_columns).collect()}
+    assert [z.zone_id for z in nested[1].zones] == [1, 2, 3] and nested[2].zones == []
+    assert [s.sensor_type for s in nested[1].zones[0].sensors] == ["temperature", "humidity", "co2"]
+    with pytest.raises(PySparkException, match="too large"):
+        overview.site_documents(flat, site_columns, most_zones=2).collect()
+
+
+def test_history_pages(site):
+    page = history.sensor_history(site["readings"], site["sensors"], 1, limit=2, offset=1)
+    assert [r.value for r in page.collect()] == [22.0, 20.0]
+    bounded = history.sensor_history(site["readings"], site["sensors"], 1, hours(2), hours(1))
+    assert bounded.count() == 2
+    assert history.sensor_history(site["readings"], site["sensors"], 99).count() == 0
+    both = history.greenhouse_history(site["readings"], site["sensors"], site["zones"], 1)
+    assert both.count() == 5
+    assert history.greenhouse_history(site["readings"], site["sensors"], site["zones"], 1, "humidity").count() == 1
+    assert history.greenhouse_history(site["readings"], site["sensors"], site["zones"], 7).count() == 0
+    with pytest.raises(ValueError):
+        history.sensor_history(site["readings"], site["sensors"], 1, NOON, hours(1))
+    with pytest.raises(ValueError):
+        history.sensor_history(site["readings"], site["sensors"], 1, limit=10_001)
+
+
+def test_latest_and_windows(site):
+    latest = {r.sensor_id: r.value for r in history.latest_readings(site["readings"], site["sensors"], site["zones"], 1).collect()}
+    assert latest == {1: 24.0, 2: 95.0, 3: 3000.0}
+    rows = {
+        (r.sensor_id, r.window_hours): (r.min_value, r.max_value, r.avg_value, r.latest_value, r.reading_count)
+        for r in history.multi_window_stats(site["readings"], NOON, (1, 6)).collect()
+    }
+    assert rows[1, 1] == (22.0, 24.0, 23.0, 24.0, 2)
+    assert rows[1, 6] == (20.0, 24.0, 22.0, 24.0, 3)
+    assert history.readings_total(site["readings"]).first()[0] == 5
+
+
+def test_recent_rows_are_limited_before_the_exchange(site, capsys):
+    history.recent_readings(site["readings"], NOON, 24, 2).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_listing(fleet):
+    alerts = fleet.alerts({}, {"severity": "info"}, {"created_at": NOON}, {"greenhouse_id": 2})
+    assert [r.id for r in overview.listing(alerts).collect()] == [3, 4, 2, 1]
+    assert [r.id for r in overview.listing(alerts, greenhouse_id=1, severity="warning").collect()] == [3, 1]
+    assert [r.id for r in overview.listing(alerts, limit=1, offset=1).collect()] == [4]
+    assert overview.listing_total(alerts, greenhouse_id=1).first().total == 3
+    with pytest.raises(ValueError):
+        overview.listing(alerts, limit=501)
+
+
+def test_banner_looks_at_the_newest_ten(fleet):
+    rows = [{"severity": "critical", "created_at": hours(i)} for i in range(12)] + [{"severity": "warning", "created_at": hours(40)}]
+    found = overview.alert_banner(fleet.alerts(*rows)).orderBy("position").collect()
+    assert [(r.severity, r.severity_count, r.alert_id) for r in found] == [("critical", 10, i) for i in (1, 2, 3)]
+
+
+def test_rollups_and_marts(site, fleet):
+    readings = fleet.readings((1, hours(2), 20.0), (1, hours(2).replace(minute=30), 22.0), (4, hours(1), 30.0), (1, hours(30), 10.0))
+    clean = cleaning.clean_readings(readings, site["sensors"])
+    flagged = clean.withColumn("is_outlier", F.col("value") == 30.0)
+    hourly = {(r.zone_id, r.hour_utc.hour, r.hour_utc.day): r for r in rollups.hourly_rollup(flagged, site["sensors"]).collect()}
+    assert set(hourly) == {(1, 10, 1), (1, 6, 31)}
+    row = hourly[1, 10, 1]
+    assert (row.min_value, row.max_value, row.avg_value, row.std_value, row.sample_count) == (20.0, 22.0, 21.0, 1.0, 2)
+    staged = models.stg_sensor_readings(flagged)
+    zones = models.stg_zones(site["zones"])
+    fact = models.fact_sensor_readings(staged, models.stg_sensors(site["sensors"]), zones)
+    assert fact.count() == 4
+    daily = {(r.metric_date, r.sensor_type): r for r in rollups.daily_greenhouse_metrics(fact, models.dim_zone(zones)).collect()}
+    assert daily[date(2020, 6, 1), "temperature"].sample_count == 2
+    assert {r.outlier_count for r in daily.values()} == {0}
+    health = {r.sensor_id: r for r in rollups.sensor_health_summary(fact, hours(1)).collect()}
+    assert (health[4].outlier_readings, float(health[4].outlier_pct), health[4].is_reporting) == (1, 100.0, True)
+    assert not health[1].is_reporting
+    days = models.dim_date(staged).orderBy("date_day").collect()
+    assert [(r.date_day, r.day_of_week, r.week_of_year) for r in days] == [(date(2020, 5, 31), 0, 22), (date(2020, 6, 1), 1, 23)]
+
+
+def violations(check):
+    row = check.first()
+    assert row.passed == (row.violations == 0)
+    return row.violations
+
+
+def test_quality_checks(site, fleet):
+    readings, sensors = site["readings"], site["sensors"]
+    assert violations(quality.fresh_readings(readings, NOON)) == 0
+    assert violations(quality.fresh_readings(readings, NOON.replace(hour=18))) == 1
+    assert violations(quality.no_ingestion_gap(readings, NOON.replace(hour=13))) == 0
+    assert violations(quality.no_ingestion_gap(readings, NOON.replace(hour=18))) == 1
+    assert violations(quality.no_ingestion_gap(readings.limit(0), NOON)) == 1
+    twice = fleet.readings((1, DAY, 1.0), (1, DAY, 2.0), (1, DAY, 3.0), (9, DAY, 3.0), (9, NOON, 3.0))
+    assert violations(quality.no_duplicates(twice)) == 1
+    assert violations(quality.no_orphans(twice, sensors)) == 2
+    odd = fleet.readings((1, DAY, 81.0), (2, DAY, 100.0), (3, DAY, -1.0), (4, DAY, -50.0))
+    assert violations(quality.no_impossible_values(odd, sensors)) == 2
+    bright = fleet.sensors((1, 1, "light"))
+    assert violations(quality.no_impossible_values(fleet.readings((1, DAY, 999999.0)), bright)) == 0
+    assert violations(quality.unique(twice, ["sensor_id"], "x")) == 2
+    assert violations(quality.not_null(fleet.readings((None, DAY, None)), ["sensor_id", "value", "id"], "x")) == 2
+    assert violations(quality.relationships(sensors, "zone_id", fleet.zones(1), "id", "x")) == 1
+    assert violations(quality.accepted_values(sensors, "sensor_type", ("temperature",), "x")) == 2
+    assert violations(quality.ordered_targets(fleet.zones(1, 2, humidity=(80, 80)))) == 2
+    assert violations(quality.one_active_alert(fleet.alerts({}, {"status": "acknowledged"}, {"status": "resolved"}))) == 1
+    assert violations(quality.one_open_recommendation(fleet.recommendations({"zone_id": None}, {"zone_id": None}, {}))) == 1
+
+
+def test_the_gate_raises(site, fleet):
+    quality.enforce_raw_gate(site["readings"].filter("sensor_id = 1"), site["sensors"], NOON)
+    with pytest.raises(quality.QualityError, match="fresh_readings: 1"):
+        quality.enforce_raw_gate(site["readings"], site["sensors"], NOON.replace(hour=20))
+    bad = fleet.readings((1, NOON, 99.0), (9, NOON, 1.0))
+    with pytest.raises(quality.QualityError, match="no_orphans: 1; no_impossible_values: 1"):
+        quality.enforce_raw_gate(bad, site["sensors"], NOON)
