@@ -2,53 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+_SPLITTER = "134217729D"  # 2**27 + 1: halves a double's mantissa without loss
 
-_SPLITTER = 134217729.0  # 2**27 + 1: halves a double's mantissa without loss
 
-
-def nearest(x: Column, digits: int) -> Column:
+def nearest(x: str, digits: int) -> str:
     """Round a double to ``digits`` places by its binary value, ties to even.
 
-    Built-in rounding works on the shortest decimal text of a double, where
-    2.675 is a tie; its stored value is just below, so the result here is 2.67.
-    ``scaled`` may only look like a tie, hence the exact product error decides.
+    Built-in rounding works on the shortest decimal text of a double, where 2.675 is a
+    tie; its stored value is just below, so the result here is 2.67. The scaled value may
+    only look like a tie, hence the exact error of the product decides.
     """
-    scale = float(10**digits)
-    scaled = x * scale
-    high = (x * _SPLITTER) - ((x * _SPLITTER) - x)
-    error = (high * scale - scaled) + (x - high) * scale
-    below = F.floor(scaled).cast("double")
-    part = scaled - below
-    even = below + F.pmod(below, F.lit(2.0))
-    rounded = (
-        F.when((part > 0.5) | ((part == 0.5) & (error > 0)), below + 1.0)
-        .when((part < 0.5) | (error < 0), below)
-        .otherwise(even)
+    scale = f"{10**digits}D"
+    scaled = f"(({x}) * {scale})"
+    high = f"(({x}) * {_SPLITTER} - (({x}) * {_SPLITTER} - ({x})))"
+    error = f"({high} * {scale} - {scaled} + (({x}) - {high}) * {scale})"
+    below = f"CAST(floor({scaled}) AS DOUBLE)"
+    part = f"({scaled} - {below})"
+    return (
+        f"(CASE WHEN {part} > 0.5D OR ({part} = 0.5D AND {error} > 0) THEN {below} + 1 "
+        f"WHEN {part} < 0.5D OR {error} < 0 THEN {below} "
+        f"ELSE {below} + pmod({below}, 2D) END / {scale})"
     )
-    return rounded / scale
 
 
-def exact_mean(value: Column) -> Column:
+def exact_mean(value: str) -> str:
     """Average of 4-decimal measurements, the same for any partitioning.
 
-    Floating sums depend on the order partial results are merged in; a retried
-    task could then publish another number. A decimal sum cannot.
+    Floating sums depend on the order partial results are merged in; a retried task could
+    then publish another number. A decimal sum cannot.
     """
-    return F.sum(value.cast("decimal(12,4)")).cast("double") / F.count(value)
+    return f"CAST(sum(CAST({value} AS DECIMAL(12,4))) AS DOUBLE) / nullif(count({value}), 0)"
 
 
-def or_default(value: Column, default) -> Column:
+def or_default(value: str, default: float) -> str:
     """``value``, or the default where it is null or zero."""
-    return F.coalesce(F.nullif(value, F.lit(0.0)), F.lit(default))
+    return f"coalesce(nullif({value}, 0D), {default}D)"
 
 
-def at_least_zero(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), value)
+def at_least_zero(value: str) -> str:
+    return f"greatest(0D, {value})"
 
 
-def percent_of(part: Column, whole: Column) -> Column:
+def percent_of(part: str, whole: str) -> str:
     """part / whole * 100 in decimals, two places, half up; null when whole is 0."""
-    ratio = part.cast("decimal(20,0)") / F.nullif(whole, F.lit(0))
-    return F.round(ratio * 100, 2)
+    return f"round(CAST({part} AS DECIMAL(20,0)) / nullif({whole}, 0) * 100, 2)"

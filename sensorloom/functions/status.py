@@ -2,63 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from sensorloom.functions.numeric import nearest
 from sensorloom.schemas import ENVIRONMENT_STATUSES
 from sensorloom.settings import DEFAULTS
 
 
-def _distance(value: Column, low: Column, high: Column) -> Column:
-    return F.when(value < low, low - value).otherwise(value - high)
-
+def _distance(value: str, low: str, high: str) -> str:
+    return f"(CASE WHEN {value} < {low} THEN {low} - {value} ELSE {value} - {high} END)"
 
-def _is_known(value: Column, low: Column, high: Column) -> Column:
-    return value.isNotNull() & low.isNotNull() & high.isNotNull()
 
+def status_of(value: str, low: str, high: str, tolerance_percent: float = DEFAULTS.warning_tolerance_percent) -> str:
+    """normal inside the range, warning within the tolerance of the span, else critical.
 
-def status_of(
-    value: Column,
-    low: Column,
-    high: Column,
-    tolerance_percent: float = DEFAULTS.warning_tolerance_percent,
-) -> Column:
-    """normal inside the range, warning within the tolerance of the span, else critical."""
-    span = high - low
-    tolerance = span * tolerance_percent / 100.0
+    A missing value or range is unknown, and so is a value outside an empty range.
+    """
+    span = f"({high} - {low})"
     return (
-        F.when(~_is_known(value, low, high), "unknown")
-        .when(value.between(low, high), "normal")
-        .when(span <= 0, "unknown")
-        .when(_distance(value, low, high) <= tolerance, "warning")
-        .otherwise("critical")
+        f"CASE WHEN {value} IS NULL OR {low} IS NULL OR {high} IS NULL THEN 'unknown' "
+        f"WHEN {value} BETWEEN {low} AND {high} THEN 'normal' "
+        f"WHEN {span} <= 0 THEN 'unknown' "
+        f"WHEN {_distance(value, low, high)} <= {span} * {float(tolerance_percent)}D / 100D THEN 'warning' "
+        f"ELSE 'critical' END"
     )
 
 
-def deviation_percent(value: Column, low: Column, high: Column) -> Column:
+def deviation_percent(value: str, low: str, high: str) -> str:
     """Signed distance outside the range in percent of its span; negative is below."""
-    span = high - low
-    share = (_distance(value, low, high) / F.nullif(span, F.lit(0.0))) * 100.0
-    signed = F.when(value < low, -share).otherwise(share)
+    span = f"({high} - {low})"
+    signed = (
+        f"(CASE WHEN {value} < {low} THEN -(({low} - {value}) / {span}) ELSE ({value} - {high}) / {span} END * 100D)"
+    )
     return (
-        F.when(~_is_known(value, low, high), F.lit(None).cast("double"))
-        .when(value.between(low, high), F.lit(0.0))
-        .when(span <= 0, F.lit(None).cast("double"))
-        .otherwise(nearest(signed, 2))
+        f"CASE WHEN {value} IS NULL OR {low} IS NULL OR {high} IS NULL THEN CAST(NULL AS DOUBLE) "
+        f"WHEN {value} BETWEEN {low} AND {high} THEN 0D "
+        f"WHEN {span} <= 0 THEN CAST(NULL AS DOUBLE) "
+        f"ELSE {nearest(signed, 2)} END"
     )
 
 
-def severity_rank(status: Column) -> Column:
-    ranks = [x for i, s in enumerate(ENVIRONMENT_STATUSES) for x in (F.lit(s), F.lit(i))]
-    return F.create_map(*ranks)[status]
-
-
-def status_from_rank(rank: Column) -> Column:
-    names = F.array(*[F.lit(s) for s in ENVIRONMENT_STATUSES])
-    return F.element_at(names, F.coalesce(rank, F.lit(0)) + 1)
-
-
-def worst_status(status: Column) -> Column:
+def worst_status(status: str) -> str:
     """Aggregate: the most severe status of a group, unknown when there is none."""
-    return status_from_rank(F.max(severity_rank(status)))
+    names = ", ".join(f"'{name}'" for name in ENVIRONMENT_STATUSES)
+    return f"element_at(array({names}), CAST(coalesce(max(array_position(array({names}), {status})), 1) AS INT))"

@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import re
 
 from sensorloom.functions.numeric import nearest
 
 
-def label(name: Column) -> Column:
+def quoted(text: str) -> str:
+    """A string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def sentence(template: str, **parts: str) -> str:
+    """Text with ``{name}`` places filled by expressions; null when any of them is."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    texts = [quoted(p) if i % 2 == 0 else f"CAST({parts[p]} AS STRING)" for i, p in enumerate(pieces) if p]
+    return f"concat({', '.join(texts)})"
+
+
+def label(name: str) -> str:
     """soil_moisture becomes Soil Moisture."""
-    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    return f"initcap(replace({name}, '_', ' '))"
 
 
-def decimal_text(value: Column) -> Column:
+def decimal_text(value: str) -> str:
     """A 4-decimal number as plain digits with one decimal at least: 18.0, 26.55."""
-    digits = value.cast("decimal(38,4)").cast("string")
-    return F.regexp_replace(digits, "0{1,3}$", "")
+    return f"regexp_replace(CAST(CAST({value} AS DECIMAL(38,4)) AS STRING), '0{{1,3}}$', '')"
 
 
-def fixed(value: Column, digits: int) -> Column:
-    """Fixed number of decimals, rounded by binary value."""
-    return F.format_string(f"%.{digits}f", nearest(value, digits))
+def fixed(value: str, digits: int) -> str:
+    """Fixed number of decimals, rounded by binary value; null stays null."""
+    return f"CASE WHEN ({value}) IS NOT NULL THEN format_string('%.{digits}f', {nearest(value, digits)}) END"
 
 
-def compact(value: Column, unit: str = "") -> Column:
+def compact(value: str, unit: str = "") -> str:
     """Two decimals at most, no trailing zeros, then the unit."""
-    return F.concat(F.regexp_replace(fixed(value, 2), r"\.?0+$", ""), F.lit(unit))
+    return f"concat(regexp_replace({fixed(value, 2)}, '[.]?0+$', ''), {quoted(unit)})"
 
 
-def whole_minutes(newest: Column, oldest: Column) -> Column:
+def whole_minutes(newest: str, oldest: str) -> str:
     """Whole minutes between two timestamps, one at least."""
-    micros = F.unix_micros(newest) - F.unix_micros(oldest)
-    return F.greatest(F.lit(1), F.floor(micros / F.lit(60_000_000)).cast("long"))
+    return f"greatest(1L, CAST(floor((unix_micros({newest}) - unix_micros({oldest})) / 60000000D) AS BIGINT))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.numeric import nearest
 from sensorloom.functions.status import status_of
-from sensorloom.functions.text import decimal_text, fixed, label
+from sensorloom.functions.text import decimal_text, fixed, label, sentence
 from sensorloom.functions.time import Instant, instant
 from sensorloom.operators.anomaly import anomaly_latest
 from sensorloom.operators.history import latest_per_sensor
@@ -25,32 +25,29 @@ def threshold_evaluation(
     sensors: DataFrame, zones: DataFrame, readings: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """Both threshold types of every sensor that has a reading and a range."""
-    value, low, high = F.col("value"), F.col("range_min"), F.col("range_max")
-    status = status_of(value, low, high, settings.warning_tolerance_percent)
-    ranged = resolved_ranges(sensors, zones, settings).filter(low.isNotNull() & high.isNotNull())
-    latest = ranged.join(latest_per_sensor(readings), "sensor_id").withColumn("status", status)
-    outside = F.col("status").isin("warning", "critical")
-
-    def side(alert_type: str, fires: Column, word: str, limit: Column) -> Column:
-        text = F.concat(
-            label(F.col("sensor_type")), F.lit(" "), decimal_text(value), F.col("unit"),
-            F.lit(f" is {word} target "), decimal_text(limit), F.col("unit"),
+    status = status_of("value", "range_min", "range_max", settings.warning_tolerance_percent)
+    ranged = resolved_ranges(sensors, zones, settings).filter("range_min IS NOT NULL AND range_max IS NOT NULL")
+    latest = ranged.join(latest_per_sensor(readings), "sensor_id").withColumn("status", F.expr(status))
+    outside = "status IN ('warning', 'critical')"
+
+    def side(alert_type: str, beyond: str, word: str, limit: str) -> str:
+        fires = f"({outside} AND {beyond})"
+        text = sentence(
+            f"{{kind}} {{value}}{{unit}} is {word} target {{limit}}{{unit}}",
+            kind=label("sensor_type"), value=decimal_text("value"), unit="unit", limit=decimal_text(limit),
         )
-        return F.struct(
-            F.lit(alert_type).alias("alert_type"),
-            fires.alias("fired"),
-            F.when(fires, F.col("status")).alias("severity"),
-            F.when(fires, text).alias("message"),
+        return (
+            f"named_struct('alert_type', '{alert_type}', 'fired', {fires}, "
+            f"'severity', if({fires}, status, NULL), 'message', if({fires}, {text}, NULL))"
         )
 
-    above = outside & (value > high)
-    sides = F.array(
-        side("threshold_high", above, "above", high),
-        side("threshold_low", outside & ~(value > high), "below", low),
+    above = side("threshold_high", "value > range_max", "above", "range_max")
+    below = side("threshold_low", "NOT value > range_max", "below", "range_min")
+    threshold = sentence(
+        "{low}–{high} {unit}", low=decimal_text("range_min"), high=decimal_text("range_max"), unit="unit"
     )
-    threshold = F.concat(decimal_text(low), F.lit("–"), decimal_text(high), F.lit(" "), F.col("unit"))
-    return latest.select(
-        "sensor_id", "greenhouse_id", "zone_id", "value", threshold.alias("threshold"), F.inline(sides)
+    return latest.selectExpr(
+        "sensor_id", "greenhouse_id", "zone_id", "value", f"{threshold} AS threshold", f"inline(array({above}, {below}))"
     ).select(*EVALUATION)
 
 
@@ -60,21 +57,20 @@ def anomaly_evaluation(
 ) -> DataFrame:
     """The anomaly type of every sensor with a recent reading."""
     verdicts = anomaly_latest(readings, as_of, settings, detector)
-    text = F.concat(
-        label(F.col("sensor_type")), F.lit(" "), decimal_text(F.col("current_value")), F.col("unit"),
-        F.lit(" is a statistical anomaly (z="), fixed(F.col("z_score"), 2), F.lit(")"),
+    text = sentence(
+        "{kind} {value}{unit} is a statistical anomaly (z={z})",
+        kind=label("sensor_type"), value=decimal_text("current_value"), unit="unit", z=fixed("z_score", 2),
     )
-    fired = F.col("is_anomaly")
-    return verdicts.join(placed_sensors(sensors, zones), "sensor_id").select(
+    return verdicts.join(placed_sensors(sensors, zones), "sensor_id").selectExpr(
         "sensor_id",
-        F.lit("anomaly").alias("alert_type"),
-        fired.alias("fired"),
+        "'anomaly' AS alert_type",
+        "is_anomaly AS fired",
         "greenhouse_id",
         "zone_id",
-        F.when(fired, "warning").alias("severity"),
-        F.when(fired, text).alias("message"),
-        F.coalesce("current_value", F.lit(0.0)).alias("value"),
-        F.lit(f"z>{float(settings.anomaly_z)}").alias("threshold"),
+        "if(is_anomaly, 'warning', NULL) AS severity",
+        f"if(is_anomaly, {text}, NULL) AS message",
+        "coalesce(current_value, 0D) AS value",
+        f"'z>{float(settings.anomaly_z)}' AS threshold",
     )
 
 
@@ -118,7 +114,7 @@ def alert_reconcile(alerts: DataFrame, evaluation: DataFrame, as_of: Instant) ->
     def evolving(name: str, value: Column | None = None) -> Column:
         return F.when(fires, F.col(f"e.{name}") if value is None else value).otherwise(F.col(f"a.{name}")).alias(name)
 
-    value = nearest(F.col("e.value"), 4).cast("decimal(12,4)")
+    value = F.expr(f"CAST({nearest('e.value', 4)} AS DECIMAL(12,4))")
     return joined.withColumn("action", action).filter(F.col("action").isNotNull()).select(
         F.when(is_new, new_id).otherwise(F.col("a.id")).alias("id"),
         F.coalesce("a.greenhouse_id", "e.greenhouse_id").alias("greenhouse_id"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.numeric import exact_mean
-from sensorloom.functions.time import Instant, between, check_order, hours_before
+from sensorloom.functions.time import Instant, between, check_order, hours_before, instant
 from sensorloom.operators.joins import lookup_join
 
 
@@ -96,7 +96,7 @@ def sensor_stats(readings: DataFrame, start: Instant, end: Instant) -> DataFrame
         F.max_by(value, "timestamp").alias("current_value"),
         F.min(value).alias("min_value"),
         F.max(value).alias("max_value"),
-        exact_mean(F.col("value")).alias("avg_value"),
+        F.expr(exact_mean("value")).alias("avg_value"),
         F.count(F.lit(1)).alias("reading_count"),
         F.max("timestamp").alias("last_updated"),
     )
@@ -123,29 +123,22 @@ def recent_readings(readings: DataFrame, as_of: Instant, max_age_hours: int, row
 
 def multi_window_stats(readings: DataFrame, as_of: Instant, hours: tuple[int, ...] = (1, 6, 24, 168)) -> DataFrame:
     """Min, max, average and latest per sensor over several trailing windows, in one pass."""
-    age = {h: F.col("timestamp") >= hours_before(as_of, h) for h in hours}
-    recent = readings.filter(age[max(hours)])
-    value = F.col("value").cast("double")
-    aggregates = []
+    recent = readings.select(
+        "sensor_id", "timestamp", F.col("value").cast("double").alias("value"), instant(as_of).alias("as_of")
+    ).filter(F.col("timestamp") >= hours_before(as_of, max(hours)))
+    aggregates, windows = [], []
     for h in hours:
-        inside = F.when(age[h], value)
-        aggregates += [
-            F.min(inside).alias(f"min_{h}"),
-            F.max(inside).alias(f"max_{h}"),
-            exact_mean(F.when(age[h], F.col("value"))).alias(f"avg_{h}"),
-            F.max_by(inside, F.when(age[h], F.col("timestamp"))).alias(f"latest_{h}"),
-            F.count(inside).alias(f"count_{h}"),
-        ]
+        inside = f"timestamp >= as_of - INTERVAL {h} HOURS"
+        value = f"if({inside}, value, NULL)"
+        columns = {
+            "min_value": f"min({value})",
+            "max_value": f"max({value})",
+            "avg_value": exact_mean(value),
+            "latest_value": f"max_by({value}, if({inside}, timestamp, NULL))",
+            "reading_count": f"count({value})",
+        }
+        aggregates += [F.expr(f"{text} AS {name}_{h}") for name, text in columns.items()]
+        fields = ", ".join(f"'{name}', {name}_{h}" for name in columns)
+        windows.append(f"named_struct('window_hours', {h}, {fields})")
     wide = recent.groupBy("sensor_id").agg(*aggregates)
-    windows = F.array(*[
-        F.struct(
-            F.lit(h).alias("window_hours"),
-            F.col(f"min_{h}").alias("min_value"),
-            F.col(f"max_{h}").alias("max_value"),
-            F.col(f"avg_{h}").alias("avg_value"),
-            F.col(f"latest_{h}").alias("latest_value"),
-            F.col(f"count_{h}").alias("reading_count"),
-        )
-        for h in hours
-    ])
-    return wide.select("sensor_id", F.inline(windows))
+    return wide.selectExpr("sensor_id", f"inline(array({', '.join(windows)}))")

@@ -20,43 +20,38 @@ TARGETED_TYPES = ("temperature", "humidity", "soil_moisture")
 
 def zone_targets_long(zones: DataFrame) -> DataFrame:
     """One row per zone and targeted sensor type."""
-    targets = F.array(*[
-        F.struct(
-            F.lit(kind).alias("sensor_type"),
-            F.col(f"target_{kind}_min").cast("double").alias("target_min"),
-            F.col(f"target_{kind}_max").cast("double").alias("target_max"),
-        )
-        for kind in TARGETED_TYPES
-    ])
-    return zones.select(F.col("id").alias("zone_id"), "greenhouse_id", F.inline(targets))
+    rows = ", ".join(
+        f"'{kind}', CAST(target_{kind}_min AS DOUBLE), CAST(target_{kind}_max AS DOUBLE)" for kind in TARGETED_TYPES
+    )
+    unpivoted = f"stack({len(TARGETED_TYPES)}, {rows}) AS (sensor_type, target_min, target_max)"
+    return zones.selectExpr("id AS zone_id", "greenhouse_id", unpivoted)
 
 
-def _target(bound: str):
-    cases = [
-        F.when(F.col("sensor_type") == kind, F.col(f"target_{kind}_{bound}").cast("double")) for kind in TARGETED_TYPES
-    ]
-    return F.coalesce(*cases)
+def _target(bound: str) -> str:
+    cases = " ".join(f"WHEN '{kind}' THEN CAST(target_{kind}_{bound} AS DOUBLE)" for kind in TARGETED_TYPES)
+    return f"CASE sensor_type {cases} END AS target_{bound}"
 
 
 def placed_sensors(sensors: DataFrame, zones: DataFrame) -> DataFrame:
     """Sensors with their zone's site and the zone's target for their type."""
     places = zones.withColumnRenamed("id", "zone_id").drop("name", "crop_type")
-    return sensors.select(F.col("id").alias("sensor_id"), "zone_id", "sensor_type", "unit").join(
+    return sensors.selectExpr("id AS sensor_id", "zone_id", "sensor_type", "unit").join(
         places, "zone_id"
-    ).select(
-        "sensor_id", "zone_id", "greenhouse_id", "sensor_type", "unit",
-        _target("min").alias("target_min"), _target("max").alias("target_max"),
-    )
+    ).selectExpr("sensor_id", "zone_id", "greenhouse_id", "sensor_type", "unit", _target("min"), _target("max"))
 
 
 def resolved_ranges(sensors: DataFrame, zones: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """The range a sensor alerts on: the zone's when complete, else the CO2 range, else none."""
-    complete = F.col("target_min").isNotNull() & F.col("target_max").isNotNull()
-    is_co2 = F.col("sensor_type") == "co2"
-    return placed_sensors(sensors, zones).select(
+
+    def bound(name: str, co2: float) -> str:
+        return (
+            f"CASE WHEN target_min IS NOT NULL AND target_max IS NOT NULL THEN target_{name} "
+            f"WHEN sensor_type = 'co2' THEN {float(co2)}D END AS range_{name}"
+        )
+
+    return placed_sensors(sensors, zones).selectExpr(
         "sensor_id", "zone_id", "greenhouse_id", "sensor_type", "unit",
-        F.when(complete, F.col("target_min")).when(is_co2, F.lit(settings.co2_min_ppm)).alias("range_min"),
-        F.when(complete, F.col("target_max")).when(is_co2, F.lit(settings.co2_max_ppm)).alias("range_max"),
+        bound("min", settings.co2_min_ppm), bound("max", settings.co2_max_ppm),
     )
 
 
@@ -65,17 +60,17 @@ def sensor_summary(
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Every sensor with its window statistics and status; sensors without data stay."""
-    value, low, high = F.col("current_value"), F.col("target_min"), F.col("target_max")
+    measured = "current_value", "target_min", "target_max"
     return (
         placed_sensors(sensors, zones)
         .join(sensor_stats(readings, start, end), "sensor_id", "left")
-        .select(
+        .selectExpr(
             "sensor_id", "zone_id", "greenhouse_id", "sensor_type", "unit",
             "current_value", "last_updated", "min_value", "max_value", "avg_value",
-            F.coalesce("reading_count", F.lit(0)).alias("reading_count"),
-            status_of(value, low, high, settings.warning_tolerance_percent).alias("status"),
+            "coalesce(reading_count, 0) AS reading_count",
+            f"{status_of(*measured, settings.warning_tolerance_percent)} AS status",
             "target_min", "target_max",
-            deviation_percent(value, low, high).alias("deviation_percent"),
+            f"{deviation_percent(*measured)} AS deviation_percent",
         )
     )
 
@@ -83,7 +78,7 @@ def sensor_summary(
 def zone_overview(zones: DataFrame, summaries: DataFrame) -> DataFrame:
     """Every zone with the worst status of its sensors."""
     worst = summaries.groupBy("zone_id").agg(
-        worst_status(F.col("status")).alias("worst"), F.count(F.lit(1)).alias("sensor_count")
+        F.expr(worst_status("status")).alias("worst"), F.count(F.lit(1)).alias("sensor_count")
     )
     return zones.withColumnRenamed("id", "zone_id").join(worst, "zone_id", "left").select(
         "zone_id", "greenhouse_id", "name", "crop_type",
@@ -125,7 +120,7 @@ def greenhouse_overview(
     """Every site with its worst zone status, window and open items; empty sites stay."""
     check_order(start, end)
     by_site = zone_overviews.groupBy("greenhouse_id").agg(
-        worst_status(F.col("overall_status")).alias("worst"),
+        F.expr(worst_status("overall_status")).alias("worst"),
         F.count(F.lit(1)).alias("zone_count"),
         F.sum("sensor_count").alias("sensors"),
     )
@@ -196,9 +191,9 @@ def fleet_kpis(summaries: DataFrame, counts: DataFrame) -> DataFrame:
 
     return both.agg(
         total("active_sensors"), total("warning_count"), total("critical_count"),
-        exact_mean(F.col("temperature_value")).alias("avg_temperature"),
-        exact_mean(F.col("humidity_value")).alias("avg_humidity"),
-        exact_mean(F.col("soil_moisture_value")).alias("avg_soil_moisture"),
+        F.expr(exact_mean("temperature_value")).alias("avg_temperature"),
+        F.expr(exact_mean("humidity_value")).alias("avg_humidity"),
+        F.expr(exact_mean("soil_moisture_value")).alias("avg_soil_moisture"),
         *[total(name) for name in totals],
     )
 

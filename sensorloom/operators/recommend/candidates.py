@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators.overview import TARGETED_TYPES
 from sensorloom.operators.recommend.context import Context
 from sensorloom.operators.recommend.rules import RULES, FrameRule, ZoneRule
 from sensorloom.schemas import CANDIDATE_RECOMMENDATIONS
@@ -16,24 +17,34 @@ from sensorloom.schemas import CANDIDATE_RECOMMENDATIONS
 logger = logging.getLogger(__name__)
 
 
+def _with_limits(zones: DataFrame) -> DataFrame:
+    """Targets as doubles under the short names the rules use."""
+    limits = [
+        f"CAST(target_{kind}_{bound} AS DOUBLE) AS {kind}_{name}"
+        for kind in TARGETED_TYPES
+        for bound, name in (("min", "low"), ("max", "high"))
+    ]
+    return zones.selectExpr("*", *limits)
+
+
 def all_candidates(context: Context, rules: Sequence[ZoneRule | FrameRule] = RULES) -> DataFrame:
     """Everything the rules propose. A rule that cannot be built is logged and left out."""
     if "predicted_yield" not in context.zones.columns:
         rules = [rule for rule in rules if rule.name != "yield_risk"]
-    columns, frames = [], []
+    zones = _with_limits(context.zones)
+    structs, frames = [], []
     for rule in rules:
         try:
             if isinstance(rule, ZoneRule):
-                column = rule.candidate(context)
-                context.zones.select(column)
-                columns.append(column)
+                struct = rule.candidate(context)
+                zones.selectExpr(struct)
+                structs.append(struct)
             else:
                 frames.append(rule.candidates(context))
         except Exception:
             logger.exception("rule %s failed", rule.name)
-    if columns:
-        fired = F.filter(F.array(*columns), lambda candidate: candidate.isNotNull())
-        frames.insert(0, context.zones.select(F.inline(fired)))
+    if structs:
+        frames.insert(0, zones.selectExpr(f"inline(array_compact(array({', '.join(structs)})))"))
     if not frames:
         return context.zones.sparkSession.createDataFrame([], CANDIDATE_RECOMMENDATIONS)
     return reduce(DataFrame.unionByName, frames)

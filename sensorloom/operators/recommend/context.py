@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.functions.numeric import exact_mean
 from sensorloom.functions.time import Instant
 from sensorloom.operators.history import recent_readings
 from sensorloom.schemas import ACTIVE_ALERT_STATUSES, SENSOR_TYPES
@@ -25,21 +26,22 @@ class Context:
 def sensor_view(readings: DataFrame, as_of: Instant, settings: Settings = DEFAULTS) -> DataFrame:
     """Per sensor: current value and a digest of its newest ``sustained_window`` readings."""
     recent = recent_readings(readings, as_of, settings.recent_hours, settings.recent_rows)
-    last = F.col("rank") <= settings.sustained_window
-    value = F.col("value")
-    return recent.groupBy("sensor_id").agg(
-        F.max(F.when(F.col("rank") == 1, value)).alias("current_value"),
-        F.max("timestamp").alias("last_timestamp"),
-        F.count(F.when(last, value)).alias("window_count"),
-        F.min(F.when(last, value)).alias("window_min"),
-        F.max(F.when(last, value)).alias("window_max"),
-        (F.sum(F.when(last, value.cast("decimal(12,4)"))).cast("double") / F.count(F.when(last, value))).alias("window_avg"),
-        F.min(F.when(last, F.col("timestamp"))).alias("window_start"),
-    )
+    last = f"rank <= {settings.sustained_window}"
+    in_window = f"if({last}, value, NULL)"
+    aggregates = {
+        "current_value": "max(if(rank = 1, value, NULL))",
+        "last_timestamp": "max(timestamp)",
+        "window_count": f"count({in_window})",
+        "window_min": f"min({in_window})",
+        "window_max": f"max({in_window})",
+        "window_avg": exact_mean(in_window),
+        "window_start": f"min(if({last}, timestamp, NULL))",
+    }
+    return recent.groupBy("sensor_id").agg(*[F.expr(f"{text} AS {name}") for name, text in aggregates.items()])
 
 
-def _of_type(kind: str, column: str) -> Column:
-    return F.max(F.when(F.col("sensor_type") == kind, F.col(column)))
+def _of_type(kind: str, column: str, name: str) -> Column:
+    return F.expr(f"max(if(sensor_type = '{kind}', {column}, NULL)) AS {kind}_{name}")
 
 
 def zone_wide_view(
@@ -50,12 +52,12 @@ def zone_wide_view(
         sensor_view(readings, as_of, settings), "sensor_id", "left"
     )
     per_type = [
-        _of_type(kind, column).alias(f"{kind}_{name}")
+        _of_type(kind, column, name)
         for kind in SENSOR_TYPES
         for name, column in (("sensor_id", "sensor_id"), ("value", "current_value"), ("at", "last_timestamp"))
     ]
     digest = [
-        _of_type("temperature", f"window_{name}").alias(f"temperature_window_{name}")
+        _of_type("temperature", f"window_{name}", f"window_{name}")
         for name in ("count", "min", "max", "avg", "start")
     ]
     wide = views.groupBy("zone_id").agg(*per_type, *digest)

@@ -1,8 +1,8 @@
 """The seven rules.
 
-A zone rule is one struct expression over the wide zone row, null where it does not
-fire; all zone rules are evaluated in a single projection. A frame rule builds its own
-candidate frame.
+A zone rule is one struct expression over the wide zone row, null where it does not fire;
+all zone rules are evaluated in a single projection. A frame rule builds its own candidate
+frame.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions.text import compact, fixed, label, whole_minutes
+from sensorloom.functions.text import compact, fixed, sentence, whole_minutes
 from sensorloom.operators.recommend.context import Context
 from sensorloom.schemas import CANDIDATE_RECOMMENDATIONS
 
@@ -22,7 +22,7 @@ from sensorloom.schemas import CANDIDATE_RECOMMENDATIONS
 @dataclass(frozen=True)
 class ZoneRule:
     name: str
-    candidate: Callable[[Context], Column]
+    candidate: Callable[[Context], str]
 
 
 @dataclass(frozen=True)
@@ -31,132 +31,139 @@ class FrameRule:
     candidates: Callable[[Context], DataFrame]
 
 
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
-def _id(column: str) -> Column:
-    return F.col(column).cast("string")
-
-
-def _candidate(
-    when: Column, kind: str, priority: Column, sensor: Column, message: Column, reason: Column
-) -> Column:
-    fields = [
-        F.lit(kind), priority, F.col("greenhouse_id"), F.col("zone_id"), sensor, message, reason, F.lit(None),
-    ]
-    named = [
-        value.cast(field.dataType).alias(field.name)
-        for value, field in zip(fields, CANDIDATE_RECOMMENDATIONS.fields, strict=True)
-    ]
-    return F.when(F.coalesce(when, F.lit(False)), F.struct(*named))
-
-
-def _bounds(kind: str) -> tuple[Column, Column]:
-    return F.col(f"target_{kind}_min").cast("double"), F.col(f"target_{kind}_max").cast("double")
-
-
-def irrigation_needed(context: Context) -> Column:
-    low, high = _bounds("soil_moisture")
-    value = F.col("soil_moisture_value")
+def _candidate(when: str, kind: str, priority: str, sensor: str, message: str, reason: str) -> str:
+    values = [f"'{kind}'", priority, "greenhouse_id", "zone_id", sensor, message, reason, "NULL"]
+    fields = ", ".join(
+        f"'{field.name}', CAST({value} AS {field.dataType.simpleString()})"
+        for field, value in zip(CANDIDATE_RECOMMENDATIONS.fields, values, strict=True)
+    )
+    return f"CASE WHEN {when} THEN named_struct({fields}) END"
+
+
+def irrigation_needed(context: Context) -> str:
+    value, low, high = "soil_moisture_value", "soil_moisture_low", "soil_moisture_high"
+    texts = {
+        "zone": "name",
+        "sensor": "soil_moisture_sensor_id",
+        "value": compact(value, "%"),
+        "low": compact(low, "%"),
+        "high": compact(high, "%"),
+    }
     return _candidate(
-        (value < low) & high.isNotNull(),
+        f"{value} < {low} AND {high} IS NOT NULL",
         "irrigation_needed",
-        F.when(low - value >= (high - low) * 0.5, "critical").otherwise("high"),
-        F.col("soil_moisture_sensor_id"),
-        _text(
-            "Soil moisture in ", F.col("name"), " is ", compact(value, "%"), ", below the target minimum of ",
-            compact(low, "%"), ". Irrigation is recommended.",
+        f"if({low} - {value} >= ({high} - {low}) * 0.5D, 'critical', 'high')",
+        "soil_moisture_sensor_id",
+        sentence(
+            "Soil moisture in {zone} is {value}, below the target minimum of {low}. Irrigation is recommended.", **texts
         ),
-        _text(
-            "Zone target for soil moisture is ", compact(low, "%"), "-", compact(high, "%"),
-            ". Latest reading from sensor #", _id("soil_moisture_sensor_id"), " (", label(F.lit("soil_moisture")),
-            ") is ", compact(value, "%"), ".",
+        sentence(
+            "Zone target for soil moisture is {low}-{high}. Latest reading from sensor #{sensor} (Soil Moisture) is {value}.",
+            **texts,
         ),
     )
 
 
-def sustained_temperature(context: Context, above: bool) -> Column:
+def sustained_temperature(context: Context, above: bool) -> str:
     """The newest N readings all beyond the target; fewer than N never fire."""
     needed = context.settings.sustained_window
-    low, high = _bounds("temperature")
-    beyond = F.col("temperature_window_min") > high if above else F.col("temperature_window_max") < low
+    low, high = "temperature_low", "temperature_high"
+    beyond = f"temperature_window_min > {high}" if above else f"temperature_window_max < {low}"
     word, action = ("above", "Increase ventilation") if above else ("below", "Activate heating")
-    minutes = whole_minutes(F.col("temperature_at"), F.col("temperature_window_start"))
+    texts = {
+        "zone": "name",
+        "sensor": "temperature_sensor_id",
+        "minutes": whole_minutes("temperature_at", "temperature_window_start"),
+        "mean": compact("temperature_window_avg", "C"),
+        "low": compact(low, "C"),
+        "high": compact(high, "C"),
+        "limit": compact(high if above else low, "C"),
+    }
     return _candidate(
-        (F.col("temperature_window_count") >= needed) & low.isNotNull() & high.isNotNull() & beyond,
+        f"temperature_window_count >= {needed} AND {low} IS NOT NULL AND {high} IS NOT NULL AND {beyond}",
         "temperature_high" if above else "temperature_low",
-        F.lit("high"),
-        F.col("temperature_sensor_id"),
-        _text(
-            F.col("name"), f" temperature has been {word} the crop target for the last ~", minutes.cast("string"),
-            " minutes (avg ", compact(F.col("temperature_window_avg"), "C"), " vs target ", compact(low, "C"), "-",
-            compact(high, "C"), f"). {action}.",
-        ),
-        _text(
-            f"Last {needed} temperature readings from sensor #", _id("temperature_sensor_id"),
-            f" were all {word} ", compact(high if above else low, "C"), ".",
+        "'high'",
+        "temperature_sensor_id",
+        sentence(
+            f"{{zone}} temperature has been {word} the crop target for the last ~{{minutes}} minutes "
+            f"(avg {{mean}} vs target {{low}}-{{high}}). {action}.",
+            **texts,
         ),
+        sentence(f"Last {needed} temperature readings from sensor #{{sensor}} were all {word} {{limit}}.", **texts),
     )
 
 
-def humidity_high_risk(context: Context) -> Column:
-    low, high = _bounds("humidity")
-    value = F.col("humidity_value")
+def humidity_high_risk(context: Context) -> str:
+    value, low, high = "humidity_value", "humidity_low", "humidity_high"
+    texts = {
+        "zone": "name",
+        "sensor": "humidity_sensor_id",
+        "value": compact(value, "%"),
+        "low": compact(low, "%"),
+        "high": compact(high, "%"),
+    }
     return _candidate(
-        (value > high) & low.isNotNull(),
+        f"{value} > {high} AND {low} IS NOT NULL",
         "humidity_high_risk",
-        F.when(value - high >= 10.0, "high").otherwise("medium"),
-        F.col("humidity_sensor_id"),
-        _text(
-            "Humidity in ", F.col("name"), " is ", compact(value, "%"), ", above the target maximum of ",
-            compact(high, "%"), ". Sustained high humidity increases fungal disease risk.",
+        f"if({value} - {high} >= 10D, 'high', 'medium')",
+        "humidity_sensor_id",
+        sentence(
+            "Humidity in {zone} is {value}, above the target maximum of {high}. "
+            "Sustained high humidity increases fungal disease risk.",
+            **texts,
         ),
-        _text(
-            "Zone humidity target is ", compact(low, "%"), "-", compact(high, "%"),
-            ". Latest reading from sensor #", _id("humidity_sensor_id"), " is ", compact(value, "%"), ".",
+        sentence(
+            "Zone humidity target is {low}-{high}. Latest reading from sensor #{sensor} is {value}.", **texts
         ),
     )
 
 
-def co2_out_of_range(context: Context) -> Column:
+def co2_out_of_range(context: Context) -> str:
     low, high = context.settings.co2_min_ppm, context.settings.co2_max_ppm
     span = f"{int(low)}-{int(high)} ppm"
-    value = F.col("co2_value")
+    texts = {
+        "zone": "name",
+        "sensor": "co2_sensor_id",
+        "value": compact("co2_value", " ppm"),
+        "side": f"if(co2_value > {float(high)}D, 'above', 'below')",
+    }
     return _candidate(
-        ~value.between(low, high),
+        f"co2_value NOT BETWEEN {float(low)}D AND {float(high)}D",
         "co2_out_of_range",
-        F.lit("medium"),
-        F.col("co2_sensor_id"),
-        _text(
-            "CO2 in ", F.col("name"), " is ", compact(value, " ppm"), ", ",
-            F.when(value > high, "above").otherwise("below"), f" the acceptable range ({span}).",
-        ),
-        _text(
-            "Latest CO2 reading from sensor #", _id("co2_sensor_id"), " is ", compact(value, " ppm"),
-            f" against configured bounds {span}.",
+        "'medium'",
+        "co2_sensor_id",
+        sentence(f"CO2 in {{zone}} is {{value}}, {{side}} the acceptable range ({span}).", **texts),
+        sentence(
+            f"Latest CO2 reading from sensor #{{sensor}} is {{value}} against configured bounds {span}.", **texts
         ),
     )
 
 
-def yield_risk(context: Context) -> Column:
+def yield_risk(context: Context) -> str:
     """Predicted yield well below the crop's baseline; needs a prediction and a known crop."""
-    pairs = [x for crop, base in context.settings.yield_baselines.items() if base > 0 for x in (F.lit(crop), F.lit(base))]
-    baseline = F.create_map(*pairs)[F.lower("crop_type")]
-    predicted = F.col("predicted_yield")
-    shortfall = (baseline - predicted) / baseline * 100.0
+    baselines = {crop: base for crop, base in context.settings.yield_baselines.items() if base > 0}
+    cases = " ".join(f"WHEN '{crop}' THEN {float(base)}D" for crop, base in baselines.items())
+    baseline = f"(CASE lower(crop_type) {cases} END)"
+    texts = {
+        "zone": "name",
+        "crop": "crop_type",
+        "predicted": compact("predicted_yield", " kg/m2"),
+        "baseline": compact(baseline, " kg/m2"),
+        "shortfall": fixed(f"({baseline} - predicted_yield) / {baseline} * 100D", 1),
+    }
     return _candidate(
-        predicted < baseline * context.settings.yield_risk_ratio,
+        f"predicted_yield < {baseline} * {float(context.settings.yield_risk_ratio)}D",
         "yield_risk",
-        F.lit("high"),
-        F.lit(None),
-        _text(
-            "Current environmental trends in ", F.col("name"), " may reduce predicted yield to ",
-            compact(predicted, " kg/m2"), " (baseline ", compact(baseline, " kg/m2"), ").",
+        "'high'",
+        "NULL",
+        sentence(
+            "Current environmental trends in {zone} may reduce predicted yield to {predicted} (baseline {baseline}).",
+            **texts,
         ),
-        _text(
-            f"ML model {context.model_version} predicts yield ", fixed(shortfall, 1), "% below the ",
-            F.col("crop_type"), " baseline under the zone's current averaged conditions.",
+        sentence(
+            f"ML model {context.model_version} predicts yield {{shortfall}}% below the {{crop}} baseline "
+            "under the zone's current averaged conditions.",
+            **texts,
         ),
     )
 
@@ -165,20 +172,20 @@ def anomaly_review(context: Context) -> DataFrame:
     """One candidate per active anomaly alert; a missing or zero zone has no name."""
     names = context.zones.select("zone_id", F.col("name").alias("zone_name"))
     alerts = context.open_alerts.filter("alert_type = 'anomaly'").join(names, "zone_id", "left")
-    named = F.col("zone_name").isNotNull() & (F.col("zone_id") != 0)
-    number = F.coalesce(_id("zone_id"), F.lit("None"))
-    zone = F.when(named, F.col("zone_name")).otherwise(_text("zone #", number))
-    return alerts.select(
-        F.lit("anomaly_review").alias("recommendation_type"),
-        F.when(F.col("severity") == "critical", "high").otherwise("medium").alias("priority"),
+    zone = "if(zone_id <> 0 AND zone_name IS NOT NULL, zone_name, concat('zone #', coalesce(CAST(zone_id AS STRING), 'None')))"
+    message = sentence(
+        "Statistical anomaly detected in {zone}. Review recent readings and confirm sensor integrity.", zone=zone
+    )
+    reason = sentence("Open anomaly alert #{id}: {message}", id="id", message="message")
+    return alerts.selectExpr(
+        "'anomaly_review' AS recommendation_type",
+        "if(severity = 'critical', 'high', 'medium') AS priority",
         "greenhouse_id",
         "zone_id",
         "sensor_id",
-        _text(
-            "Statistical anomaly detected in ", zone, ". Review recent readings and confirm sensor integrity."
-        ).alias("message"),
-        _text("Open anomaly alert #", _id("id"), ": ", F.col("message")).alias("reason"),
-        F.col("id").cast("long").alias("source_id"),
+        f"{message} AS message",
+        f"{reason} AS reason",
+        "CAST(id AS BIGINT) AS source_id",
     )
 
 

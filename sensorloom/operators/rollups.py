@@ -15,7 +15,7 @@ def rollup_metrics(value: str) -> list:
     return [
         F.min(value).cast("double").alias("min_value"),
         F.max(value).cast("double").alias("max_value"),
-        exact_mean(F.col(value)).alias("avg_value"),
+        F.expr(exact_mean(value)).alias("avg_value"),
         F.stddev_pop(F.col(value).cast("double")).alias("std_value"),
         F.count(F.lit(1)).alias("sample_count"),
     ]
@@ -61,7 +61,7 @@ def sensor_health_summary(
     )
     return totals.select(
         "sensor_id", "zone_id", "greenhouse_id", "sensor_type", "total_readings", "outlier_readings",
-        percent_of(F.col("outlier_readings"), F.col("total_readings")).alias("outlier_pct"),
+        F.expr(percent_of("outlier_readings", "total_readings")).alias("outlier_pct"),
         "last_seen_at",
         (F.col("last_seen_at") > minutes_before(as_of, reporting_minutes)).alias("is_reporting"),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.numeric import at_least_zero, nearest, or_default
@@ -28,19 +28,32 @@ INPUT_RANGES: dict[str, tuple[float, float]] = {
 }
 
 
-def _failures() -> Column:
+# Inputs no sensor measures.
+TYPICAL_INPUTS = {
+    "photoperiod_hours": "14.0D",
+    "irrigation_mm": "5.0D",
+    "fertilizer_N_kg_ha": "120.0D",
+    "fertilizer_P_kg_ha": "60.0D",
+    "fertilizer_K_kg_ha": "80.0D",
+    "pest_severity": "2.0D",
+    "soil_pH": "6.5D",
+    "days_to_maturity": "90",
+}
+
+
+def _failures() -> str:
     """Names of the input fields that are missing or out of range."""
-    bad_crop = F.when(F.coalesce(~F.col("crop_type").isin(*CROPS), F.lit(True)), F.lit("crop_type"))
-    bad_number = [
-        F.when(F.coalesce(~F.col(name).between(low, high), F.lit(True)), F.lit(name))
-        for name, (low, high) in INPUT_RANGES.items()
-    ]
-    return F.filter(F.array(bad_crop, *bad_number), lambda name: name.isNotNull())
+    crops = ", ".join(f"'{crop}'" for crop in CROPS)
+    tests = {"crop_type": f"crop_type IN ({crops})"} | {
+        name: f"{name} BETWEEN {low} AND {high}" for name, (low, high) in INPUT_RANGES.items()
+    }
+    fields = ", ".join(f"if(coalesce({test}, false), NULL, '{name}')" for name, test in tests.items())
+    return f"array_compact(array({fields}))"
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
     """Add ``failures`` and ``accepted``; filter on the latter for the two frames."""
-    return requests.withColumn("failures", _failures()).withColumn("accepted", F.size("failures") == 0)
+    return requests.withColumn("failures", F.expr(_failures())).withColumn("accepted", F.expr("size(failures) = 0"))
 
 
 def zone_yield_inputs(zones: DataFrame) -> DataFrame:
@@ -50,38 +63,27 @@ def zone_yield_inputs(zones: DataFrame) -> DataFrame:
     zero count as missing. The remaining inputs are typical growing conditions. Zones
     whose inputs are out of range are left out.
     """
-    temperature = or_default(F.col("temperature_value"), 22.0)
-    crop = F.when(F.coalesce("crop_type", F.lit("")) == "", "Tomato").otherwise(
-        F.concat(F.upper(F.substring("crop_type", 1, 1)), F.lower(F.expr("substring(crop_type, 2)")))
-    )
+    temperature = or_default("temperature_value", 22.0)
     measured = zones.filter(
-        F.col("temperature_sensor_id").isNotNull()
-        & F.col("humidity_sensor_id").isNotNull()
-        & F.col("soil_moisture_sensor_id").isNotNull()
-        & F.col("temperature_value").isNotNull()
+        "temperature_sensor_id IS NOT NULL AND humidity_sensor_id IS NOT NULL "
+        "AND soil_moisture_sensor_id IS NOT NULL AND temperature_value IS NOT NULL"
     )
-    inputs = measured.select(
+    inputs = measured.selectExpr(
         "zone_id",
-        crop.alias("crop_type"),
-        temperature.alias("avg_temperature_C"),
-        (temperature - 5.0).alias("min_temperature_C"),
-        (temperature + 5.0).alias("max_temperature_C"),
-        or_default(F.col("humidity_value"), 70.0).alias("humidity_percent"),
-        or_default(F.col("co2_value"), 800.0).alias("co2_ppm"),
-        or_default(F.col("light_value"), 20000.0).alias("light_intensity_lux"),
-        F.lit(14.0).alias("photoperiod_hours"),
-        F.lit(5.0).alias("irrigation_mm"),
-        F.lit(120.0).alias("fertilizer_N_kg_ha"),
-        F.lit(60.0).alias("fertilizer_P_kg_ha"),
-        F.lit(80.0).alias("fertilizer_K_kg_ha"),
-        F.lit(2.0).alias("pest_severity"),
-        F.lit(6.5).alias("soil_pH"),
-        F.lit(90).alias("days_to_maturity"),
+        "if(coalesce(crop_type, '') = '', 'Tomato', "
+        "concat(upper(left(crop_type, 1)), lower(substring(crop_type, 2)))) AS crop_type",
+        f"{temperature} AS avg_temperature_C",
+        f"{temperature} - 5D AS min_temperature_C",
+        f"{temperature} + 5D AS max_temperature_C",
+        f"{or_default('humidity_value', 70.0)} AS humidity_percent",
+        f"{or_default('co2_value', 800.0)} AS co2_ppm",
+        f"{or_default('light_value', 20000.0)} AS light_intensity_lux",
+        *[f"{value} AS {name}" for name, value in TYPICAL_INPUTS.items()],
     )
     return validate_requests(inputs).filter("accepted").drop("accepted", "failures")
 
 
 def score(model: PipelineModel, requests: DataFrame, key: str = "record_id") -> DataFrame:
     """Predicted yields of any number of requests, never negative, four decimals."""
-    predicted = at_least_zero(nearest(F.col("prediction"), 4))
-    return model.transform(requests).select(key, predicted.alias("predicted_yield"))
+    predicted = at_least_zero(nearest("prediction", 4))
+    return model.transform(requests).selectExpr(key, f"{predicted} AS predicted_yield")

@@ -132,10 +132,8 @@ class Star:
     @cached_property
     def predictions(self):
         """A closed-form stand-in for a model, so that its consumers can be checked in SQL."""
-        value = F.lit(4.0) - F.abs(F.col("avg_temperature_C") - 23.0) / 10
-        return score.zone_yield_inputs(self.wide).select(
-            "zone_id", at_least_zero(nearest(value, 4)).alias("predicted_yield")
-        )
+        value = at_least_zero(nearest("4D - abs(avg_temperature_C - 23D) / 10", 4))
+        return score.zone_yield_inputs(self.wide).selectExpr("zone_id", f"{value} AS predicted_yield")
 
     @cached_property
     def context(self):
@@ -297,9 +295,9 @@ def status_classification(s: Star):
     """Every reading of a sensor with a range, classified."""
     ranges = overview.resolved_ranges(s.sensors, s.zones).select("sensor_id", "range_min", "range_max")
     rows = joins.lookup_join(s.readings.withColumn("value", F.col("value").cast("double")), ranges, "sensor_id")
-    args = F.col("value"), F.col("range_min"), F.col("range_max")
-    return rows.select(
-        "id", "sensor_id", "value", status_of(*args).alias("status"), deviation_percent(*args).alias("deviation_percent")
+    measured = "value", "range_min", "range_max"
+    return rows.selectExpr(
+        "id", "sensor_id", "value", f"{status_of(*measured)} AS status", f"{deviation_percent(*measured)} AS deviation_percent"
     )
 
 

@@ -7,29 +7,26 @@ sites from ``region``, lifecycle rows from event types and yield records from
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.functions.time import Instant, instant
 from sensorloom.operators.joins import lookup_join
 
-_EPOCH = "2024-01-01T00:00:00Z"
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "region": "r_regionkey int, r_name string",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double"
+    ),
+}
+_EPOCH = "TIMESTAMP '2024-01-01 00:00:00Z'"
+_ZONE = "CAST(floor(user_id / 6) AS INT)"
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
-
-
-def _kind(user: Column) -> Column:
-    return F.pmod(user, F.lit(6))
-
-
-def _zone_of(user: Column) -> Column:
-    return F.floor(user / 6).cast("int")
-
-
-def _site_of(zone: Column) -> Column:
-    return F.pmod(zone, F.lit(5)).cast("int")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
 
 
 def events(spark: SparkSession, directory: str) -> DataFrame:
@@ -37,37 +34,29 @@ def events(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def greenhouses(spark: SparkSession, directory: str) -> DataFrame:
-    region = table(spark, directory, "region")
-    return region.select(
-        F.col("r_regionkey").alias("id"),
-        F.col("r_name").alias("name"),
-        F.concat(F.lit("site-"), F.col("r_regionkey").cast("string")).alias("location"),
-        F.lit("active").alias("status"),
-        F.lit(_EPOCH).cast("timestamp").alias("created_at"),
-        F.lit(_EPOCH).cast("timestamp").alias("updated_at"),
+    return table(spark, directory, "region").selectExpr(
+        "r_regionkey AS id",
+        "r_name AS name",
+        "concat('site-', r_regionkey) AS location",
+        "'active' AS status",
+        f"{_EPOCH} AS created_at",
+        f"{_EPOCH} AS updated_at",
     )
 
 
 def zones(spark: SparkSession, directory: str) -> DataFrame:
-    zone = F.col("id")
-    crop = (
-        F.when(F.pmod(zone, F.lit(4)) == 0, "tomato")
-        .when(F.pmod(zone, F.lit(4)) == 1, "cucumber")
-        .when(F.pmod(zone, F.lit(4)) == 2, "lettuce")
-        .otherwise("pepper")
-    )
-    ids = events(spark, directory).select(_zone_of(F.col("user_id")).alias("id")).distinct()
-    return ids.select(
-        zone,
-        _site_of(zone).alias("greenhouse_id"),
-        F.concat(F.lit("Zone "), zone.cast("string")).alias("name"),
-        crop.alias("crop_type"),
-        F.lit(18).cast("decimal(6,2)").alias("target_temperature_min"),
-        F.lit(26).cast("decimal(6,2)").alias("target_temperature_max"),
-        F.lit(60).cast("decimal(5,2)").alias("target_humidity_min"),
-        F.lit(80).cast("decimal(5,2)").alias("target_humidity_max"),
-        F.lit(55).cast("decimal(5,2)").alias("target_soil_moisture_min"),
-        F.lit(75).cast("decimal(5,2)").alias("target_soil_moisture_max"),
+    ids = events(spark, directory).selectExpr(f"{_ZONE} AS id").distinct()
+    return ids.selectExpr(
+        "id",
+        "id % 5 AS greenhouse_id",
+        "concat('Zone ', id) AS name",
+        "CASE id % 4 WHEN 0 THEN 'tomato' WHEN 1 THEN 'cucumber' WHEN 2 THEN 'lettuce' ELSE 'pepper' END AS crop_type",
+        "CAST(18 AS DECIMAL(6,2)) AS target_temperature_min",
+        "CAST(26 AS DECIMAL(6,2)) AS target_temperature_max",
+        "CAST(60 AS DECIMAL(5,2)) AS target_humidity_min",
+        "CAST(80 AS DECIMAL(5,2)) AS target_humidity_max",
+        "CAST(55 AS DECIMAL(5,2)) AS target_soil_moisture_min",
+        "CAST(75 AS DECIMAL(5,2)) AS target_soil_moisture_max",
     )
 
 
@@ -76,43 +65,24 @@ def sensors(spark: SparkSession, directory: str, seen_before: Instant | None = N
     seen = events(spark, directory)
     if seen_before is not None:
         seen = seen.filter(F.col("ts") < instant(seen_before))
-    user = F.col("user_id")
-    kind = _kind(user)
-    sensor_type = (
-        F.when(kind == 0, "temperature")
-        .when(kind == 1, "humidity")
-        .when(kind == 2, "soil_moisture")
-        .when(kind == 3, "light")
-        .when(kind == 4, "co2")
-        .otherwise("irrigation")
-    )
-    unit = (
-        F.when(kind == 0, "C")
-        .when(kind == 3, "lux")
-        .when(kind == 4, "ppm")
-        .when(kind == 5, "L/min")
-        .otherwise("%")
-    )
-    return seen.select("user_id").distinct().select(
-        user.cast("int").alias("id"),
-        _zone_of(user).alias("zone_id"),
-        sensor_type.alias("sensor_type"),
-        unit.alias("unit"),
-        F.lit("active").alias("status"),
-        F.lit(_EPOCH).cast("timestamp").alias("created_at"),
+    return seen.select("user_id").distinct().selectExpr(
+        "CAST(user_id AS INT) AS id",
+        f"{_ZONE} AS zone_id",
+        "CASE user_id % 6 WHEN 0 THEN 'temperature' WHEN 1 THEN 'humidity' WHEN 2 THEN 'soil_moisture' "
+        "WHEN 3 THEN 'light' WHEN 4 THEN 'co2' ELSE 'irrigation' END AS sensor_type",
+        "CASE user_id % 6 WHEN 0 THEN 'C' WHEN 3 THEN 'lux' WHEN 4 THEN 'ppm' WHEN 5 THEN 'L/min' ELSE '%' END AS unit",
+        "'active' AS status",
+        f"{_EPOCH} AS created_at",
     )
 
 
 def readings(spark: SparkSession, directory: str) -> DataFrame:
-    kind = _kind(F.col("user_id"))
-    scale = (
-        F.when(kind == 0, 0.5).when(kind == 3, 400.0).when(kind == 4, 20.0).when(kind == 5, 0.1).otherwise(1.0)
-    )
-    return events(spark, directory).select(
-        F.col("event_id").alias("id"),
-        F.col("user_id").cast("int").alias("sensor_id"),
-        F.col("ts").alias("timestamp"),
-        (F.col("value") * scale).cast("decimal(12,4)").alias("value"),
+    scale = "CASE user_id % 6 WHEN 0 THEN 0.5D WHEN 3 THEN 400D WHEN 4 THEN 20D WHEN 5 THEN 0.1D ELSE 1D END"
+    return events(spark, directory).selectExpr(
+        "event_id AS id",
+        "CAST(user_id AS INT) AS sensor_id",
+        "ts AS timestamp",
+        f"CAST(value * {scale} AS DECIMAL(12,4)) AS value",
     )
 
 
@@ -125,78 +95,56 @@ def _with_newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Flag the newest row per key; the per-key winner is found by partial aggregation."""
     newest = rows.groupBy(*keys).agg(F.max_by("event_id", "ts").alias("newest_id"))
     joined = lookup_join(rows, newest, keys, spread_by=["event_id"])
-    return joined.withColumn("is_newest", F.col("event_id") == F.col("newest_id"))
+    return joined.withColumn("is_newest", F.expr("event_id = newest_id"))
 
 
 def alerts(spark: SparkSession, directory: str) -> DataFrame:
-    third = F.pmod(F.col("event_id"), F.lit(3))
-    alert_type = F.when(third == 0, "threshold_high").when(third == 1, "threshold_low").otherwise("anomaly")
-    errors = events(spark, directory).filter(F.col("event_type") == "error").withColumn("alert_type", alert_type)
-    rows = _with_newest(errors, ["user_id", "alert_type"])
-    zone = _zone_of(F.col("user_id"))
-    status = (
-        F.when(~F.col("is_newest"), "resolved")
-        .when(F.pmod(F.col("event_id"), F.lit(2)) == 0, "open")
-        .otherwise("acknowledged")
-    )
-    none = F.lit(None).cast("timestamp")
-    return rows.select(
-        F.col("event_id").alias("id"),
-        _site_of(zone).alias("greenhouse_id"),
-        zone.alias("zone_id"),
-        F.col("user_id").cast("int").alias("sensor_id"),
+    errors = events(spark, directory).filter("event_type = 'error'").selectExpr(
+        "*",
+        "CASE event_id % 3 WHEN 0 THEN 'threshold_high' WHEN 1 THEN 'threshold_low' ELSE 'anomaly' END AS alert_type",
+    )
+    states = "CASE WHEN NOT is_newest THEN 'resolved' WHEN event_id % 2 = 0 THEN 'open' ELSE 'acknowledged' END AS status"
+    rows = _with_newest(errors, ["user_id", "alert_type"]).selectExpr("*", states)
+    return rows.selectExpr(
+        "event_id AS id",
+        f"{_ZONE} % 5 AS greenhouse_id",
+        f"{_ZONE} AS zone_id",
+        "CAST(user_id AS INT) AS sensor_id",
         "alert_type",
-        F.when(F.col("value") >= 100, "critical").when(F.col("value") >= 10, "warning").otherwise("info").alias("severity"),
-        status.alias("status"),
-        F.concat(F.lit("alert from sensor "), F.col("user_id").cast("string")).alias("message"),
-        F.col("value").cast("decimal(12,4)").alias("value"),
-        F.lit("n/a").alias("threshold"),
-        F.col("ts").alias("created_at"),
-        F.when(status == "acknowledged", F.col("ts")).otherwise(none).alias("acknowledged_at"),
-        F.when(status == "resolved", F.col("ts")).otherwise(none).alias("resolved_at"),
+        "CASE WHEN value >= 100 THEN 'critical' WHEN value >= 10 THEN 'warning' ELSE 'info' END AS severity",
+        "status",
+        "concat('alert from sensor ', user_id) AS message",
+        "CAST(value AS DECIMAL(12,4)) AS value",
+        "'n/a' AS threshold",
+        "ts AS created_at",
+        "CASE WHEN status = 'acknowledged' THEN ts END AS acknowledged_at",
+        "CASE WHEN status = 'resolved' THEN ts END AS resolved_at",
     )
 
 
 def recommendations(spark: SparkSession, directory: str) -> DataFrame:
-    seventh = F.pmod(F.col("event_id"), F.lit(7))
-    kind = (
-        F.when(seventh == 0, "irrigation_needed")
-        .when(seventh == 1, "temperature_high")
-        .when(seventh == 2, "temperature_low")
-        .when(seventh == 3, "humidity_high_risk")
-        .when(seventh == 4, "co2_out_of_range")
-        .when(seventh == 5, "anomaly_review")
-        .otherwise("yield_risk")
-    )
-    purchases = (
-        events(spark, directory)
-        .filter(F.col("event_type") == "purchase")
-        .withColumn("recommendation_type", kind)
-        .withColumn("zone_id", _zone_of(F.col("user_id")))
-    )
-    rows = _with_newest(purchases, ["zone_id", "recommendation_type"])
-    value = F.col("value")
-    priority = (
-        F.when(value >= 150, "critical").when(value >= 60, "high").when(value >= 15, "medium").otherwise("low")
-    )
-    status = (
-        F.when(F.col("is_newest"), "open")
-        .when(F.pmod(F.col("event_id"), F.lit(2)) == 0, "dismissed")
-        .otherwise("completed")
-    )
-    return rows.select(
-        F.col("event_id").alias("id"),
-        _site_of(F.col("zone_id")).alias("greenhouse_id"),
+    purchases = events(spark, directory).filter("event_type = 'purchase'").selectExpr(
+        "*",
+        f"{_ZONE} AS zone_id",
+        "CASE event_id % 7 WHEN 0 THEN 'irrigation_needed' WHEN 1 THEN 'temperature_high' "
+        "WHEN 2 THEN 'temperature_low' WHEN 3 THEN 'humidity_high_risk' WHEN 4 THEN 'co2_out_of_range' "
+        "WHEN 5 THEN 'anomaly_review' ELSE 'yield_risk' END AS recommendation_type",
+    )
+    states = "CASE WHEN is_newest THEN 'open' WHEN event_id % 2 = 0 THEN 'dismissed' ELSE 'completed' END AS status"
+    rows = _with_newest(purchases, ["zone_id", "recommendation_type"]).selectExpr("*", states)
+    return rows.selectExpr(
+        "event_id AS id",
+        "zone_id % 5 AS greenhouse_id",
         "zone_id",
-        F.col("user_id").cast("int").alias("sensor_id"),
+        "CAST(user_id AS INT) AS sensor_id",
         "recommendation_type",
-        priority.alias("priority"),
-        status.alias("status"),
-        F.concat(F.lit("review zone "), F.col("zone_id").cast("string")).alias("message"),
-        F.lit("derived from a purchase event").alias("reason"),
-        F.col("ts").alias("created_at"),
-        F.col("ts").alias("updated_at"),
-        F.when(status != "open", F.col("ts")).otherwise(F.lit(None).cast("timestamp")).alias("resolved_at"),
+        "CASE WHEN value >= 150 THEN 'critical' WHEN value >= 60 THEN 'high' WHEN value >= 15 THEN 'medium' ELSE 'low' END AS priority",
+        "status",
+        "concat('review zone ', zone_id) AS message",
+        "'derived from a purchase event' AS reason",
+        "ts AS created_at",
+        "ts AS updated_at",
+        "CASE WHEN status <> 'open' THEN ts END AS resolved_at",
     )
 
 
@@ -204,59 +152,54 @@ def yield_records(spark: SparkSession, directory: str) -> DataFrame:
     """One record per order line; repeated lines of an order are folded by minimum."""
     lines = (
         table(spark, directory, "lineitem")
-        .groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"))
+        .groupBy(F.expr("l_orderkey * 10 + l_linenumber AS record_id"))
         .agg(
-            F.min("l_partkey").alias("part"),
-            F.min("l_suppkey").alias("supp"),
-            F.min("l_quantity").alias("quantity"),
-            F.min("l_extendedprice").alias("price"),
-            F.min("l_discount").alias("discount"),
-            F.min("l_tax").alias("tax"),
+            *[
+                F.expr(f"min({source}) AS {name}")
+                for name, source in {
+                    "part": "l_partkey",
+                    "supp": "l_suppkey",
+                    "quantity": "l_quantity",
+                    "price": "l_extendedprice",
+                    "discount": "l_discount",
+                    "tax": "l_tax",
+                }.items()
+            ]
         )
     )
-    part, supp, record = F.col("part"), F.col("supp"), F.col("record_id")
-    quantity, price, tax = F.col("quantity"), F.col("price"), F.col("tax")
-    crop = F.pmod(part, F.lit(4))
-    crop_gain = F.when(crop == 0, 2.0).when(crop == 1, 1.0).when(crop == 2, 0.0).otherwise(0.5)
-    wobble = F.pmod(record * 7919, F.lit(1000)).cast("double") / 2500
-    yields = (
-        F.lit(3.0) + crop_gain - F.abs(F.lit(15.0) + quantity * 0.3 - 23) / 10
-        + price / 200000 - tax * 8 - quantity * tax * 0.15 + wobble - 0.2
-    )
-    return lines.select(
+    return lines.selectExpr(
         "record_id",
-        F.when(crop == 0, "Tomato").when(crop == 1, "Cucumber").when(crop == 2, "Lettuce").otherwise("Pepper").alias("crop_type"),
-        (F.lit(15.0) + quantity * 0.3).alias("avg_temperature_C"),
-        (F.lit(9.0) + quantity * 0.3).alias("min_temperature_C"),
-        (F.lit(20.0) + quantity * 0.3 + tax * 10).alias("max_temperature_C"),
-        (F.lit(60) + F.pmod(supp, F.lit(30))).cast("double").alias("humidity_percent"),
-        (F.lit(600.0) + price / 250).alias("co2_ppm"),
-        (F.lit(10000.0) + price / 4).alias("light_intensity_lux"),
-        (F.lit(10.0) + F.col("discount") * 40).alias("photoperiod_hours"),
-        (F.lit(2) + F.pmod(part, F.lit(7))).cast("double").alias("irrigation_mm"),
-        (F.lit(60) + F.pmod(part, F.lit(140))).cast("double").alias("fertilizer_N_kg_ha"),
-        (F.lit(30) + F.pmod(supp, F.lit(70))).cast("double").alias("fertilizer_P_kg_ha"),
-        (F.lit(40) + F.pmod(record, F.lit(110))).cast("double").alias("fertilizer_K_kg_ha"),
-        (tax * 100).alias("pest_severity"),
-        (F.lit(5.5) + F.col("discount") * 20).alias("soil_pH"),
-        (F.lit(60) + F.pmod(record, F.lit(61))).cast("int").alias("days_to_maturity"),
-        yields.alias("yield_kg_per_m2"),
+        "CASE part % 4 WHEN 0 THEN 'Tomato' WHEN 1 THEN 'Cucumber' WHEN 2 THEN 'Lettuce' ELSE 'Pepper' END AS crop_type",
+        "15D + quantity * 0.3D AS avg_temperature_C",
+        "9D + quantity * 0.3D AS min_temperature_C",
+        "20D + quantity * 0.3D + tax * 10 AS max_temperature_C",
+        "CAST(60 + supp % 30 AS DOUBLE) AS humidity_percent",
+        "600D + price / 250 AS co2_ppm",
+        "10000D + price / 4 AS light_intensity_lux",
+        "10D + discount * 40 AS photoperiod_hours",
+        "CAST(2 + part % 7 AS DOUBLE) AS irrigation_mm",
+        "CAST(60 + part % 140 AS DOUBLE) AS fertilizer_N_kg_ha",
+        "CAST(30 + supp % 70 AS DOUBLE) AS fertilizer_P_kg_ha",
+        "CAST(40 + record_id % 110 AS DOUBLE) AS fertilizer_K_kg_ha",
+        "tax * 100 AS pest_severity",
+        "5.5D + discount * 20 AS soil_pH",
+        "CAST(60 + record_id % 61 AS INT) AS days_to_maturity",
+        "3D + CASE part % 4 WHEN 0 THEN 2D WHEN 1 THEN 1D WHEN 2 THEN 0D ELSE 0.5D END "
+        "- abs(15D + quantity * 0.3D - 23) / 10 + price / 200000 - tax * 8 - quantity * tax * 0.15D "
+        "+ CAST(record_id * 7919 % 1000 AS DOUBLE) / 2500 - 0.2D AS yield_kg_per_m2",
     )
 
 
 def reading_documents(spark: SparkSession, directory: str) -> DataFrame:
     """Readings as the JSON text a device would send.
 
-    Error events carry no value and purchase events an unexpected field, so the
-    documents hold every way a reading can be malformed that the schema knows.
+    Error events carry no value and purchase events an unexpected field, so the documents
+    hold every way a reading can be malformed that the schema knows.
     """
-    kind = F.col("event_type")
-    body = F.to_json(
-        F.struct(
-            F.col("user_id").alias("sensor_id"),
-            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
-            F.when(kind != "error", F.col("value")).alias("value"),
-            F.when(kind == "purchase", F.col("props")).alias("props"),
-        )
+    return events(spark, directory).selectExpr(
+        "event_id AS seq",
+        "to_json(named_struct('sensor_id', user_id, "
+        "'timestamp', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\"), "
+        "'value', CASE WHEN event_type <> 'error' THEN value END, "
+        "'props', CASE WHEN event_type = 'purchase' THEN props END)) AS raw",
     )
-    return events(spark, directory).select(F.col("event_id").alias("seq"), body.alias("raw"))

@@ -29,8 +29,8 @@ def test_status_bands(spark):
         (21.0, 26.0, 18.0, "unknown", None),
     ]
     frame = values(spark, cases, "v double, lo double, hi double, status string, deviation double")
-    args = F.col("v"), F.col("lo"), F.col("hi")
-    for row in frame.select("*", status_of(*args).alias("s"), deviation_percent(*args).alias("d")).collect():
+    args = "v", "lo", "hi"
+    for row in frame.selectExpr("*", f"{status_of(*args)} AS s", f"{deviation_percent(*args)} AS d").collect():
         # 27.2 - 26 is a hair above 1.2 in binary, as it is in any double arithmetic
         expected = "critical" if row.v == 27.2 and row.v - 26.0 > 8.0 * 15.0 / 100.0 else row.status
         assert (row.s, row.d) == (expected, row.deviation), row
@@ -42,7 +42,7 @@ def test_worst_status(spark):
         [(1, "normal"), (1, "critical"), (1, "warning"), (2, "unknown"), (2, "normal"), (3, "unknown")],
         "g int, s string",
     )
-    worst = {r.g: r.w for r in frame.groupBy("g").agg(worst_status(F.col("s")).alias("w")).collect()}
+    worst = {r.g: r.w for r in frame.groupBy("g").agg(F.expr(worst_status("s")).alias("w")).collect()}
     assert worst == {1: "critical", 2: "normal", 3: "unknown"}
 
 
@@ -51,9 +51,8 @@ def test_worst_status(spark):
 def test_rounding_and_formats_follow_the_binary_value(spark, numbers):
     numbers = [*numbers, 2.675, 0.125, 0.375, -2.675, -0.125, 1.005, 100.0, 0.0]
     frame = values(spark, [(n,) for n in numbers], "v double")
-    v = F.col("v")
-    rows = frame.select(
-        "v", nearest(v, 2).alias("r2"), nearest(v, 4).alias("r4"), compact(v, "%").alias("c"), fixed(v, 1).alias("f")
+    rows = frame.selectExpr(
+        "v", f"{nearest('v', 2)} AS r2", f"{nearest('v', 4)} AS r4", f"{compact('v', '%')} AS c", f"{fixed('v', 1)} AS f"
     ).collect()
     for row in rows:
         assert row.r2 == round(row.v, 2)
@@ -65,17 +64,17 @@ def test_rounding_and_formats_follow_the_binary_value(spark, numbers):
 def test_decimal_text(spark):
     numbers = [18.0, 26.55, 0.0001, 12345678.9, 100.0, 0.5, -3.25]
     frame = values(spark, [(n,) for n in numbers], "v double")
-    texts = [r.t for r in frame.select(decimal_text(F.col("v")).alias("t")).collect()]
+    texts = [r.t for r in frame.selectExpr(f"{decimal_text('v')} AS t").collect()]
     assert sorted(texts) == sorted(repr(n) if n != 0.0001 else "0.0001" for n in numbers)
 
 
 def test_small_expressions(spark):
     frame = values(spark, [("soil_moisture", 0.0, 3, 8, NOON, minutes(7)), ("co2", None, 1, 0, NOON, NOON)],
                    "t string, v double, p long, w long, a timestamp, b timestamp")
-    rows = frame.select(
-        label(F.col("t")).alias("label"),
-        or_default(F.col("v"), 70.0).alias("d"),
-        percent_of(F.col("p"), F.col("w")).cast("double").alias("pct"),
-        whole_minutes(F.col("a"), F.col("b")).alias("m"),
+    rows = frame.selectExpr(
+        f"{label('t')} AS label",
+        f"{or_default('v', 70.0)} AS d",
+        f"CAST({percent_of('p', 'w')} AS DOUBLE) AS pct",
+        f"{whole_minutes('a', 'b')} AS m",
     ).collect()
     assert [tuple(r) for r in rows] == [("Soil Moisture", 70.0, 37.5, 7), ("Co2", 70.0, None, 1)]

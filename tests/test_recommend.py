@@ -89,10 +89,10 @@ def test_texts(fleet):
 
 def test_yield_risk_needs_a_known_crop_and_a_low_prediction(fleet):
     def at(value):
-        return lambda z: z.select("zone_id", F.lit(value).alias("predicted_yield"))
+        return lambda z: z.select("zone_id", F.lit(value).cast("double").alias("predicted_yield"))
 
     assert propose(fleet, predict=at(4.8 * 0.85)) == {}
-    assert propose(fleet, predict=at(None).__call__ if False else (lambda z: z.select("zone_id", F.lit(None).cast("double").alias("predicted_yield")))) == {}
+    assert propose(fleet, predict=at(None)) == {}
     assert propose(fleet, zones=fleet.zones(1, crop="kale"), predict=at(0.1)) == {}
     assert set(propose(fleet, predict=at(0.1))) == {"yield_risk"}
 
@@ -120,7 +120,7 @@ def test_anomaly_review_takes_the_highest_alert(fleet):
 
 
 def test_a_failing_rule_is_left_out(fleet):
-    broken = (ZoneRule("broken", lambda c: F.col("no_such_column")), FrameRule("worse", lambda c: 1 / 0))
+    broken = (ZoneRule("broken", lambda c: "no_such_column"), FrameRule("worse", lambda c: 1 / 0))
     assert set(propose(fleet, [(3, minutes(1), 10.0)], rules=(*broken, *RULES))) == {"irrigation_needed"}
 
 
