@@ -86,7 +86,8 @@ def parse_batches(documents: DataFrame) -> DataFrame:
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("problem IS NULL").drop("problem", "raw")
+    """Valid readings; the placeholder row of an empty batch is not one."""
+    return parsed.filter("problem IS NULL AND sensor_id IS NOT NULL").drop("problem", "raw")
 
 
 def malformed(parsed: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -43,12 +43,17 @@ class SnapshotStore:
             return self.spark.createDataFrame([], self.schema)
         return self._read(f"{self.root}/active/version={version}")
 
+    def current(self) -> DataFrame:
+        """Active rows of the newest version."""
+        return self.active(self.latest_version())
+
     def rows(self, version: int | None = None) -> DataFrame:
         """Every row as of a version, the latest by default."""
         version = self.latest_version() if version is None else version
         if version is None:
             return self.active(None)
-        closed = self.spark.read.schema(self.schema.add("version", "long")).parquet(f"{self.root}/closed")
+        versioned = StructType([*self.schema.fields, StructField("version", LongType())])
+        closed = self.spark.read.schema(versioned).parquet(f"{self.root}/closed")
         return self.active(version).unionByName(closed.filter(F.col("version") <= version).drop("version"))
 
     def write(self, version: int, frame: DataFrame) -> None:

@@ -15,7 +15,7 @@ NOON = DAY + timedelta(hours=12)
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, shuffle_partitions=4)
+    session = local_session(8, shuffle_partitions=2)
     if not session.conf.get("spark.checkpoint.dir", None):
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield session
@@ -85,6 +85,11 @@ def fleet(spark):
     return Fleet(spark)
 
 
+def settled(frame):
+    """The same rows as literals, so that a chain of steps does not grow one plan."""
+    return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)
+
+
 def minutes(n):
     return NOON - timedelta(minutes=n)
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from sensorloom.operators import alerts, anomaly
 from sensorloom.settings import DEFAULTS
-from tests.conftest import DAY, NOON, hours, minutes
+from tests.conftest import DAY, NOON, hours, minutes, settled
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def evaluate(site, readings):
 def step(site, fleet, existing, *rows):
     """One evaluation and the next snapshot."""
     changes = alerts.alert_reconcile(existing, evaluate(site, fleet.readings(*rows)), NOON)
-    return changes, alerts.apply_alert_changes(existing, changes)
+    return settled(changes), settled(alerts.apply_alert_changes(existing, changes))
 
 
 def test_threshold_texts(site, fleet):
@@ -167,8 +167,8 @@ def test_reconciling_twice_changes_nothing(site, fleet, rows):
     readings = fleet.readings(*[(s, minutes(m), v / 10) for s, m, v in rows])
     existing = fleet.alerts({"sensor_id": 1}, {"sensor_id": 2, "alert_type": "threshold_low", "status": "acknowledged"})
     lively = replace(DEFAULTS, anomaly_z=1.0)
-    evaluation = alerts.alert_evaluation(*site, readings, NOON, lively)
-    once = alerts.apply_alert_changes(existing, alerts.alert_reconcile(existing, evaluation, NOON))
+    evaluation = settled(alerts.alert_evaluation(*site, readings, NOON, lively))
+    once = settled(alerts.apply_alert_changes(existing, alerts.alert_reconcile(existing, evaluation, NOON)))
     twice = alerts.apply_alert_changes(once, alerts.alert_reconcile(once, evaluation, NOON))
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
     active = [(r.sensor_id, r.alert_type) for r in once.filter("status <> 'resolved'").collect()]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators.recommend import candidates, context, lifecycle
 from sensorloom.operators.recommend.rules import RULES, FrameRule, ZoneRule
 from sensorloom.settings import DEFAULTS
-from tests.conftest import DAY, NOON, hours, minutes
+from tests.conftest import DAY, NOON, hours, minutes, settled
 
 SENSORS = ((1, 1, "temperature"), (2, 1, "humidity"), (3, 1, "soil_moisture"), (4, 1, "co2"))
 
@@ -130,7 +130,7 @@ def run(fleet, existing, rows, zones=None, scope="greenhouse"):
     changes = lifecycle.recommendation_reconcile(
         existing, candidates.recommendation_candidates(built), built.zones, NOON, scope
     )
-    return changes, lifecycle.apply_recommendation_changes(existing, changes)
+    return settled(changes), settled(lifecycle.apply_recommendation_changes(existing, changes))
 
 
 def test_open_update_complete(fleet):
