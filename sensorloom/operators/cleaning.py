@@ -11,6 +11,9 @@ from sensorloom.operators.joins import lookup_join
 from sensorloom.settings import DEFAULTS, IMPOSSIBLE_BOUNDS
 
 BLOCK_ROWS = 250_000
+MOST_BLOCK_ROWS = 4_000_000
+_HALF_BITS = 20
+_HALF = 1 << _HALF_BITS
 
 
 def drop_incomplete(readings: DataFrame) -> DataFrame:
@@ -54,22 +57,25 @@ def keep_newest(readings: DataFrame) -> DataFrame:
     return readings.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
-def with_positions(readings: DataFrame, slot: str = "hour") -> DataFrame:
+def with_positions(readings: DataFrame, times: DataFrame | None = None, slot: str = "hour") -> DataFrame:
     """Number each sensor's readings by time from 0 without one task per sensor.
 
     Ranks are taken inside (sensor, time slot) and shifted by the count of the earlier
-    slots, which is an aggregate far smaller than the readings.
+    slots, which is an aggregate far smaller than the readings. ``times`` may name a
+    cheaper frame with the same (sensor, time) pairs, repeats allowed, to count from.
     """
-    slotted = readings.withColumn("_slot", F.date_trunc(slot, "timestamp"))
+    in_slot = F.date_trunc(slot, "timestamp").alias("_slot")
+    pairs = readings if times is None else times.select("sensor_id", "timestamp").distinct()
     earlier = Window.partitionBy("sensor_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        slotted.groupBy("sensor_id", "_slot")
+        pairs.groupBy("sensor_id", in_slot)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select("sensor_id", "_slot", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
-    in_slot = Window.partitionBy("sensor_id", "_slot").orderBy("timestamp")
+    by_time = Window.partitionBy("sensor_id", "_slot").orderBy("timestamp")
     return (
-        slotted.withColumn("_rank", F.row_number().over(in_slot))
+        readings.select("*", in_slot)
+        .withColumn("_rank", F.row_number().over(by_time))
         .join(offsets, ["sensor_id", "_slot"])
         .withColumn("position", F.col("_before") + F.col("_rank") - 1)
         .drop("_slot", "_rank", "_before")
@@ -77,7 +83,10 @@ def with_positions(readings: DataFrame, slot: str = "hour") -> DataFrame:
 
 
 def rolling_statistics(
-    readings: DataFrame, rows: int = DEFAULTS.rolling_rows, block_rows: int = BLOCK_ROWS
+    readings: DataFrame,
+    rows: int = DEFAULTS.rolling_rows,
+    block_rows: int = BLOCK_ROWS,
+    times: DataFrame | None = None,
 ) -> DataFrame:
     """Mean and population deviation of the ``rows`` readings before each reading.
 
@@ -85,20 +94,41 @@ def rolling_statistics(
     the last ``rows`` readings of the block before it. The frame is counted in rows, so
     this overlap makes every block's result exact and no task ever holds more than one
     block, however much of the data one sensor sends.
+
+    Inside a block a frame is the difference of running sums, one step per row in place
+    of one per row and frame. Values have four decimals, so they scale to whole numbers
+    below 2**40; squares are summed as the three products of their halves, each of which
+    fits a long for any block, and are put together in decimals. Every sum is exact, so
+    nothing cancels.
     """
-    if block_rows < rows:
-        raise ValueError("a block must hold at least one full frame")
-    position = F.col("position")
-    block = F.floor(position / F.lit(block_rows))
-    is_tail = F.pmod(position, F.lit(block_rows)) >= block_rows - rows
-    serves = F.when(is_tail, F.array(block, block + 1)).otherwise(F.array(block))
-    frame = Window.partitionBy("sensor_id", "_block").orderBy("position").rowsBetween(-rows, -1)
+    if not rows <= block_rows <= MOST_BLOCK_ROWS:
+        raise ValueError(f"block_rows must be {rows}..{MOST_BLOCK_ROWS}")
+    block = f"position div {block_rows}"
+    serves = f"if(position % {block_rows} >= {block_rows - rows}, array({block}, {block} + 1), array({block}))"
+    by_position = Window.partitionBy("sensor_id", "_block").orderBy("position")
+    before = by_position.rowsBetween(Window.unboundedPreceding, -1)
+    parts = {"_sum": "_x", "_hh": "_h * _h", "_hl": "_h * _l", "_ll": "_l * _l"}
+    running = {name: F.coalesce(F.sum(F.expr(text)).over(before), F.lit(0)) for name, text in parts.items()}
+    in_frame = {name: F.col(name) - F.lag(name, rows, 0).over(by_position) for name in parts}
+    count = f"nullif(least(position, {rows}), 0)"
+    whole = {name: f"CAST({name} AS DECIMAL(20,0))" for name in parts}
+    squares = (
+        f"({whole['_hh']} * CAST({_HALF * _HALF} AS DECIMAL(13,0)) "
+        f"+ {whole['_hl']} * CAST({2 * _HALF} AS DECIMAL(7,0)) + {whole['_ll']})"
+    )
+    spread = f"CAST({count} * {squares} - {whole['_sum']} * {whole['_sum']} AS DOUBLE)"
     return (
-        with_positions(readings)
-        .withColumn("_block", F.explode(serves))
-        .withColumns({"rolling_mean": F.avg("value").over(frame), "rolling_std": F.stddev_pop("value").over(frame)})
-        .filter(F.col("_block") == block)
-        .drop("_block", "position")
+        with_positions(readings, times)
+        .select("*", F.explode(F.expr(serves)).alias("_block"), F.expr("CAST(round(value * 10000) AS BIGINT) AS _x"))
+        .selectExpr("*", f"_x & {_HALF - 1} AS _l", f"shiftright(_x, {_HALF_BITS}) AS _h")
+        .withColumns(running)
+        .withColumns(in_frame)
+        .filter(F.expr(f"_block = {block}"))
+        .withColumns({
+            "rolling_mean": F.expr(f"CAST(_sum AS DOUBLE) / {count} / 10000D"),
+            "rolling_std": F.expr(f"sqrt({spread}) / {count} / 10000D"),
+        })
+        .drop("_block", "_x", "_h", "_l", "position", *parts)
     )
 
 
@@ -113,22 +143,19 @@ def flag_outliers(
     z: float = DEFAULTS.rolling_z,
     rows: int = DEFAULTS.rolling_rows,
     block_rows: int = BLOCK_ROWS,
+    times: DataFrame | None = None,
 ) -> DataFrame:
     flag = is_outlier(F.col("value"), F.col("rolling_mean"), F.col("rolling_std"), z)
     return (
-        rolling_statistics(readings, rows, block_rows)
+        rolling_statistics(readings, rows, block_rows, times)
         .withColumn("is_outlier", flag)
         .drop("rolling_mean", "rolling_std")
     )
 
 
-def valid_readings(readings: DataFrame, sensors: DataFrame) -> DataFrame:
-    """Complete, typed, possible readings, one per sensor and time.
-
-    Bounds come before the duplicate rule: an impossible newest copy must not hide an
-    older valid one.
-    """
-    return keep_newest(within_bounds(attach_sensor_type(normalise(drop_incomplete(readings)), sensors)))
+def possible_readings(readings: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Complete, typed readings inside their bounds; copies still in."""
+    return within_bounds(attach_sensor_type(normalise(drop_incomplete(readings)), sensors))
 
 
 def clean_readings(
@@ -138,7 +165,13 @@ def clean_readings(
     rows: int = DEFAULTS.rolling_rows,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    flagged = flag_outliers(valid_readings(readings, sensors), z, rows, block_rows)
+    """Typed, de-duplicated readings with their outlier flag.
+
+    Bounds come before the duplicate rule: an impossible newest copy must not hide an
+    older valid one.
+    """
+    possible = possible_readings(readings, sensors)
+    flagged = flag_outliers(keep_newest(possible), z, rows, block_rows, times=possible)
     return flagged.select(
         F.col("id").cast("long"),
         F.col("sensor_id").cast("int"),

@@ -1,6 +1,7 @@
 import random
 import statistics
 from datetime import timedelta
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,31 @@ def test_blocks_do_not_change_the_rolling_result(spark, fleet, block_rows):
     assert any(r.flag for r in found)
 
 
+def test_large_values_with_a_small_spread(fleet):
+    """The deviation is exact where a float sum of squares would have no digits left."""
+    rng = random.Random(9)
+    rows = [(1, minutes(200 - i), round(99_999_000 + rng.randint(0, 3) / 10_000, 4)) for i in range(150)]
+    rows += [(2, minutes(200 - i), round(-70_000.5 + rng.randint(-3, 3) / 10_000, 4)) for i in range(150)]
+    rows += [(3, minutes(200 - i), 199_999.9999) for i in range(70)]
+    expected = brute_force_exact(rows)
+    for row in cleaning.rolling_statistics(cleaning.normalise(fleet.readings(*rows)), block_rows=61).collect():
+        mean, std = expected[row.sensor_id, row.timestamp.astimezone(DAY.tzinfo)]
+        assert row.rolling_mean == (None if mean is None else pytest.approx(mean, rel=1e-15))
+        assert row.rolling_std == (None if std is None else pytest.approx(std, rel=1e-12, abs=0))
+
+
+def brute_force_exact(rows, frame=59):
+    out = {}
+    for sensor in {r[0] for r in rows}:
+        series = sorted((t, Fraction(str(v))) for s, t, v in rows if s == sensor)
+        for i, (t, _) in enumerate(series):
+            before = [x for _, x in series[max(0, i - frame):i]]
+            mean = sum(before) / len(before) if before else None
+            std = None if mean is None else float(sum((x - mean) ** 2 for x in before) / len(before)) ** 0.5
+            out[sensor, t] = (None if mean is None else float(mean)), std
+    return out
+
+
 def test_positions_are_dense_per_sensor(fleet):
     rows = skewed_series()
     found = cleaning.with_positions(fleet.readings(*rows)).select("sensor_id", "timestamp", "position").collect()
@@ -63,8 +89,9 @@ def test_positions_are_dense_per_sensor(fleet):
 
 
 def test_a_block_must_hold_a_frame(fleet):
-    with pytest.raises(ValueError):
-        cleaning.rolling_statistics(fleet.readings((1, DAY, 1.0)), block_rows=58)
+    for size in (58, cleaning.MOST_BLOCK_ROWS + 1):
+        with pytest.raises(ValueError):
+            cleaning.rolling_statistics(fleet.readings((1, DAY, 1.0)), block_rows=size)
 
 
 def test_cleaning_rules(fleet):
