@@ -9,7 +9,6 @@ from sensorloom.operators.joins import lookup_join
 
 FIELDS = ("sensor_id", "timestamp", "value")
 MAX_BATCH = 500
-_TEXT_SCHEMA = "sensor_id string, timestamp string, value string"
 _INTEGRAL = r"^[+-]?\d+(\.0+)?$"
 _NUMBER = r"^[+-]?\d+(\.\d+)?$"
 # Fixed value: unix numbers beyond this are milliseconds, smaller ones seconds.
@@ -27,34 +26,29 @@ def _time(text: Column) -> Column:
     return F.when(number.isNotNull(), from_number).otherwise(text.try_cast("timestamp"))
 
 
-def _checked(document: Column, keys: Column) -> tuple[dict[str, Column], Column]:
-    typed = {
-        "sensor_id": _whole_number(document["sensor_id"]),
-        "timestamp": _time(document["timestamp"]),
-        "value": document["value"].try_cast("double"),
-    }
-    known = F.array(*[F.lit(name) for name in FIELDS])
-    problem = (
-        F.when(keys.isNull(), "not an object")
-        .when(F.size(F.array_except(keys, known)) > 0, "unexpected field")
-        .when(typed["sensor_id"].isNull() | (typed["sensor_id"] <= 0), "sensor_id")
-        .when(typed["timestamp"].isNull(), "timestamp")
-        .when(typed["value"].isNull(), "value")
-    )
-    return typed, problem
-
-
 def parse_readings(documents: DataFrame) -> DataFrame:
     """One JSON reading per row (column ``raw``): typed fields and ``problem``, null when valid.
 
-    A reading has exactly sensor_id > 0, timestamp and value. Fields are read as text and
-    cast with ``try_cast``, so a bad document becomes a row with a problem, not an error.
+    A reading has exactly sensor_id > 0, timestamp and value. The document is parsed once,
+    into texts by field name, and cast with ``try_cast``: a bad document becomes a row with
+    a problem, not an error.
     """
-    parsed = documents.withColumns(
-        {"_doc": F.from_json("raw", _TEXT_SCHEMA), "_keys": F.json_object_keys("raw")}
+    fields = F.col("_fields")
+    typed = {
+        "sensor_id": _whole_number(fields["sensor_id"]),
+        "timestamp": _time(fields["timestamp"]),
+        "value": fields["value"].try_cast("double"),
+    }
+    known = ", ".join(f"'{name}'" for name in FIELDS)
+    problem = F.expr(
+        f"""CASE WHEN _fields IS NULL THEN 'not an object'
+        WHEN size(array_except(map_keys(_fields), array({known}))) > 0 THEN 'unexpected field'
+        WHEN sensor_id IS NULL OR sensor_id <= 0 THEN 'sensor_id'
+        WHEN timestamp IS NULL THEN 'timestamp'
+        WHEN value IS NULL THEN 'value' END"""
     )
-    typed, problem = _checked(F.col("_doc"), F.col("_keys"))
-    return parsed.withColumns({**typed, "problem": problem}).drop("_doc", "_keys")
+    parsed = documents.withColumn("_fields", F.from_json("raw", "map<string,string>"))
+    return parsed.withColumns(typed).withColumn("problem", problem).drop("_fields")
 
 
 def parse_batches(documents: DataFrame) -> DataFrame:

@@ -49,16 +49,17 @@ class TrainedModels:
 def train(records: DataFrame, estimators: Mapping[str, Estimator] | None = None, key: str = "record_id") -> TrainedModels:
     """Fit every candidate on the training split; the best validation R2, then RMSE, wins.
 
-    The preprocessor only sees training rows. The prepared rows are read by every pass of
-    every estimator, so they are kept in memory with disk behind it for the run.
+    The preprocessor only sees training rows. The records are read by each of its passes
+    and the prepared rows by every pass of every estimator, so both are kept in memory,
+    with disk behind it, for the run.
     """
     estimators = estimators or build_estimators()
-    parts = assign_split(records.filter(F.col(TARGET).isNotNull()), key)
-    training = parts.filter("split = 'train'")
-    preprocessor = build_preprocessor(training).fit(training)
-    prepared = preprocessor.transform(parts).select("split", "features", TARGET)
-    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    parts = assign_split(records.filter(F.col(TARGET).isNotNull()), key).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = None
     try:
+        preprocessor = fit_preprocessor(parts)
+        prepared = preprocessor.transform(parts).select("split", "features", TARGET)
+        prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
         rows = {name: prepared.filter(F.col("split") == name) for name in ("train", "validation", "test")}
         fitted = {name: Pipeline(stages=[e]).fit(rows["train"]) for name, e in estimators.items()}
         scored = [
@@ -74,7 +75,15 @@ def train(records: DataFrame, estimators: Mapping[str, Estimator] | None = None,
             preprocessor, fitted, _frame(spark, ranked), best, _frame(spark, test)
         )
     finally:
-        prepared.unpersist()
+        parts.unpersist()
+        if prepared is not None:
+            prepared.unpersist()
+
+
+def fit_preprocessor(parts: DataFrame) -> PipelineModel:
+    """Fit the preprocessing stages on the training rows of a split frame."""
+    training = parts.filter("split = 'train'")
+    return build_preprocessor(training).fit(training)
 
 
 def _frame(spark: SparkSession, rows: list) -> DataFrame:

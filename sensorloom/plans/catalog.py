@@ -670,9 +670,12 @@ def zone_yield_inputs(s: Star):
 @query
 def yield_preprocess(s: Star):
     parts = split.assign_split(s.records)
-    training = parts.filter("split = 'train'")
-    prepared = features.build_preprocessor(training).fit(training).transform(parts)
-    return prepared.select("record_id", "split", vector_to_array("features").alias("features"))
+    kept = parts.persist()
+    try:
+        model = train.fit_preprocessor(kept)
+    finally:
+        kept.unpersist()
+    return model.transform(parts).select("record_id", "split", vector_to_array("features").alias("features"))
 
 
 @query
