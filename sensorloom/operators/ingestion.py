@@ -112,13 +112,16 @@ def distinct_readings(batch: DataFrame, sensors: DataFrame) -> DataFrame:
 def match_stored(distinct: DataFrame, stored: DataFrame) -> DataFrame:
     """Mark the readings whose (sensor, time) is already stored.
 
-    With a stored ``reading_date`` partition column the join names it too, so the scan of
-    the stored table is pruned to the dates of the batch.
+    With a stored ``reading_date`` partition column only the dates from the batch's first
+    to its last are scanned.
     """
     keys = ["sensor_id", "timestamp"]
     if "reading_date" in stored.columns:
         distinct = distinct.withColumn("reading_date", F.to_date("timestamp"))
         keys = ["reading_date", *keys]
+        first = distinct.agg(F.min("reading_date")).scalar()
+        last = distinct.agg(F.max("reading_date")).scalar()
+        stored = stored.filter(F.col("reading_date").between(first, last))
     present = stored.select(*keys).distinct().withColumn("_stored", F.lit(True))
     matched = distinct.join(present, keys, "left")
     return matched.withColumn("is_stored", F.col("_stored").isNotNull()).drop("_stored")

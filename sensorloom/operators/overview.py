@@ -150,7 +150,14 @@ def topology(greenhouses: DataFrame, zones: DataFrame, sensors: DataFrame) -> Da
     sites = greenhouses.select(
         F.col("id").alias("greenhouse_id"), F.col("name").alias("greenhouse_name"), "location", "status"
     )
-    return sites.join(placed, "greenhouse_id", "left").withColumn("sensors", F.coalesce("sensors", empty))
+    # Zones look up their site, not the other way round: a site may hold most of the zones.
+    filled = lookup_join(placed, sites, "greenhouse_id", spread_by=["zone_id"])
+    vacant = sites.join(placed.select("greenhouse_id").distinct(), "greenhouse_id", "left_anti")
+    both = filled.unionByName(vacant, allowMissingColumns=True)
+    first = ["greenhouse_id", "greenhouse_name", "location", "status"]
+    return both.select(
+        *first, *[c for c in placed.columns if c not in {"greenhouse_id", "sensors"}], F.coalesce("sensors", empty).alias("sensors")
+    )
 
 
 def site_documents(flat: DataFrame, site: list[str], most_zones: int = 10_000) -> DataFrame:

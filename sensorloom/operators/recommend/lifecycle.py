@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.time import Instant, instant
 from sensorloom.operators.alerts import first_actions
+from sensorloom.operators.joins import lookup_join
 from sensorloom.schemas import RECOMMENDATIONS
 
 
@@ -32,7 +33,8 @@ def recommendation_reconcile(
     evaluated = (
         evaluated_zones.select("greenhouse_id", zone_key).select(*reach).distinct().withColumn("evaluated", F.lit(True))
     )
-    opened = recommendations.filter("status = 'open'").withColumn("zone_key", zone_key).join(evaluated, reach, "left")
+    opened = recommendations.filter("status = 'open'").withColumn("zone_key", zone_key)
+    opened = lookup_join(opened, evaluated, reach, "left", spread_by=["id"])
     keys = ["greenhouse_id", "zone_key", "recommendation_type"]
     proposed = candidates.withColumns({"zone_key": zone_key, "proposed": F.lit(True)})
     joined = opened.alias("r").join(proposed.alias("c"), keys, "full_outer")
