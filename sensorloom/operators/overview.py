@@ -150,14 +150,24 @@ def topology(greenhouses: DataFrame, zones: DataFrame, sensors: DataFrame) -> Da
     sites = greenhouses.select(
         F.col("id").alias("greenhouse_id"), F.col("name").alias("greenhouse_name"), "location", "status"
     )
-    # Zones look up their site, not the other way round: a site may hold most of the zones.
-    filled = lookup_join(placed, sites, "greenhouse_id", spread_by=["zone_id"])
-    vacant = sites.join(placed.select("greenhouse_id").distinct(), "greenhouse_id", "left_anti")
-    both = filled.unionByName(vacant, allowMissingColumns=True)
-    first = ["greenhouse_id", "greenhouse_name", "location", "status"]
-    return both.select(
-        *first, *[c for c in placed.columns if c not in {"greenhouse_id", "sensors"}], F.coalesce("sensors", empty).alias("sensors")
-    )
+    return _zones_under(sites, placed).withColumn("sensors", F.coalesce("sensors", empty))
+
+
+def _zones_under(sites: DataFrame, zones: DataFrame) -> DataFrame:
+    """One row per site and zone, empty sites with null zone columns.
+
+    Zones look up their site, not the other way round: a site may hold most of the zones.
+    """
+    filled = lookup_join(zones, sites, "greenhouse_id", spread_by=["zone_id"])
+    vacant = sites.join(zones.select("greenhouse_id").distinct(), "greenhouse_id", "left_anti")
+    below = [c for c in zones.columns if c != "greenhouse_id"]
+    return filled.unionByName(vacant, allowMissingColumns=True).select(*sites.columns, *below)
+
+
+def greenhouse_documents(overviews: DataFrame, zones: DataFrame, most_zones: int = 10_000) -> DataFrame:
+    """Site overviews with their zone documents nested; see ``site_documents`` for its limit."""
+    renamed = zones.withColumnsRenamed({"name": "zone_name", "overall_status": "zone_status", "sensor_count": "zone_sensor_count"})
+    return site_documents(_zones_under(overviews, renamed), overviews.columns, most_zones)
 
 
 def site_documents(flat: DataFrame, site: list[str], most_zones: int = 10_000) -> DataFrame:

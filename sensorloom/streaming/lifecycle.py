@@ -88,10 +88,14 @@ def evaluate_recommendations(
         zones, sensors, readings, alerts(), as_of, predict, model_version, fleet.settings
     )
     opened = store.active(store.latest_version(below=batch_id))
-    changes = lifecycle.recommendation_reconcile(
-        opened, recommendation_candidates(context), context.zones, as_of, scope
-    )
-    store.write(batch_id, changes)
+    zones = context.zones.persist()  # read by the rules and for what was evaluated
+    try:
+        changes = lifecycle.recommendation_reconcile(
+            opened, recommendation_candidates(context), zones, as_of, scope
+        )
+        store.write(batch_id, changes)
+    finally:
+        zones.unpersist()
 
 
 def start_evaluation(

@@ -88,6 +88,14 @@ def test_positions_are_dense_per_sensor(fleet):
         assert [p for _, p in own] == list(range(len(own)))
 
 
+def test_a_pile_of_copies_leaves_one_reading(fleet):
+    rows = [(i, 1, DAY, 20.0 + i % 7) for i in range(1, 600)] + [(1000 + i, 2, minutes(i), 21.0) for i in range(300)]
+    sensors = fleet.sensors((1, 1, "temperature"), (2, 1, "temperature"))
+    clean = cleaning.clean_readings(fleet.readings(*rows), sensors, block_rows=70)
+    assert clean.count() == 301
+    assert clean.filter("sensor_id = 1").first().id == 599
+
+
 def test_a_block_must_hold_a_frame(fleet):
     for size in (58, cleaning.MOST_BLOCK_ROWS + 1):
         with pytest.raises(ValueError):

@@ -56,6 +56,11 @@ def test_overviews(site, fleet):
     assert (kpis.avg_temperature, kpis.avg_humidity, kpis.avg_soil_moisture) == (24.0, 95.0, None)
     documents = {r.zone_id: r for r in overview.zone_documents(site["zones"], summaries).collect()}
     assert [s.sensor_id for s in documents[1].readings] == [1, 2, 3]
+    sites = overview.greenhouse_overview(site["greenhouses"], zones, counts, hours(24), NOON)
+    nested = overview.greenhouse_documents(sites, overview.zone_documents(site["zones"], summaries))
+    by_site = {r.greenhouse_id: r for r in nested.collect()}
+    assert [(z.zone_id, z.zone_status, len(z.readings)) for z in by_site[1].zones] == [(1, "critical", 3), (2, "unknown", 1)]
+    assert by_site[2].zones == [] and by_site[1].open_alerts_count == 2
 
 
 def test_topology_keeps_empty_levels_and_nests(site, fleet):

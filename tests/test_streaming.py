@@ -61,6 +61,14 @@ def run_to_memory(frame, name, mode):
     drain(query)
 
 
+def test_repeats_inside_the_watermark_are_dropped(spark, tmp_path):
+    path, schema = str(tmp_path / "readings"), "sensor_id int, timestamp timestamp, value double"
+    for rows in ([(1, NOON, 1.0), (1, NOON, 2.0)], [(1, NOON, 3.0), (2, NOON, 4.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    run_to_memory(ingest.deduplicated(views.table_stream(spark, path, schema, 1)), "once", "append")
+    assert sorted(r.sensor_id for r in spark.table("once").collect()) == [1, 2]
+
+
 def test_late_rows_never_replace_newer_ones(spark, fleet, tmp_path):
     path = str(tmp_path / "readings")
     schema = "sensor_id int, timestamp timestamp, value double"
