@@ -24,7 +24,8 @@ def lookup_join(
     No broadcast hint: Catalyst broadcasts the dimension while its measured size is
     under the session's threshold and shuffles both sides beyond it. For that case the
     key is salted, so a key holding a third of the facts is met by ``salts`` tasks and
-    not by one. ``spread_by`` names fact columns that vary within a key.
+    not by one, and what is still uneven is left to AQE's skew split. ``spread_by`` names
+    fact columns that vary within a key.
 
     ``how`` is inner, left, left_semi or left_anti: kinds that a replicated right side
     does not change.

@@ -30,21 +30,20 @@ def write_table(
     partition_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
     replace: str = "table",
-    writers: int = 16,
 ) -> int:
     """Write a Parquet table and return its row count, observed while writing.
 
     ``replace`` is ``table`` for a full refresh or ``partitions`` to replace only the
     partitions that occur in the frame, which also makes a repeated write harmless.
-    Each partition value is written by up to ``writers`` tasks, so one busy date is not
-    one task, and rows are sorted so that readers can skip row groups.
+    Rows are rebalanced by the partition columns: adaptive execution merges small dates
+    into one task and splits a busy one over several, by measured size. They are sorted so
+    that readers can skip row groups.
     """
     mode = {"table": "static", "partitions": "dynamic"}[replace]
     seen = Observation()
     rows = frame.observe(seen, F.count(F.lit(1)).alias("rows"))
     if partition_by:
-        spread = F.pmod(F.xxhash64(*(sort_by or frame.columns)), F.lit(writers)).alias("_writer")
-        rows = rows.repartition(*partition_by, spread)
+        rows = rows.hint("rebalance", *[F.col(name) for name in partition_by])
     if partition_by or sort_by:
         rows = rows.sortWithinPartitions(*partition_by, *sort_by)
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", mode)

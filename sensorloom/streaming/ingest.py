@@ -76,7 +76,7 @@ def ingest_batch(documents: DataFrame, batch_id: int, sensors: DataFrame, paths:
         stats = ingestion.ingest_stats(batch, sensors, stored)
         fresh = ingestion.insertable(batch, sensors, stored).drop("seq")
         labelled = fresh.withColumn("ingest_batch", F.lit(batch_id).cast("long"))
-        write_table(labelled, paths.readings, PARTITIONS, ("sensor_id", "timestamp"), replace="partitions", writers=4)
+        write_table(labelled, paths.readings, PARTITIONS, ("sensor_id", "timestamp"), replace="partitions")
         stats.write.mode("overwrite").parquet(f"{paths.stats}/batch={batch_id}")
         refused = ingestion.malformed(parsed).select("raw", "problem")
         refused.write.mode("overwrite").parquet(f"{paths.refused}/batch={batch_id}")
