@@ -11,6 +11,10 @@ FIELDS = ("sensor_id", "timestamp", "value")
 MAX_BATCH = 500
 _INTEGRAL = r"^[+-]?\d+(\.0+)?$"
 _NUMBER = r"^[+-]?\d+(\.\d+)?$"
+_DATED = r"^\d{4}-\d{2}-\d{2}"
+# Readings are stored with twelve digits, four of them decimals.
+STORED_VALUE = "decimal(12,4)"
+_BELOW = 99_999_999.99995
 # Fixed value: unix numbers beyond this are milliseconds, smaller ones seconds.
 _MILLISECONDS_FROM = 2e10
 
@@ -23,7 +27,14 @@ def _time(text: Column) -> Column:
     number = F.when(F.rlike(text, F.lit(_NUMBER)), text.try_cast("double"))
     seconds = F.when(F.abs(number) > _MILLISECONDS_FROM, number / 1000).otherwise(number)
     from_number = F.timestamp_micros((seconds * 1_000_000).try_cast("long"))
-    return F.when(number.isNotNull(), from_number).otherwise(text.try_cast("timestamp"))
+    dated = F.when(F.rlike(text, F.lit(_DATED)), text.try_cast("timestamp"))
+    return F.when(number.isNotNull(), from_number).otherwise(dated)
+
+
+def _storable(text: Column) -> Column:
+    """A finite number the stored type can hold."""
+    number = text.try_cast("double")
+    return F.when(F.abs(number) < _BELOW, number)
 
 
 def parse_readings(documents: DataFrame) -> DataFrame:
@@ -37,7 +48,7 @@ def parse_readings(documents: DataFrame) -> DataFrame:
     typed = {
         "sensor_id": _whole_number(fields["sensor_id"]),
         "timestamp": _time(fields["timestamp"]),
-        "value": fields["value"].try_cast("double"),
+        "value": _storable(fields["value"]),
     }
     known = ", ".join(f"'{name}'" for name in FIELDS)
     problem = F.expr(
@@ -130,7 +141,8 @@ def match_stored(distinct: DataFrame, stored: DataFrame) -> DataFrame:
 def insertable(batch: DataFrame, sensors: DataFrame, stored: DataFrame) -> DataFrame:
     """The rows an insert adds: known sensor, first of its copies, not stored yet."""
     matched = match_stored(distinct_readings(batch, sensors), stored)
-    return matched.filter(~F.col("is_stored")).drop("is_stored", "copies")
+    fresh = matched.filter(~F.col("is_stored")).drop("is_stored", "copies")
+    return fresh.withColumn("value", F.col("value").cast(STORED_VALUE))
 
 
 def ingest_stats(batch: DataFrame, sensors: DataFrame, stored: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sensorloom.operators import ingestion
 from sensorloom.sources.files import write_table
 
-STORED = "sensor_id int, timestamp timestamp, value double, reading_date date, ingest_batch long"
+STORED = f"sensor_id int, timestamp timestamp, value {ingestion.STORED_VALUE}, reading_date date, ingest_batch long"
 PARTITIONS = ("reading_date", "ingest_batch")
 
 

@@ -44,6 +44,9 @@ def test_valid_readings(spark):
         ({"sensor_id": 1, "timestamp": TIME, "value": "much"}, "value"),
         ({"sensor_id": 1, "timestamp": TIME, "value": None}, "value"),
         ({"sensor_id": 1, "timestamp": TIME, "value": 1.0, "unit": "C"}, "unexpected field"),
+        ({"sensor_id": 1, "timestamp": "12:30:00", "value": 1.0}, "timestamp"),
+        ({"sensor_id": 1, "timestamp": TIME, "value": "NaN"}, "value"),
+        ({"sensor_id": 1, "timestamp": TIME, "value": 1e12}, "value"),
         ([1, 2], "not an object"),
         ("{broken", "not an object"),
     ],
