@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import bpe
-from sensorloom.llm.frames import table
+from sensorloom.llm import bpe, quality_lines, token_counts, token_store
+from sensorloom.llm.frames import shared_folder, table
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -17,9 +18,30 @@ def op1_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.round_trip(table(spark, directory, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op3_quality_lines(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    field = quality_lines.fit(docs, table(spark, directory, "labels"))
+    return quality_lines.assess(docs, field)
+
+
+def op7_token_store(spark: SparkSession, directory: str) -> DataFrame:
+    folder = shared_folder(spark, "token-store")
+    token_store.write(table(spark, directory, "documents"), WORD_TOKENIZER, folder)
+    return token_store.digests(token_store.read(spark, folder))
+
+
+def op10_token_counts(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    lengths = token_counts.encoded_lengths(docs, RANKS, public_tokenizers.PATTERN)
+    return token_counts.suffix_sums(token_counts.histogram(lengths))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op3_quality_lines": op3_quality_lines,
+        "op7_token_store": op7_token_store,
+        "op10_token_counts": op10_token_counts,
     }
 
 
