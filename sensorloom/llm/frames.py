@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -54,7 +55,7 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def map_batches(
-    frame: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str
+    frame: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
     """Apply a function to each Arrow batch; it yields any number of batches."""
 

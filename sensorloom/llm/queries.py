@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import bpe, quality_lines, token_counts, token_store
+from sensorloom.llm import bpe, langid, quality_lines, token_counts, token_store, toxicity
 from sensorloom.llm.frames import shared_folder, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -18,12 +18,22 @@ def op1_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.round_trip(table(spark, directory, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op2_langid(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op3_quality_lines(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents")
     field = quality_lines.fit(docs, table(spark, directory, "labels"))
     return quality_lines.assess(docs, field)
 
 
+def op5_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, directory, "labels")))
+
+
 def op7_token_store(spark: SparkSession, directory: str) -> DataFrame:
     folder = shared_folder(spark, "token-store")
     token_store.write(table(spark, directory, "documents"), WORD_TOKENIZER, folder)
@@ -39,7 +49,9 @@ def op10_token_counts(spark: SparkSession, directory: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_langid": op2_langid,
         "op3_quality_lines": op3_quality_lines,
+        "op5_toxicity": op5_toxicity,
         "op7_token_store": op7_token_store,
         "op10_token_counts": op10_token_counts,
     }
