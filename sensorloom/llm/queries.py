@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import bpe, langid, quality_lines, token_counts, token_store, toxicity
+from sensorloom.llm import bpe, decontaminate, langid, quality_lines, token_counts, token_store, toxicity, warc
 from sensorloom.llm.frames import shared_folder, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,16 @@ def op7_token_store(spark: SparkSession, directory: str) -> DataFrame:
     return token_store.digests(token_store.read(spark, folder))
 
 
+def op8_warc(spark: SparkSession, directory: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    records = warc.archive(spark, table(spark, directory, "pages"), folder)
+    return records.drop("url")
+
+
+def op9_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents")
     lengths = token_counts.encoded_lengths(docs, RANKS, public_tokenizers.PATTERN)
@@ -53,6 +63,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_lines": op3_quality_lines,
         "op5_toxicity": op5_toxicity,
         "op7_token_store": op7_token_store,
+        "op8_warc": op8_warc,
+        "op9_decontaminate": op9_decontaminate,
         "op10_token_counts": op10_token_counts,
     }
 

@@ -17,6 +17,8 @@ BLOCK_BYTES = 1 << 20
 
 _IS_SEPARATOR = np.zeros(256, bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
+NOT_ALPHANUMERIC = np.zeros(256, bool)
+NOT_ALPHANUMERIC[:128] = [not chr(b).isalnum() for b in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 # An odd multiplier has an inverse modulo 2**64, so any substring's polynomial hash is a
@@ -129,11 +131,12 @@ def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
 
 
 def combine(parts: list[np.ndarray]) -> np.ndarray:
-    """One hash of several, in their order."""
+    """One hash of several hashes, in their order."""
     total = np.full(len(parts[0]), np.uint64(len(parts)), np.uint64)
     for part in parts:
-        total = mix(total * np.uint64(_BASE) + part)
-    return total
+        total *= np.uint64(_BASE)
+        total += part
+    return mix(total)
 
 
 def shingles(hashes: np.ndarray, words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
