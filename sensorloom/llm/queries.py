@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import bpe, decontaminate, langid, quality_lines, token_counts, token_store, toxicity, warc
+from sensorloom.llm import bpe, decontaminate, jaccard_join, langid, quality_lines, token_counts, token_store, toxicity, warc
 from sensorloom.llm.frames import shared_folder, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,10 @@ def op3_quality_lines(spark: SparkSession, directory: str) -> DataFrame:
     return quality_lines.assess(docs, field)
 
 
+def op4_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
+    return jaccard_join.connect(table(spark, directory, "documents")).drop("row_key")
+
+
 def op5_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, directory, "labels")))
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": op1_byte_bpe,
         "op2_langid": op2_langid,
         "op3_quality_lines": op3_quality_lines,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_toxicity": op5_toxicity,
         "op7_token_store": op7_token_store,
         "op8_warc": op8_warc,
