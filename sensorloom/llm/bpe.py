@@ -268,25 +268,24 @@ def _text(data: bytes) -> str | None:
         return None
 
 
-def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """Encode, decode the ids again, and digest both: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def encode_checked(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = True) -> DataFrame:
+    """Encode and decode the ids again: doc_id, n_tokens, digests of ids and decoded bytes, and the ids."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema += ", ids array<int>" if with_ids else ""
 
     def convert(batch):
         tools = codec(rank_path, pattern)
         for first, texts in runs(batch.column("text")):
             coded = tools.encode(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(first, len(texts)),
-                    pa.array([len(ids) for ids in coded], pa.int64()),
-                    pa.array([hashlib.sha256(tools.decimal(ids).encode()).hexdigest() for ids in coded]),
-                    pa.array([hashlib.sha256(tools.decode(ids)).hexdigest() for ids in coded]),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return frames.map_batches(
-        docs.selectExpr("cast(doc_id as long) doc_id", "text"),
-        convert,
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
-    )
+            columns = [
+                batch.column("doc_id").slice(first, len(texts)),
+                pa.array([len(ids) for ids in coded], pa.int64()),
+                pa.array([hashlib.sha256(tools.decimal(ids).encode()).hexdigest() for ids in coded]),
+                pa.array([hashlib.sha256(tools.decode(ids)).hexdigest() for ids in coded]),
+            ]
+            if with_ids:
+                columns.append(pa.array(coded, pa.list_(pa.int32())))
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
+
+    return frames.map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), convert, schema)

@@ -3,7 +3,7 @@
 A text's subwords are its runs of 3 and 4 bytes (ASCII lower-cased, white space as one mark),
 hashed into buckets. The embeddings of all its subwords are averaged over the whole text and
 go through a linear softmax. Embeddings and softmax are trained together by stochastic
-gradient descent in numpy, on at most `fit_per_language` documents of each language; a fifth
+gradient descent in numpy, on about `fit_per_language` documents of each language; a fifth
 of them is kept out of training and calibrates a temperature and the confidence under which a
 prediction is rejected.
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm import frames, words
@@ -35,6 +35,7 @@ EPOCHS = 4
 RATE = 2.0
 TRUSTED = 0.99
 UNKNOWN = "und"
+_CHANCES = 1_000_000
 
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = words.lower_ascii(np.arange(256, dtype=np.uint8))
@@ -132,22 +133,18 @@ def _calibrate(model: Model, logits: np.ndarray, truth: np.ndarray) -> None:
 def fit(docs: DataFrame, fit_per_language: int = FIT_PER_LANGUAGE, fit_languages: int = FIT_LANGUAGES) -> Model | None:
     """Learn from the labelled documents of the learning fold; None if there are none.
 
-    Takes the documents with the smallest hashes of their ids, at most `fit_per_language` of
-    each of the `fit_languages` most frequent languages.
+    Takes, by the hashes of their ids, about `fit_per_language` documents of each of the
+    `fit_languages` most frequent languages, or all where there are fewer.
     """
     labelled = docs.select("doc_id", "lang").where(
         frames.learning_fold(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)
     )
     frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_languages)
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        labelled.withColumn("_turn", F.row_number().over(turn))
-        .where(F.col("_turn") <= fit_per_language)
-        .join(F.broadcast(frequent.select("lang")), "lang", "left_semi")
-        .select("doc_id")
-        .distinct()
-    )
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # bounded by the two limits
+    # a hash below each language's share of its documents takes about fit_per_language of them
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(_CHANCES)) * F.col("count") < F.lit(fit_per_language * _CHANCES)
+    shares = F.broadcast(frequent.withColumnRenamed("lang", "_lang"))  # bounded by fit_languages
+    usable = frames.learning_fold(F.col("doc_id")) & (F.length("text") > 0)
+    sample = docs.select("doc_id", "text", "lang").where(usable).join(shares, F.col("lang") == F.col("_lang")).where(chance)
 
     def convert(batch):
         for first, data, offsets in words.text_blocks(batch.column("text")):
@@ -171,7 +168,7 @@ def fit(docs: DataFrame, fit_per_language: int = FIT_PER_LANGUAGE, fit_languages
             )
 
     rows = frames.map_batches(
-        sample.where("lang is not null").selectExpr("cast(doc_id as long) doc_id", "text", "lang"),
+        sample.selectExpr("cast(doc_id as long) doc_id", "text", "lang"),
         convert,
         "doc_id long, lang string, buckets binary, counts binary",
     ).collect()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import bpe, decontaminate, jaccard_join, langid, quality_lines, token_counts, token_store, toxicity, warc
+from sensorloom.llm import bpe, decontaminate, jaccard_join, langid, quality_lines, suffix_dedup, token_counts, token_store, toxicity, warc
 from sensorloom.llm.frames import shared_folder, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -15,7 +16,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
-    return bpe.round_trip(table(spark, directory, "documents"), RANKS, public_tokenizers.PATTERN)
+    docs = table(spark, directory, "documents")
+    return bpe.encode_checked(docs, RANKS, public_tokenizers.PATTERN, with_ids=False)
 
 
 def op2_langid(spark: SparkSession, directory: str) -> DataFrame:
@@ -38,6 +40,10 @@ def op5_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, directory, "labels")))
 
 
+def op6_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, directory, "documents"))
+
+
 def op7_token_store(spark: SparkSession, directory: str) -> DataFrame:
     folder = shared_folder(spark, "token-store")
     token_store.write(table(spark, directory, "documents"), WORD_TOKENIZER, folder)
@@ -62,11 +68,13 @@ def op10_token_counts(spark: SparkSession, directory: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_byte_bpe": op1_byte_bpe,
         "op2_langid": op2_langid,
         "op3_quality_lines": op3_quality_lines,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_toxicity": op5_toxicity,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_token_store": op7_token_store,
         "op8_warc": op8_warc,
         "op9_decontaminate": op9_decontaminate,
@@ -75,4 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    if corpus_pipeline.ORACLE_SQL:
+        return {"pipeline": corpus_pipeline.ORACLE_SQL}
     return {}
