@@ -291,12 +291,17 @@ def links(docs: DataFrame, found: DataFrame, width: int, percent: int, cell_node
     return linked.unionByName(frames.written(across, "across-links"))
 
 
-def connect(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, cell_nodes: int = CELL_NODES) -> DataFrame:
-    """doc_id, row_key, n_shingles and component_id of every row of documents."""
+def _placed(docs: DataFrame, width: int, percent: int, cell_nodes: int) -> DataFrame:
+    """doc_id, row_key, n_shingles and place, one value for each component, of every row."""
     found = frames.written(sets(docs, width, percent), "sets")
     roots = components(links(docs, found, width, percent, cell_nodes))
     own = found.select("doc_id", "row_key", "node", "n_shingles").join(roots, "node", "left")
-    own = own.withColumn("place", F.coalesce("root", "node"))
+    return own.withColumn("place", F.coalesce("root", "node"))
+
+
+def connect(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, cell_nodes: int = CELL_NODES) -> DataFrame:
+    """doc_id, row_key, n_shingles and component_id of every row of documents."""
+    own = _placed(docs, width, percent, cell_nodes)
     least = own.where("n_shingles > 0").groupBy("place").agg(F.min("doc_id").alias("component_id"))
     joined = own.where("n_shingles > 0").join(least, "place")
     bare = own.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
@@ -307,14 +312,15 @@ def connect(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, cell_no
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents, with all their columns, one of each component: the one of the smallest doc_id.
 
-    Documents without words and rows without a doc_id all stay. Of rows that repeat an id in
-    one component, one stays.
+    Documents without words and rows without a doc_id all stay. Of rows that repeat the
+    smallest id of a component, one stays.
     """
-    kept = connect(docs, width, percent).where("doc_id is not null and n_shingles > 0 and doc_id = component_id")
-    kept = kept.groupBy(F.col("doc_id").alias("_doc")).agg(F.min("row_key").alias("_row"))
+    placed = _placed(docs, width, percent, CELL_NODES).where("doc_id is not null and n_shingles > 0")
+    kept = placed.groupBy("place").agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
+    kept = kept.select(F.col("least.doc_id").alias("__llm_doc"), F.col("least.row_key").alias("__llm_row"))
     spoken = F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
     grouped = F.col("doc_id").isNotNull() & spoken
-    keyed = docs.where(grouped).withColumn("_key", frames.row_key(F.col("doc_id").cast("long"), F.col("text")))
-    chosen = keyed.join(kept, (keyed["doc_id"] == kept["_doc"]) & (keyed["_key"] == kept["_row"]))
-    chosen = chosen.dropDuplicates(["_doc", "_row"]).select(*docs.columns)
+    keyed = docs.where(grouped).withColumn("__llm_key", frames.row_key(F.col("doc_id").cast("long"), F.col("text")))
+    chosen = keyed.join(kept, (keyed["doc_id"] == kept["__llm_doc"]) & (keyed["__llm_key"] == kept["__llm_row"]))
+    chosen = chosen.dropDuplicates(["__llm_doc", "__llm_row"]).select(*docs.columns)
     return chosen.unionByName(docs.where(~grouped))

@@ -366,10 +366,10 @@ def _covered(size: int, runs: list[dict] | None, length: int) -> np.ndarray:
 
 
 def _with_runs(docs: DataFrame, length: int, group_rows: int) -> DataFrame:
-    """The documents with all their columns and the column _runs, null where nothing repeats."""
-    found = repeats(docs, length, group_rows).select(F.col("row_key").alias("_row"), F.col("runs").alias("_runs"))
+    """The documents with all their columns and the column __llm_runs, null where nothing repeats."""
+    found = repeats(docs, length, group_rows).select(F.col("row_key").alias("__llm_row"), F.col("runs").alias("__llm_runs"))
     key = frames.row_key(F.col("doc_id").cast("long"), F.col("text"))
-    return docs.withColumn("_key", key).join(found, F.col("_key") == F.col("_row"), "left").drop("_key", "_row")
+    return docs.withColumn("__llm_key", key).join(found, F.col("__llm_key") == F.col("__llm_row"), "left").drop("__llm_key", "__llm_row")
 
 
 def removals(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -377,7 +377,7 @@ def removals(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS
 
     def convert(batch):
         sizes, removed, spans, digests = [], [], [], []
-        for text, runs in zip(batch.column("text"), batch.column("_runs").to_pylist()):
+        for text, runs in zip(batch.column("text"), batch.column("__llm_runs").to_pylist()):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
             sizes.append(len(raw))
             if runs:
@@ -410,7 +410,7 @@ def remove(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS)
 
     def convert(batch):
         texts = batch.column("text").to_pylist()
-        for i, runs in enumerate(batch.column("_runs").to_pylist()):
+        for i, runs in enumerate(batch.column("__llm_runs").to_pylist()):
             if runs:
                 raw = np.frombuffer(texts[i].encode(), np.uint8)
                 gone = _covered(len(raw), runs, length)

@@ -30,49 +30,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sensorloom.llm import frames
-from sensorloom.llm.bpe import runs
+from sensorloom.llm import frames, words
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-KEPT_WORDS = 600_000
+KEPT_WORDS = 500_000
+RUN_WORDS = 200
 KEPT_WORD_BYTES = 64
 
 _SCHEMA = "shard int, doc_id long, start_in_shard long, n_tokens long, ids array<int>"
-# str.split also cuts at these, which the tokenizer takes for ordinary characters.
-_CONTROL = re.compile("[\x1c-\x1f]")
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+# punctuation that closes a word; not the apostrophe, which can start a piece with letters
+_CLOSING = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[ \t\n\r\x0b\x0c]|\Z)")
 
 
 class WordEncoder:
-    """Encodes texts word by word; ids come as little-endian unsigned 32-bit integers."""
+    """Encodes UTF-8 texts word by word; ids come as little-endian unsigned 32-bit integers.
+
+    A text is cut at ASCII white space, and where ASCII letters or digits meet a word's closing
+    ASCII punctuation: the tokenizer cuts there as well. Words of letters alone go to the library
+    many at a time: each is one run of ids whose last token carries the end-of-word mark.
+    """
 
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        mark = getattr(self._tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if mark:
+            self._ends[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
+        self._known: dict[bytes, bytes] = {}
+
+    def _library(self, words: list[bytes]) -> list[bytes]:
+        found = self._tokenizer.encode_batch_fast([word.decode() for word in words], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of ASCII letters, taken from runs of many words."""
+        runs = [words[i : i + RUN_WORDS] for i in range(0, len(words), RUN_WORDS)]
+        joined = [b" ".join(run).decode() for run in runs]
+        coded: list[bytes] = []
+        for run, found in zip(runs, self._tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = (np.flatnonzero(self._ends[ids]) + 1) * 4
+            if len(ends) == len(run):
+                data, ends = ids.tobytes(), ends.tolist()
+                coded += [data[low:high] for low, high in zip([0, *ends[:-1]], ends)]
+            else:
+                coded += self._library(run)
+        return coded
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         known = self._known
         if len(known) > KEPT_WORDS:
             known.clear()
-        whole = [bool(_CONTROL.search(text)) for text in texts]
-        cut = [[] if own else text.split() for own, text in zip(whole, texts)]
+        # the normaliser lower-cases too; only ASCII here, where no case depends on what follows
+        cut = [_CLOSING.sub(rb" \1", text.translate(_LOWER)).split() for text in texts]
         missing = [word for word in set().union(*cut) if word not in known]
-        if missing:
-            known.update(zip(missing, self._library(missing)))
+        letters = [word for word in missing if word.isalpha()]
+        others = [word for word in missing if not word.isalpha()]
+        known.update(zip(letters, self._letters(letters)))
+        known.update(zip(others, self._library(others)))
         get = known.__getitem__
         coded = [b"".join(map(get, words)) for words in cut]
         for word in missing:
             if len(word) > KEPT_WORD_BYTES:
                 del known[word]
-        places = [i for i, own in enumerate(whole) if own]
-        for place, data in zip(places, self._library([texts[i] for i in places]) if places else []):
-            coded[place] = data
         return coded
 
 
@@ -88,8 +113,10 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1) ->
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first, texts in runs(batch.column("text")):
-                coded = [data + ending for data in encoder(tokenizer_path).encode(texts)]
+            for first, data, offsets in words.text_blocks(batch.column("text")):
+                raw, cuts = data.tobytes(), offsets.tolist()
+                texts = [raw[low:high] for low, high in zip(cuts[:-1], cuts[1:])]
+                coded = [found + ending for found in encoder(tokenizer_path).encode(texts)]
                 sizes = np.array([len(data) // 4 for data in coded], np.int64)
                 ends = np.cumsum(sizes)
                 ids = pa.ListArray.from_arrays(
