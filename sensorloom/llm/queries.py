@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sensorloom.llm import bpe, decontaminate, jaccard_join, langid, quality_lines, suffix_dedup, token_counts, token_store, toxicity, warc
-from sensorloom.llm.frames import shared_folder, table
+from sensorloom.llm.frames import shared_folder, table, written
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -63,7 +63,8 @@ def op9_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents")
     lengths = token_counts.encoded_lengths(docs, RANKS, public_tokenizers.PATTERN)
-    return token_counts.suffix_sums(token_counts.histogram(lengths))
+    counts = written(token_counts.histogram(lengths), "histogram")  # small, and read twice from here on
+    return token_counts.suffix_sums(counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
