@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from functools import cached_property, lru_cache
 from itertools import chain
 
@@ -34,7 +35,7 @@ from sensorloom.llm import frames
 KEPT_PIECES = 300_000
 KEPT_CHUNKS = 600_000
 KEPT_PIECE_BYTES = 64
-_WIDE_SPACE = regex.compile(r"^ | $| \s|\s ")
+_WIDE_SPACE = re.compile(r" \s|[^\S ] ")
 
 
 def byte_characters() -> list[str]:
@@ -172,10 +173,12 @@ class Codec:
             self._pieces.clear()
         if len(self._chunks) > KEPT_CHUNKS:
             self._chunks.clear()
-        cut = [None if _WIDE_SPACE.search(text) else text.split(" ") for text in texts]
+        cut = [
+            None if text[:1] == " " or text[-1:] == " " or _WIDE_SPACE.search(text) else text.split(" ") for text in texts
+        ]
         heads = self._chunk_ids([text if words is None else words[0] for text, words in zip(texts, cut)])
         known = self._chunks
-        wanted = set(chain.from_iterable(words[1:] for words in cut if words is not None))
+        wanted = set().union(*(words[1:] for words in cut if words is not None))
         missing = [word for word in wanted if word not in known]
         if missing:
             known.update(zip(missing, self._chunk_ids([" " + word for word in missing])))
