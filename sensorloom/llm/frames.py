@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+_BITS = 1 << 23
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
@@ -67,6 +70,31 @@ def map_batches(
     return frame.mapInArrow(run, schema)
 
 
+def marked(frame: DataFrame, key: Column, wanted: DataFrame, mark: str) -> DataFrame:
+    """The frame with a column `mark`: false only where the key is not among the wanted ones.
+
+    The wanted keys, one long column, are folded into a bitmap of 2**23 bits, a megabyte in all
+    whatever their number, which is broadcast; a shuffle of the frame can then leave out most
+    rows that a join would drop. Keys may share a bit, so a join must follow. With many more
+    wanted keys than bits every row is marked, and only the saving is lost.
+    """
+    place = F.pmod(key, F.lit(_BITS))
+    place_wanted = F.pmod(F.col(wanted.columns[0]), F.lit(_BITS))
+    bits = wanted.groupBy(F.bitmap_bucket_number(place_wanted).alias("__llm_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place_wanted)).alias("__llm_bits")
+    )
+    position = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__llm_bits", (position / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    found = F.expr("shiftright(__llm_byte, __llm_bit) & 1") == 1
+    return (
+        frame.withColumn("__llm_at", F.bitmap_bucket_number(place))
+        .join(F.broadcast(bits), F.col("__llm_at") == F.col("__llm_bucket"), "left")
+        .withColumns({"__llm_byte": byte, "__llm_bit": (position % 8).cast("int")})
+        .withColumn(mark, F.coalesce(found, F.lit(False)))
+        .drop("__llm_at", "__llm_bucket", "__llm_bits", "__llm_byte", "__llm_bit")
+    )
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Tells rows apart that repeat an id with another text; goes with doc_id in joins."""
     return F.xxhash64(doc_id, text)

@@ -9,7 +9,8 @@ Only which documents are connected is asked for, so copies are never expanded in
   form a block; blocks with the same smallest node form a group.
 - Within a group, tokens are hashed into groups and their counts are the points of an R-tree:
   the sum of coordinate minima bounds the overlap of a point with all points below a tree
-  node, and what survives is verified on the sets. Nodes that are already connected are not
+  node. Nodes that no other one survives for are left out before any text is moved; the
+  others are verified on the sets, within their group. Nodes that are already connected are not
   compared again, so a group of copies costs about one comparison a member.
 - A group beyond `cell_nodes` is dealt into cells, each of which has the group's smallest node
   too. Groups that are not in one piece after that have their cells compared in pairs, leaving
@@ -23,7 +24,7 @@ doc_id is never the name of a component unless all of it has none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -83,12 +84,13 @@ def frequent_members(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, keys: bool = True) -> DataFrame:
-    """doc_id, row_key, node (digest of the set), n_shingles, and keys: the members to block by."""
+    """doc_id, row_key, node (digest of the set), n_shingles; keys, the members to block by; point, the counts."""
     frequent = frequent_members(docs, width) if keys else np.empty(0, np.uint64)
     by_value = np.argsort(frequent)
     values = frequent[by_value]
 
     def convert(batch):
+        pack = zstandard.ZstdCompressor(level=1, write_content_size=True)
         for first, rows, members, cuts in _members(batch.column("text"), width):
             count = len(cuts) - 1
             sizes = np.diff(cuts)
@@ -110,10 +112,12 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, keys: bool
                 kept = members[order][chosen].astype(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows[chosen], minlength=count))])
                 columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(kept)))
-            names = ["doc_id", "row_key", "node", "n_shingles", "keys"]
+                points = _counts(members, rows, count)
+                columns.append(pa.array([pack.compress(p.astype("<u4").tobytes()) for p in points], pa.binary()))
+            names = ["doc_id", "row_key", "node", "n_shingles", "keys", "point"]
             yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
-    schema = "doc_id long, row_key long, node long, n_shingles long" + (", keys array<long>" if keys else "")
+    schema = "doc_id long, row_key long, node long, n_shingles long" + (", keys array<long>, point binary" if keys else "")
     own = docs.select(F.col("doc_id").cast("long"), "text", frames.row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
     return frames.map_batches(own, convert, schema)
 
@@ -147,11 +151,39 @@ class CountTree:
         return places[np.minimum(self.points[places], point).sum(1) >= needed[places - low]]
 
 
+def _counts(members: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
+    """How many members of each row fall into each group of hashes: the row's point."""
+    group = (members % np.uint64(POINT_DIMENSIONS)).astype(np.int64)
+    counts = np.bincount(rows * POINT_DIMENSIONS + group, minlength=count * POINT_DIMENSIONS)
+    return counts.reshape(count, POINT_DIMENSIONS).astype(np.int32)
+
+
 def _points(members: list[np.ndarray]) -> np.ndarray:
-    owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
-    group = (np.concatenate(members) % np.uint64(POINT_DIMENSIONS)).astype(np.int64)
-    counts = np.bincount(owner * POINT_DIMENSIONS + group, minlength=len(members) * POINT_DIMENSIONS)
-    return counts.reshape(len(members), POINT_DIMENSIONS).astype(np.int32)
+    rows = np.repeat(np.arange(len(members)), [len(m) for m in members])
+    return _counts(np.concatenate(members), rows, len(members))
+
+
+def _needed(size, others: np.ndarray, percent: int) -> np.ndarray:
+    """The least overlap of sets of these sizes: 100 * overlap >= percent * (both - overlap)."""
+    return -(-percent * (size + others) // (100 + percent))
+
+
+def may_link(points: np.ndarray, percent: int) -> np.ndarray:
+    """Which of a group's points have another one that the bound does not rule out."""
+    sizes = points.sum(1)
+    order = np.argsort(sizes, kind="stable")
+    points, sizes = points[order], sizes[order]
+    hit = np.zeros(len(points), bool)
+    tree = CountTree(points, sizes)
+    for i in range(1, len(points)):
+        low = int(np.searchsorted(sizes[:i], -(-percent * sizes[i] // 100)))
+        if low < i:
+            near = tree.search(points[i], low, i, _needed(sizes[i], sizes[low:i], percent))
+            hit[near] = True
+            hit[i] |= len(near) > 0
+    found = np.zeros(len(points), bool)
+    found[order] = hit
+    return found
 
 
 def link_within(members: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -170,12 +202,10 @@ def link_within(members: list[np.ndarray], labels: np.ndarray, sides: np.ndarray
     for i in range(1, len(members)):
         if (labels[: i + 1] == labels[i]).all():
             continue
-        # 100 * overlap >= percent * union, with union = both sizes - overlap
         low = int(np.searchsorted(sizes[:i], -(-percent * sizes[i] // 100)))
         if low == i:
             continue
-        needed = -(-percent * (sizes[low:i] + sizes[i]) // (100 + percent))
-        near = tree.search(points[i], low, i, needed)
+        near = tree.search(points[i], low, i, _needed(sizes[i], sizes[low:i], percent))
         near = near[labels[near] != labels[i]]
         if sides is not None:
             near = near[sides[near] != sides[i]]
@@ -226,9 +256,8 @@ def _link_cells(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(convert, "a long, b long")
 
 
-def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*links)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _pairs(pairs: list[tuple[int, int]], names: Sequence[str] = ("a", "b")) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in zip(*pairs)], names=list(names))
 
 
 def groups(found: DataFrame) -> DataFrame:
@@ -240,6 +269,33 @@ def groups(found: DataFrame) -> DataFrame:
     return frames.written(rows.join(leads.select("key", "lead"), "key").select("lead", "node").distinct(), "groups")
 
 
+def _possible(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (lead, node, point) of groups, without nodes that can link with none of their group."""
+
+    def finish(lead, group):
+        points = np.stack([np.frombuffer(raw, "<u4") for _, raw in group]).astype(np.int32)
+        return [(lead, group[i][0]) for i in np.flatnonzero(may_link(points, percent))]
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        lead, group = None, []
+        for batch in batches:
+            kept = []
+            for own, node, point in zip(*(batch.column(c).to_pylist() for c in ("lead", "node", "point"))):
+                if own != lead:
+                    kept += finish(lead, group) if len(group) > 1 else []
+                    lead, group = own, []
+                group.append((node, unpack.decompress(point)))
+            if kept:
+                yield _pairs(kept, ["lead", "node"])
+        kept = finish(lead, group) if len(group) > 1 else []
+        if kept:
+            yield _pairs(kept, ["lead", "node"])
+
+    dealt = rows.select("lead", "node", "point").repartition("lead").sortWithinPartitions("lead")
+    return dealt.mapInArrow(convert, "lead long, node long")
+
+
 def _pack(batch):
     pack = zstandard.ZstdCompressor(level=3)
     packed = [pack.compress((text or "").encode()) for text in batch.column("text").to_pylist()]
@@ -248,8 +304,14 @@ def _pack(batch):
 
 def links(docs: DataFrame, found: DataFrame, width: int, percent: int, cell_nodes: int) -> DataFrame:
     """Links (a, b) between nodes that connect all that the threshold connects."""
-    grouped = groups(found)
-    sizes = grouped.groupBy("lead").count()
+    everything = groups(found)
+    sizes = everything.groupBy("lead").count()
+    cells = F.ceil(F.col("count") / cell_nodes).cast("long")
+    counted = frames.written(everything.join(sizes.withColumn("cells", cells), "lead"), "counted")
+    points = found.where("n_shingles > 0").groupBy("node").agg(F.min("point").alias("point"))
+    possible = _possible(counted.where("cells = 1").join(points, "node"), percent).withColumn("cells", F.lit(1).cast("long"))
+    grouped = possible.unionByName(counted.where("cells > 1").select("lead", "node", "cells"))
+    grouped = frames.written(grouped, "possible")
     wanted = grouped.select("node").distinct()
     holders = (
         found.select("doc_id", "row_key", "node")
@@ -260,12 +322,13 @@ def links(docs: DataFrame, found: DataFrame, width: int, percent: int, cell_node
     )
     # one text for each node, carried packed; rows that repeat an id and text bring it once
     texts = docs.select(F.col("doc_id").cast("long"), "text", frames.row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
+    holders = frames.written(holders, "holders")
+    texts = frames.marked(texts, F.col("row_key"), holders.select("row_key"), "held").where("held")
     same = texts["doc_id"].eqNullSafe(holders["doc_id"]) & (texts["row_key"] == holders["row_key"])
     packed = frames.map_batches(texts.join(holders, same).select("node", "text"), _pack, "node long, packed binary")
     packed = frames.written(packed, "texts").dropDuplicates(["node"])
 
-    cells = F.ceil(F.col("count") / cell_nodes).cast("long")
-    dealt = grouped.join(sizes.withColumn("cells", cells), "lead").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
+    dealt = grouped.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
     # the group's smallest node goes to each of its cells
     every = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
     placed = dealt.withColumn("cell", F.explode(F.coalesce(every, F.array("cell"))))
