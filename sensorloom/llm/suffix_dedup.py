@@ -210,6 +210,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2])]
 
 
+_RUNS = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 _VERDICT = "anchor long, content long, runs array<struct<low:int,high:int>>"
 
 
@@ -228,13 +229,7 @@ def _in_buckets(cut: DataFrame, length: int) -> DataFrame:
                     {"anchor": a, "content": c, "runs": [{"low": low, "high": high} for low, high in runs]}
                     for a, c, runs in rows
                 ],
-                schema=pa.schema(
-                    [
-                        ("anchor", pa.int64()),
-                        ("content", pa.int64()),
-                        ("runs", pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))),
-                    ]
-                ),
+                schema=pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("runs", _RUNS)]),
             )
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +275,18 @@ def _by_digest(cut: DataFrame, length: int) -> DataFrame:
     windows = frames.map_batches(cut.dropDuplicates(["anchor", "content"]), convert, schema)
     again = windows.groupBy("anchor", "digest").agg(F.sum("times").alias("n")).where("n > 1").drop("n")
     found = windows.join(again, ["anchor", "digest"])
-    run = F.struct(F.col("window").alias("low"), F.col("window").alias("high"))
-    return found.groupBy("anchor", "content").agg(F.collect_list(run).alias("runs"))
+
+    def merge(batch):
+        rows = []
+        for own in batch.column("windows").to_pylist():
+            flags = np.zeros(max(own) + 1, bool)
+            flags[own] = True
+            rows.append([{"low": low, "high": high} for low, high in _runs(flags)])
+        columns = [batch.column("anchor"), batch.column("content"), pa.array(rows, _RUNS)]
+        yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "runs"])
+
+    gathered = found.groupBy("anchor", "content").agg(F.collect_list("window").alias("windows"))
+    return frames.map_batches(gathered, merge, _VERDICT)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
