@@ -299,7 +299,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS)
     kinds = shared.groupBy("anchor").agg(
         F.count("*").alias("occurrences"), (F.min("content") == F.max("content")).alias("alike")
     )
-    known = shared.join(kinds, "anchor")
+    # written before it is grouped, so that a hot anchor's rows can be split in this join
+    known = frames.written(shared.join(kinds, "anchor"), "known")
     whole = known.where("alike").select(
         "row_key", _first(F.col("place")).alias("low"), (_first(F.col("place")) + _count(F.col("place")) - 1).alias("high")
     )
