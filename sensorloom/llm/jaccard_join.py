@@ -37,7 +37,7 @@ from sensorloom.llm.components import components
 
 WIDTH = 4
 PERCENT = 85
-POINT_DIMENSIONS = 128
+POINT_DIMENSIONS = 1_024  # enough for the bound to tell sets of tens of thousands of members apart
 LEAF = 16
 CELL_NODES = 1_000
 ORDER_DOCUMENTS = 5_000
@@ -113,7 +113,7 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, keys: bool
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows[chosen], minlength=count))])
                 columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(kept)))
                 points = _counts(members, rows, count)
-                columns.append(pa.array([pack.compress(p.astype("<u4").tobytes()) for p in points], pa.binary()))
+                columns.append(pa.array([pack.compress(_point_bytes(p)) for p in points], pa.binary()))
             names = ["doc_id", "row_key", "node", "n_shingles", "keys", "point"]
             yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
@@ -163,6 +163,15 @@ def _points(members: list[np.ndarray]) -> np.ndarray:
     return _counts(np.concatenate(members), rows, len(members))
 
 
+def _point_bytes(point: np.ndarray) -> bytes:
+    """Counts in one byte each where they fit, else in four."""
+    return point.astype("u1" if point.max() < 256 else "<u4").tobytes()
+
+
+def _point_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "u1" if len(raw) == POINT_DIMENSIONS else "<u4").astype(np.int32)
+
+
 def _needed(size, others: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap of sets of these sizes: 100 * overlap >= percent * (both - overlap)."""
     return -(-percent * (size + others) // (100 + percent))
@@ -273,7 +282,7 @@ def _possible(rows: DataFrame, percent: int) -> DataFrame:
     """The rows (lead, node, point) of groups, without nodes that can link with none of their group."""
 
     def finish(lead, group):
-        points = np.stack([np.frombuffer(raw, "<u4") for _, raw in group]).astype(np.int32)
+        points = np.stack([_point_of(raw) for _, raw in group])
         return [(lead, group[i][0]) for i in np.flatnonzero(may_link(points, percent))]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
