@@ -1,7 +1,6 @@
 """Benchmark decontamination: windows of a document that nearly equal a benchmark item.
 
-Texts are sequences of words (runs of letters, digits and non-ASCII characters, ASCII
-lower-cased). A document is contaminated by an item of m words when some window of it is
+Texts are sequences of words (lower-cased runs of letters, digits and non-ASCII characters). A document is contaminated by an item of m words when some window of it is
 within floor(0.2 * m) word insertions, deletions and substitutions of the item.
 
 - Windows: an unchanged run of ceil((m - k) / (k + 1)) words survives any k edits, so only
@@ -30,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +58,7 @@ def run_width(size: int) -> int:
 
 def _text_words(texts: pa.Array):
     """Blocks of (first row, word hashes, words)."""
-    for first, data, offsets in words.text_blocks(texts):
-        data = words.lower_ascii(data)
+    for first, data, offsets in words.text_blocks(pc.utf8_lower(texts)):
         found = words.find_words(data, offsets, words.NOT_ALPHANUMERIC)
         yield first, words.word_hashes(data, found), found
 
