@@ -72,7 +72,8 @@ class Model:
             pairs = np.unique(found.rows[known].astype(np.int64) * len(self.vocabulary) + place[known])
             rows, place = np.divmod(pairs, len(self.vocabulary))
             np.add.at(total, rows, self.weights[place])
-        return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-total))
 
 
 class _Rows:
