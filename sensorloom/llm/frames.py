@@ -42,7 +42,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def written(frame: DataFrame, purpose: str) -> DataFrame:
-    """The frame written as Parquet in the shared folder and read again: its lineage ends there."""
+    """The frame written as Parquet in the shared folder and read again: its lineage ends there.
+
+    What is returned reads the files whenever it is used, so they stay; cleaning the folder
+    between runs is the cluster's part, as with checkpoints.
+    """
     spark = frame.sparkSession
     folder = shared_folder(spark, purpose)
     schema = frame.schema
@@ -50,13 +54,6 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(schema).parquet(folder)
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder that this run has written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_batches(
     frame: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
