@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sensorloom.operators.joins import lookup_join
 
 FIELDS = ("sensor_id", "timestamp", "value")
-MAX_BATCH = 500
 _INTEGRAL = r"^[+-]?\d+(\.0+)?$"
 _NUMBER = r"^[+-]?\d+(\.\d+)?$"
 _DATED = r"^\d{4}-\d{2}-\d{2}"
@@ -37,10 +36,22 @@ def _storable(text: Column) -> Column:
     return F.when(F.abs(number) < _BELOW, number)
 
 
+def _one_document(raw: Column) -> Column:
+    """Whether the text is exactly one JSON value without repeated keys.
+
+    A parser that stops at the end of the first value is made to see the rest: what follows
+    breaks the list or the object that is put around the text.
+    """
+    in_list = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"x":'), raw, F.lit("}")))
+    return in_list.isNotNull() & in_object.isNotNull()
+
+
 def parse_readings(documents: DataFrame) -> DataFrame:
     """One JSON reading per row (column ``raw``): typed fields and ``problem``, null when valid.
 
-    A reading has exactly sensor_id > 0, timestamp and value. The document is parsed once,
+    A reading has exactly sensor_id > 0, timestamp and value, and is alone in its text: text
+    after it, a second document or a repeated key refuse the whole text. The document is parsed once,
     into texts by field name, and cast with ``try_cast``: a bad document becomes a row with
     a problem, not an error.
     """
@@ -53,20 +64,23 @@ def parse_readings(documents: DataFrame) -> DataFrame:
     known = ", ".join(f"'{name}'" for name in FIELDS)
     problem = F.expr(
         f"""CASE WHEN _fields IS NULL THEN 'not an object'
+        WHEN NOT _single THEN 'not one document'
         WHEN size(array_except(map_keys(_fields), array({known}))) > 0 THEN 'unexpected field'
         WHEN sensor_id IS NULL OR sensor_id <= 0 THEN 'sensor_id'
         WHEN timestamp IS NULL THEN 'timestamp'
         WHEN value IS NULL THEN 'value' END"""
     )
-    parsed = documents.withColumn("_fields", F.from_json("raw", "map<string,string>"))
-    return parsed.withColumns(typed).withColumn("problem", problem).drop("_fields")
+    parsed = documents.withColumns(
+        {"_fields": F.from_json("raw", "map<string,string>"), "_single": _one_document(F.col("raw"))}
+    )
+    return parsed.withColumns(typed).withColumn("problem", problem).drop("_fields", "_single")
 
 
-def parse_batches(documents: DataFrame) -> DataFrame:
+def parse_batches(documents: DataFrame, most_readings: int | None = None) -> DataFrame:
     """One JSON batch {"readings": [...]} per row: its readings in order, with ``problem``.
 
-    A batch is accepted or refused whole: at most 500 readings, no other field, and
-    every reading valid. A refused batch keeps its rows, all marked with its problem.
+    A batch is accepted or refused whole: no other field, every reading valid, and no more
+    than ``most_readings`` of them where a client contract sets such a bound. A refused batch keeps its rows, all marked with its problem.
     Expects ``batch_id`` and ``raw``.
     """
     only = F.array(F.lit("readings"))
@@ -74,10 +88,12 @@ def parse_batches(documents: DataFrame) -> DataFrame:
     items = F.from_json("raw", "readings array<string>")["readings"]
     problem = (
         F.when(keys.isNull() | (F.size(F.array_except(only, keys)) > 0), "no readings")
+        .when(~_one_document(F.col("raw")), "not one document")
         .when(F.size(F.array_except(keys, only)) > 0, "unexpected field")
         .when(items.isNull(), "readings is not a list")
-        .when(F.size(items) > MAX_BATCH, f"more than {MAX_BATCH} readings")
     )
+    if most_readings is not None:
+        problem = problem.when(F.size(items) > most_readings, f"more than {most_readings} readings")
     batches = documents.select("batch_id", F.coalesce(items, F.array()).alias("_items"), problem.alias("_batch_problem"))
     rows = batches.select("batch_id", "_batch_problem", F.posexplode_outer("_items").alias("seq", "raw"))
     read = parse_readings(rows).withColumn(

@@ -56,10 +56,18 @@ def test_malformed_readings(spark, document, problem):
     assert row.problem == problem
 
 
+def test_no_reading_hides_behind_another(spark):
+    one = json.dumps({"sensor_id": 1, "timestamp": TIME, "value": 1.0})
+    texts = [f"{one} {one}", f"{one} trailing", f"{one},", one[:-1] + ', "value": 2.0}', f" {one} "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "seq long, raw string")
+    problems = {r.seq: r.problem for r in ingestion.parse_readings(frame).collect()}
+    assert problems == {0: "not one document", 1: "not one document", 2: "not one document", 3: "not one document", 4: None}
+
+
 def batches(spark, *documents):
     texts = [d if isinstance(d, str) else json.dumps(d) for d in documents]
     frame = spark.createDataFrame(list(enumerate(texts)), "batch_id long, raw string")
-    return ingestion.parse_batches(frame)
+    return ingestion.parse_batches(frame, most_readings=500)
 
 
 def test_batches_are_taken_or_refused_whole(spark):
