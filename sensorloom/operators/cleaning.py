@@ -72,7 +72,8 @@ def with_positions(readings: DataFrame, times: DataFrame | None = None, slot: st
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select("sensor_id", "_slot", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
-    by_time = Window.partitionBy("sensor_id", "_slot").orderBy("timestamp")
+    ties = [name for name in ("id",) if name in readings.columns]  # repeated times keep one order
+    by_time = Window.partitionBy("sensor_id", "_slot").orderBy("timestamp", *ties)
     return (
         readings.select("*", in_slot)
         .withColumn("_rank", F.row_number().over(by_time))

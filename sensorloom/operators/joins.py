@@ -5,34 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SALTS = 16
-_SALT = "_salt"
 
+def lookup_join(facts: DataFrame, dimension: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join facts with a dimension of unknown size.
 
-def lookup_join(
-    facts: DataFrame,
-    dimension: DataFrame,
-    on: str | Sequence[str],
-    how: str = "inner",
-    spread_by: Sequence[str] = ("timestamp",),
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join facts with a dimension of unknown size without trusting the key's spread.
+    No hint and no salt: Catalyst broadcasts the dimension as it is while its size is under
+    the session's threshold. Beyond it both sides are shuffled on the key, and AQE splits the
+    partition of a hot key on the fact side.
 
-    No broadcast hint: Catalyst broadcasts the dimension while its measured size is
-    under the session's threshold and shuffles both sides beyond it. For that case the
-    key is salted, so a key holding a third of the facts is met by ``salts`` tasks and
-    not by one, and what is still uneven is left to AQE's skew split. ``spread_by`` names
-    fact columns that vary within a key.
-
-    ``how`` is inner, left, left_semi or left_anti: kinds that a replicated right side
-    does not change.
+    ``how`` is inner, left, left_semi or left_anti: kinds whose fact side can be split.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
-        raise ValueError(f"a salted lookup cannot be a {how} join")
-    keys = [on] if isinstance(on, str) else list(on)
-    salted = facts.withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    replicated = dimension.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(replicated, [*keys, _SALT], how).drop(_SALT)
+        raise ValueError(f"a lookup cannot be a {how} join")
+    return facts.join(dimension, [on] if isinstance(on, str) else list(on), how)

@@ -116,7 +116,7 @@ def fact_sensor_readings(staged_readings: DataFrame, staged_sensors: DataFrame,
     places = staged_sensors.select("sensor_id", "zone_id").join(
         staged_zones.select("zone_id", "greenhouse_id"), "zone_id"
     )
-    return lookup_join(staged_readings, places, "sensor_id", spread_by=["reading_timestamp"]).select(
+    return lookup_join(staged_readings, places, "sensor_id").select(
         "reading_id",
         "reading_timestamp",
         F.date_trunc("hour", "reading_timestamp").alias("hour_utc"),

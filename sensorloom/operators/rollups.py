@@ -34,7 +34,7 @@ def hourly_rollup(clean: DataFrame, sensors: DataFrame) -> DataFrame:
 def hourly_zone_metrics(hourly: DataFrame, dim_zone: DataFrame) -> DataFrame:
     """The hourly roll-up with its site."""
     sites = dim_zone.select("zone_id", "greenhouse_id")
-    return lookup_join(hourly, sites, "zone_id", spread_by=["hour_utc"]).select(
+    return lookup_join(hourly, sites, "zone_id").select(
         "zone_id", "greenhouse_id", "sensor_type", "hour_utc",
         "min_value", "max_value", "avg_value", "std_value", "sample_count",
     )
@@ -45,7 +45,7 @@ def daily_greenhouse_metrics(fact: DataFrame, dim_zone: DataFrame) -> DataFrame:
     sites = dim_zone.select("zone_id", "greenhouse_id")
     usual = fact.filter(~F.col("is_outlier")).drop("greenhouse_id")
     return (
-        lookup_join(usual, sites, "zone_id", spread_by=["reading_timestamp"])
+        lookup_join(usual, sites, "zone_id")
         .groupBy("greenhouse_id", F.to_date("reading_timestamp").alias("metric_date"), "sensor_type")
         .agg(*rollup_metrics("reading_value"), F.count_if("is_outlier").alias("outlier_count"))
     )

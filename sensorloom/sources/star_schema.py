@@ -94,7 +94,7 @@ def repeated_readings(spark: SparkSession, directory: str) -> DataFrame:
 def _with_newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Flag the newest row per key; the per-key winner is found by partial aggregation."""
     newest = rows.groupBy(*keys).agg(F.max_by("event_id", "ts").alias("newest_id"))
-    joined = lookup_join(rows, newest, keys, spread_by=["event_id"])
+    joined = lookup_join(rows, newest, keys)
     return joined.withColumn("is_newest", F.expr("event_id = newest_id"))
 
 

@@ -170,6 +170,19 @@ def test_lookup_join_equals_a_plain_join(spark, fleet, how, threshold):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_lookup_join_refuses_kinds_a_replica_would_change(fleet):
+def test_lookup_join_broadcasts_the_dimension_as_it_is(spark, fleet, capsys):
+    dim = fleet.sensors((1, 1, "temperature")).select(F.col("id").alias("sensor_id"), "sensor_type")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold, join in (("10MB", "BroadcastHashJoin"), ("-1", "SortMergeJoin")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            lookup_join(fleet.readings(), dim, "sensor_id").explain()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        plan = capsys.readouterr().out
+        assert join in plan and "Generate" not in plan
+
+
+def test_lookup_join_refuses_kinds_whose_facts_cannot_be_split(fleet):
     with pytest.raises(ValueError):
         lookup_join(fleet.readings(), fleet.sensors(), "id", "full_outer")
