@@ -7,8 +7,11 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.functions.text import quoted
+
 TARGET = "yield_kg_per_m2"
 CATEGORICAL = "crop_type"
+# Names of the numeric inputs, as records and requests have them.
 NUMERIC = (
     "avg_temperature_C",
     "min_temperature_C",
@@ -54,11 +57,11 @@ def preprocessor_stages(training: DataFrame, relative_error: float = 0.001) -> l
     """
     derived = ", ".join(f"CAST({text} AS DOUBLE) AS {name}" for name, text in DERIVED.items())
     numeric = ", ".join(f"CAST({name} AS DOUBLE) AS {name}_num" for name in NUMERIC)
-    mode = most_frequent_crop(training).replace("'", "")
+    mode = quoted(most_frequent_crop(training))
     inputs = [*[f"{name}_num" for name in NUMERIC], *DERIVED]
     filled = [f"{name}_filled" for name in inputs]
     return [
-        SQLTransformer(statement=f"SELECT *, {derived}, {numeric}, coalesce({CATEGORICAL}, '{mode}') AS crop FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {derived}, {numeric}, coalesce({CATEGORICAL}, {mode}) AS crop FROM __THIS__"),
         Imputer(strategy="median", inputCols=inputs, outputCols=filled, relativeError=relative_error),
         VectorAssembler(inputCols=filled, outputCol="numeric"),
         StandardScaler(inputCol="numeric", outputCol="scaled", withMean=True, withStd=True),

@@ -18,13 +18,20 @@ from sensorloom.operators.yields.features import TARGET, build_preprocessor
 from sensorloom.operators.yields.split import SEED, assign_split
 
 
+# The most training rows the estimators are fitted on: boosting takes a thousand passes over
+# them. Preprocessing, validation and test metrics use every row of their split.
+FIT_ROWS = 10_000
+ROWS_PER_TASK = 2_500
+
+
 def build_estimators(trees: int = 200, rounds: int = 200, extra_rounds: int = 300, depth: int = 15) -> dict[str, Estimator]:
     """The candidates at full size by default; smaller numbers give quick runs."""
+    # The published sizes, learning rates and shares.
     common = {"labelCol": TARGET, "featuresCol": "features", "predictionCol": "prediction"}
     return {
         "linear_regression": LinearRegression(regParam=0.0, **common),
         "random_forest": RandomForestRegressor(
-            numTrees=trees, maxDepth=depth, minInstancesPerNode=3, seed=SEED, **common
+            numTrees=trees, maxDepth=depth, minInstancesPerNode=3, maxMemoryInMB=1024, seed=SEED, **common
         ),
         "gradient_boosting": GBTRegressor(maxIter=rounds, maxDepth=min(5, depth), stepSize=0.05, seed=SEED, **common),
         "subsampled_boosting": GBTRegressor(
@@ -46,35 +53,57 @@ class TrainedModels:
         return PipelineModel(stages=[self.preprocessor, self.fitted[self.best]])
 
 
-def train(records: DataFrame, estimators: Mapping[str, Estimator] | None = None, key: str = "record_id") -> TrainedModels:
+def train(
+    records: DataFrame,
+    estimators: Mapping[str, Estimator] | None = None,
+    key: str = "record_id",
+    fit_rows: int | None = FIT_ROWS,
+) -> TrainedModels:
     """Fit every candidate on the training split; the best validation R2, then RMSE, wins.
 
+    Estimators are fitted on at most ``fit_rows`` rows of the training split, about that many
+    by the hash of their key. A candidate whose R2 is not defined ranks last.
+
     The preprocessor only sees training rows. The records are read by each of its passes
     and the prepared rows by every pass of every estimator, so both are kept in memory,
     with disk behind it, for the run.
     """
     estimators = estimators or build_estimators()
     parts = assign_split(records.filter(F.col(TARGET).isNotNull()), key).persist(StorageLevel.MEMORY_AND_DISK)
-    prepared = None
+    prepared = fitting = None
     try:
+        sizes = dict(parts.groupBy("split").count().collect())
+        for name in ("train", "validation", "test"):
+            if not sizes.get(name):
+                raise ValueError(f"the {name} split has no rows")
         preprocessor = fit_preprocessor(parts)
-        prepared = preprocessor.transform(parts).select("split", "features", TARGET)
+        prepared = preprocessor.transform(parts).select(key, "split", "features", TARGET)
         prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
         rows = {name: prepared.filter(F.col("split") == name) for name in ("train", "validation", "test")}
-        fitted = {name: Pipeline(stages=[e]).fit(rows["train"]) for name, e in estimators.items()}
+        fitting = rows["train"]
+        if fit_rows is not None and sizes["train"] > fit_rows:
+            chance = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(1_000_000)) * sizes["train"]
+            fitting = fitting.filter(chance < fit_rows * 1_000_000)
+        if fit_rows is not None:
+            # a bounded number of rows, read by thousands of short passes: few tasks each
+            fitting = fitting.coalesce(-(-fit_rows // ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
+        fitted = {name: Pipeline(stages=[e]).fit(fitting) for name, e in estimators.items()}
         scored = [
             model.transform(rows["validation"]).select(F.lit(name).alias("model"), TARGET, "prediction")
             for name, model in fitted.items()
         ]
         metrics = regression_metrics(reduce(DataFrame.unionByName, scored), TARGET, "prediction", "model").collect()
         spark = records.sparkSession
-        ranked = sorted(metrics, key=lambda m: (-m["r2"], m["rmse"]))  # one row per candidate
+        # one row per candidate
+        ranked = sorted(metrics, key=lambda m: (m["r2"] is None, -(m["r2"] or 0.0), m["rmse"]))
         best = ranked[0]["model"]
         test = regression_metrics(fitted[best].transform(rows["test"]), TARGET, "prediction").collect()
         return TrainedModels(
             preprocessor, fitted, _frame(spark, ranked), best, _frame(spark, test)
         )
     finally:
+        if fitting is not None:
+            fitting.unpersist()
         parts.unpersist()
         if prepared is not None:
             prepared.unpersist()

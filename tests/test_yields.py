@@ -154,3 +154,24 @@ def test_csv_round_trip(spark, records, tmp_path):
     again = files.read_yield_csv(spark, str(tmp_path / "csv"))
     assert again.schema == schemas.YIELD_RECORDS
     assert again.exceptAll(records.drop("record_id")).count() == 0 and again.count() == 200
+
+
+def test_an_undefined_r2_ranks_last_and_an_empty_split_is_an_error(records):
+    flat = records.withColumn(features.TARGET, F.lit(2.0))
+    linear = {"linear_regression": train.build_estimators()["linear_regression"]}
+    assert train.train(flat, linear).best == "linear_regression"
+    with pytest.raises(ValueError, match="split has no rows"):
+        train.train(records.limit(1), linear)
+
+
+def test_fit_rows_bound_the_fit_alone(records):
+    linear = {"linear_regression": train.build_estimators()["linear_regression"]}
+    few, all_rows = train.train(records, linear, fit_rows=60), train.train(records, linear)
+    assert few.leaderboard.first().row_count == all_rows.leaderboard.first().row_count
+    assert few.leaderboard.first().rmse != all_rows.leaderboard.first().rmse
+
+
+def test_a_crop_with_an_apostrophe_is_imputed_as_itself(records):
+    named = records.withColumn("crop_type", F.when(F.col("record_id") % 5 > 0, F.lit("Baker's")))
+    model = features.build_preprocessor(named).fit(named)
+    assert {r.crop for r in model.transform(named).select("crop").distinct().collect()} == {"Baker's"}
