@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +35,13 @@ def latest_timestamp(readings: DataFrame) -> Column:
 
 
 def between(column: Column, start: Instant | None, end: Instant | None) -> Column:
-    """Closed range; a missing end is open."""
+    """Closed range; a missing end is open. A start after the end is an error."""
+    check_order(start, end)
     condition = F.lit(True)
+    if isinstance(start, Column) or isinstance(end, Column):
+        if start is not None and end is not None:
+            ordered = F.coalesce(instant(start) <= instant(end), F.lit(True))
+            condition = F.assert_true(ordered, F.lit("start must not be after end")).isNull()
     if start is not None:
         condition = condition & (column >= instant(start))
     if end is not None:
@@ -45,6 +50,16 @@ def between(column: Column, start: Instant | None, end: Instant | None) -> Colum
 
 
 def check_order(start: Instant | None, end: Instant | None) -> None:
-    """Reject a window whose literal start lies after its literal end."""
-    if isinstance(start, datetime) and isinstance(end, datetime) and start > end:
+    """Reject a window whose start lies after its end, given as datetimes or ISO texts."""
+    first, last = _literal(start), _literal(end)
+    if first is not None and last is not None and first > last:
         raise ValueError("start must not be after end")
+
+
+def _literal(value: Instant | None) -> datetime | None:
+    """The instant of a datetime or text; None for columns, which are checked as they run."""
+    if isinstance(value, str):
+        value = datetime.fromisoformat(value)
+    if not isinstance(value, datetime):
+        return None
+    return value if value.tzinfo else value.replace(tzinfo=timezone.utc)

@@ -15,6 +15,7 @@ from sensorloom.operators.overview import placed_sensors, resolved_ranges
 from sensorloom.schemas import ACTIVE_ALERT_STATUSES, ALERTS
 from sensorloom.settings import DEFAULTS, Settings
 
+# The sentences of alerts in this module are output and must match.
 # One row per evaluated (sensor, alert type); ``fired`` says whether its condition holds.
 EVALUATION = (
     "sensor_id", "alert_type", "fired", "greenhouse_id", "zone_id", "severity", "message", "value", "threshold",
@@ -22,9 +23,14 @@ EVALUATION = (
 
 
 def threshold_evaluation(
-    sensors: DataFrame, zones: DataFrame, readings: DataFrame, settings: Settings = DEFAULTS
+    sensors: DataFrame, zones: DataFrame, readings: DataFrame, as_of: Instant, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Both threshold types of every sensor that has a reading and a range."""
+    """Both threshold types of every sensor that has a reading and a range.
+
+    Readings of more than a day after ``as_of`` come from a wrong clock and are not looked at:
+    as the newest ones they would keep an alert firing whatever arrives.
+    """
+    readings = readings.filter(F.col("timestamp") <= instant(as_of) + F.make_dt_interval(days=F.lit(1)))
     status = status_of("value", "range_min", "range_max", settings.warning_tolerance_percent)
     ranged = resolved_ranges(sensors, zones, settings).filter("range_min IS NOT NULL AND range_max IS NOT NULL")
     latest = ranged.join(latest_per_sensor(readings), "sensor_id").withColumn("status", F.expr(status))
@@ -80,10 +86,11 @@ def fired(evaluation: DataFrame) -> DataFrame:
 
 
 def alert_evaluation(
-    sensors: DataFrame, zones: DataFrame, readings: DataFrame, as_of: Instant, settings: Settings = DEFAULTS
+    sensors: DataFrame, zones: DataFrame, readings: DataFrame, as_of: Instant, settings: Settings = DEFAULTS,
+    detector=None,
 ) -> DataFrame:
-    return threshold_evaluation(sensors, zones, readings, settings).unionByName(
-        anomaly_evaluation(sensors, zones, readings, as_of, settings)
+    return threshold_evaluation(sensors, zones, readings, as_of, settings).unionByName(
+        anomaly_evaluation(sensors, zones, readings, as_of, settings, detector)
     )
 
 

@@ -10,9 +10,20 @@ from sensorloom.functions.time import Instant, between, check_order, hours_befor
 from sensorloom.operators.joins import lookup_join
 
 
-def _check_page(limit: int, offset: int, most: int) -> None:
-    if not 1 <= limit <= most or offset < 0:
-        raise ValueError(f"limit must be 1..{most} and offset not negative")
+def _check_page(limit: int, offset: int, most: int | None) -> None:
+    if limit < 1 or offset < 0 or (most is not None and limit > most):
+        raise ValueError("limit must be positive, within the most allowed, and offset not negative")
+
+
+def below(frame: DataFrame, time: str, after: tuple[Instant, int] | None) -> DataFrame:
+    """Rows that follow the last row of a page, newest first, given that row's time and id.
+
+    Pages found this way keep one page of rows a task, however deep they lie.
+    """
+    if after is None:
+        return frame
+    at, last = instant(after[0]), F.lit(after[1])
+    return frame.filter((F.col(time) < at) | ((F.col(time) == at) & (F.col("id") < last)))
 
 
 def greenhouse_listing(greenhouses: DataFrame, greenhouse_id: int | None = None) -> DataFrame:
@@ -32,11 +43,14 @@ def sensors_of_zone(sensors: DataFrame, zone_id: int | None = None) -> DataFrame
     return found.orderBy("zone_id", "id")
 
 
-def _page(readings: DataFrame, start: Instant | None, end: Instant | None, limit: int, offset: int) -> DataFrame:
-    check_order(start, end)
-    _check_page(limit, offset, 10_000)
+def _page(
+    readings: DataFrame, start: Instant | None, end: Instant | None, limit: int, offset: int,
+    after: tuple[Instant, int] | None, most: int | None,
+) -> DataFrame:
+    _check_page(limit, offset, most)
     return (
-        readings.filter(between(F.col("timestamp"), start, end))
+        below(readings, "timestamp", after)
+        .filter(between(F.col("timestamp"), start, end))
         .select("id", "sensor_id", "timestamp", F.col("value").cast("double").alias("value"))
         .orderBy(F.col("timestamp").desc(), F.col("id").desc())
         .offset(offset)
@@ -47,23 +61,29 @@ def _page(readings: DataFrame, start: Instant | None, end: Instant | None, limit
 def sensor_history(
     readings: DataFrame, sensors: DataFrame, sensor_id: int,
     start: Instant | None = None, end: Instant | None = None, limit: int = 1000, offset: int = 0,
+    after: tuple[Instant, int] | None = None, most: int | None = None,
 ) -> DataFrame:
-    """One sensor's readings, newest first; empty for a sensor that does not exist."""
+    """One sensor's readings, newest first; empty for a sensor that does not exist.
+
+    ``after`` is the (timestamp, id) of the last row of the page before; ``most`` bounds the
+    limit where a client contract does.
+    """
     known = sensors.filter(F.col("id") == sensor_id).select(F.col("id").alias("sensor_id"))
     own = lookup_join(readings.filter(F.col("sensor_id") == sensor_id), known, "sensor_id", "left_semi")
-    return _page(own, start, end, limit, offset)
+    return _page(own, start, end, limit, offset, after, most)
 
 
 def greenhouse_history(
     readings: DataFrame, sensors: DataFrame, zones: DataFrame, greenhouse_id: int,
     sensor_type: str | None = None,
     start: Instant | None = None, end: Instant | None = None, limit: int = 1000, offset: int = 0,
+    after: tuple[Instant, int] | None = None, most: int | None = None,
 ) -> DataFrame:
-    """A site's readings of all or one sensor type, newest first."""
+    """A site's readings of all or one sensor type, newest first; pages as in ``sensor_history``."""
     placed = zones.filter(F.col("greenhouse_id") == greenhouse_id).select(F.col("id").alias("zone_id"))
     own = sensors if sensor_type is None else sensors.filter(F.col("sensor_type") == sensor_type)
     ids = own.join(placed, "zone_id", "left_semi").select(F.col("id").alias("sensor_id"))
-    return _page(lookup_join(readings, ids, "sensor_id", "left_semi"), start, end, limit, offset)
+    return _page(lookup_join(readings, ids, "sensor_id", "left_semi"), start, end, limit, offset, after, most)
 
 
 def latest_per_sensor(readings: DataFrame) -> DataFrame:

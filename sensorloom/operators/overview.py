@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions.numeric import exact_mean
 from sensorloom.functions.status import deviation_percent, status_of, worst_status
 from sensorloom.functions.time import Instant, check_order, instant
-from sensorloom.operators.history import sensor_stats
+from sensorloom.operators.history import _check_page, below, sensor_stats
 from sensorloom.operators.joins import lookup_join
 from sensorloom.schemas import ACTIVE_ALERT_STATUSES
 from sensorloom.settings import DEFAULTS, Settings
@@ -158,33 +158,12 @@ def _zones_under(sites: DataFrame, zones: DataFrame) -> DataFrame:
 
     Zones look up their site, not the other way round: a site may hold most of the zones.
     """
-    filled = lookup_join(zones, sites, "greenhouse_id", spread_by=["zone_id"])
+    filled = lookup_join(zones, sites, "greenhouse_id")
     vacant = sites.join(zones.select("greenhouse_id").distinct(), "greenhouse_id", "left_anti")
     below = [c for c in zones.columns if c != "greenhouse_id"]
     return filled.unionByName(vacant, allowMissingColumns=True).select(*sites.columns, *below)
 
 
-def greenhouse_documents(overviews: DataFrame, zones: DataFrame, most_zones: int = 10_000) -> DataFrame:
-    """Site overviews with their zone documents nested; see ``site_documents`` for its limit."""
-    renamed = zones.withColumnsRenamed({"name": "zone_name", "overall_status": "zone_status", "sensor_count": "zone_sensor_count"})
-    return site_documents(_zones_under(overviews, renamed), overviews.columns, most_zones)
-
-
-def site_documents(flat: DataFrame, site: list[str], most_zones: int = 10_000) -> DataFrame:
-    """Nest the zone rows of ``topology`` or ``zone_documents`` into one document per site.
-
-    Meant for sites of ordinary size: a site with more zones raises and is served by the
-    flat rows instead; nothing is cut off.
-    """
-    sizes = flat.groupBy("greenhouse_id").agg(F.count("zone_id").alias("_zones"))
-    checked = lookup_join(flat, sizes, "greenhouse_id", spread_by=["zone_id"]).filter(
-        F.assert_true(F.col("_zones") <= most_zones, F.lit("site too large to nest; read the flat rows")).isNull()
-    )
-    zone_fields = [c for c in flat.columns if c not in {*site, "zone_id"}]
-    zone = F.when(F.col("zone_id").isNotNull(), F.struct("zone_id", *zone_fields))
-    return checked.groupBy(*site).agg(F.sort_array(F.collect_list(zone)).alias("zones"))
-
-
 def fleet_kpis(summaries: DataFrame, counts: DataFrame) -> DataFrame:
     """One row of fleet totals, from summaries and open counts in a single aggregate."""
     value, kind = F.col("current_value"), F.col("sensor_type")
@@ -221,11 +200,13 @@ def filtered(frame: DataFrame, **equal) -> DataFrame:
     return frame.filter(reduce(lambda a, b: a & b, tests)) if tests else frame
 
 
-def listing(frame: DataFrame, limit: int = 50, offset: int = 0, **equal) -> DataFrame:
-    """A page of alerts or recommendations, newest first."""
-    if not 1 <= limit <= 500 or offset < 0:
-        raise ValueError("limit must be 1..500 and offset not negative")
-    ordered = filtered(frame, **equal).orderBy(F.col("created_at").desc(), F.col("id").desc())
+def listing(
+    frame: DataFrame, limit: int = 50, offset: int = 0, after: tuple[Instant, int] | None = None,
+    most: int | None = None, **equal,
+) -> DataFrame:
+    """A page of alerts or recommendations, newest first; pages as in ``sensor_history``."""
+    _check_page(limit, offset, most)
+    ordered = below(filtered(frame, **equal), "created_at", after).orderBy(F.col("created_at").desc(), F.col("id").desc())
     return ordered.offset(offset).limit(limit)
 
 

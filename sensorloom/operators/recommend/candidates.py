@@ -27,22 +27,36 @@ def _with_limits(zones: DataFrame) -> DataFrame:
     return zones.selectExpr("*", *limits)
 
 
-def all_candidates(context: Context, rules: Sequence[ZoneRule | FrameRule] = RULES) -> DataFrame:
-    """Everything the rules propose. A rule that cannot be built is logged and left out."""
-    if "predicted_yield" not in context.zones.columns:
-        rules = [rule for rule in rules if rule.name != "yield_risk"]
-    zones = _with_limits(context.zones)
-    structs, frames = [], []
+def ready_rules(
+    context: Context, rules: Sequence[ZoneRule | FrameRule] = RULES
+) -> tuple[list[ZoneRule | FrameRule], set[str]]:
+    """The rules that can be evaluated in a context, and the recommendation types they speak for.
+
+    A rule that cannot be built is logged and left out, and so is the yield rule without a
+    model. What they have proposed before is neither confirmed nor over: reconcile with the
+    types returned here.
+    """
+    zones, ready = _with_limits(context.zones), []
     for rule in rules:
+        if rule.name == "yield_risk" and "predicted_yield" not in context.zones.columns:
+            continue
         try:
             if isinstance(rule, ZoneRule):
-                struct = rule.candidate(context)
-                zones.selectExpr(struct)
-                structs.append(struct)
+                zones.selectExpr(rule.candidate(context))
             else:
-                frames.append(rule.candidates(context))
+                rule.candidates(context)
+            ready.append(rule)
         except Exception:
             logger.exception("rule %s failed", rule.name)
+    return ready, {rule.name for rule in ready}
+
+
+def all_candidates(context: Context, rules: Sequence[ZoneRule | FrameRule] = RULES) -> DataFrame:
+    """Everything the rules that can be evaluated propose."""
+    ready, _ = ready_rules(context, rules)
+    zones = _with_limits(context.zones)
+    structs = [rule.candidate(context) for rule in ready if isinstance(rule, ZoneRule)]
+    frames = [rule.candidates(context) for rule in ready if isinstance(rule, FrameRule)]
     if structs:
         frames.insert(0, zones.selectExpr(f"inline(array_compact(array({', '.join(structs)})))"))
     if not frames:

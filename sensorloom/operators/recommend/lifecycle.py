@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,15 @@ def recommendation_reconcile(
     evaluated_zones: DataFrame,
     as_of: Instant,
     scope: str = "greenhouse",
+    types: Collection[str] | None = None,
 ) -> DataFrame:
     """Meet open recommendations with the candidates of the evaluated zones.
 
     update: still proposed. insert: newly proposed. complete: open in the evaluated
     scope and no longer proposed. keep: outside that scope. With ``greenhouse`` the
     scope is every zone of an evaluated zone's site, so evaluating one zone closes its
-    neighbours' items too; ``zones`` limits it to the zones themselves.
+    neighbours' items too; ``zones`` limits it to the zones themselves. ``types`` names the
+    recommendation types whose rules were evaluated: others are kept, not completed.
     """
     if scope not in {"greenhouse", "zones"}:
         raise ValueError("scope must be greenhouse or zones")
@@ -34,15 +38,16 @@ def recommendation_reconcile(
         evaluated_zones.select("greenhouse_id", zone_key).select(*reach).distinct().withColumn("evaluated", F.lit(True))
     )
     opened = recommendations.filter("status = 'open'").withColumn("zone_key", zone_key)
-    opened = lookup_join(opened, evaluated, reach, "left", spread_by=["id"])
+    opened = lookup_join(opened, evaluated, reach, "left")
     keys = ["greenhouse_id", "zone_key", "recommendation_type"]
     proposed = candidates.withColumns({"zone_key": zone_key, "proposed": F.lit(True)})
     joined = opened.alias("r").join(proposed.alias("c"), keys, "full_outer")
     exists, is_proposed = F.col("r.id").isNotNull(), F.col("c.proposed").isNotNull()
+    spoken_for = F.lit(True) if types is None else F.col("recommendation_type").isin(*types)
     action = (
         F.when(exists & is_proposed, "update")
         .when(is_proposed, "insert")
-        .when(F.col("r.evaluated").isNotNull(), "complete")
+        .when(F.col("r.evaluated").isNotNull() & spoken_for, "complete")
         .otherwise("keep")
     )
     is_new, completes = F.col("action") == "insert", F.col("action") == "complete"

@@ -19,6 +19,9 @@ from sensorloom.operators.recommend.context import Context
 from sensorloom.schemas import CANDIDATE_RECOMMENDATIONS
 
 
+# The sentences, types and priorities in this module are output and must match.
+
+
 @dataclass(frozen=True)
 class ZoneRule:
     name: str

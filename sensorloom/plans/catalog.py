@@ -38,8 +38,14 @@ WIDE = replace(DEFAULTS, anomaly_max_age_hours=31 * 24, recent_hours=31 * 24, su
 WINDOW = ("2024-01-20T00:00:00Z", "2024-01-30T12:00:00Z")
 INVENTORY_AT = "2024-01-02T00:00:00Z"
 STORED_UNTIL = "2024-01-11T00:00:00Z"
+PAGE_END = ("2024-01-25T00:00:00Z", 1000)
+# Labelled rows the candidates are fitted on here; trees, rounds and depths have their full sizes.
+QUERY_FIT_ROWS = 2_000
+ALERTS_AT = "2024-01-20T00:00:00Z"
 CHECKED_AT = "2024-01-31T00:00:00Z"
-REDUCED = {"trees": 10, "rounds": 5, "extra_rounds": 5, "depth": 6}
+
+
+_TRAINED: dict[tuple[str, str], train.TrainedModels] = {}
 
 
 class Star:
@@ -87,6 +93,14 @@ class Star:
     def records(self):
         return self._load(star_schema.yield_records)
 
+    @property
+    def trained(self):
+        """The candidates at full size; trained once for a session and a directory."""
+        key = (self.spark.sparkContext.applicationId, self.directory)
+        if key not in _TRAINED:
+            _TRAINED[key] = train.train(self.records, fit_rows=QUERY_FIT_ROWS)
+        return _TRAINED[key]
+
     @cached_property
     def documents(self):
         return self._load(star_schema.reading_documents)
@@ -336,6 +350,18 @@ def readings_total(s: Star):
     return history.readings_total(s.readings)
 
 
+@query
+def history_after(s: Star):
+    """The page of a sensor that follows a given row."""
+    return history.sensor_history(s.readings, s.sensors, 7, *WINDOW, limit=20, after=PAGE_END)
+
+
+@query
+def alerts_after(s: Star):
+    """The page of alerts that follows a given row."""
+    return overview.listing(s.alerts, limit=50, after=PAGE_END, severity="warning")
+
+
 @query
 def greenhouse_listing(s: Star):
     return history.greenhouse_listing(s.greenhouses)
@@ -419,7 +445,7 @@ def anomaly_latest(s: Star):
 
 @query
 def threshold_alerts(s: Star):
-    return alerts.fired(alerts.threshold_evaluation(s.sensors, s.zones, s.readings))
+    return alerts.fired(alerts.threshold_evaluation(s.sensors, s.zones, s.readings, ALERTS_AT))
 
 
 @query
@@ -499,7 +525,8 @@ def recommendation_candidates(s: Star):
 @query
 def recommendation_reconcile(s: Star):
     proposed = candidates.recommendation_candidates(s.context)
-    changes = lifecycle.recommendation_reconcile(s.recommendations, proposed, s.context.zones, s.now)
+    types = candidates.ready_rules(s.context)[1]
+    changes = lifecycle.recommendation_reconcile(s.recommendations, proposed, s.context.zones, s.now, types=types)
     return changes.withColumn("id", F.when(F.col("action") != "insert", F.col("id")))
 
 
@@ -680,14 +707,12 @@ def yield_preprocess(s: Star):
 
 @query
 def yield_leaderboard(s: Star):
-    return train.leaderboard_document(train.train(s.records, train.build_estimators(**REDUCED)))
+    return train.leaderboard_document(s.trained)
 
 
 @query
 def yield_scores(s: Star):
-    linear = {"linear_regression": train.build_estimators(**REDUCED)["linear_regression"]}
-    model = train.train(s.records, linear).best_pipeline()
-    return score.score(model, score.validate_requests(s.records).filter("accepted"))
+    return score.score(s.trained.best_pipeline(), score.validate_requests(s.records).filter("accepted"))
 
 
 @query

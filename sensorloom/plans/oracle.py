@@ -208,6 +208,7 @@ BASE = {
         FROM inputs""",
 }
 
+HORIZON = "TIMESTAMP '2024-01-21'"  # a day after the evaluation
 _TYPES = ("temperature", "humidity", "soil_moisture", "light", "co2", "irrigation")
 
 
@@ -253,8 +254,10 @@ def _fill(text: str) -> str:
     )
 
 
-def _threshold_evaluation() -> str:
-    """Both threshold types of every sensor with a range and a reading."""
+def _threshold_evaluation(horizon: str | None = None) -> str:
+    """Both threshold types of every sensor with a range and a reading, not later than a horizon."""
+    newest = "latest" if horizon is None else f"""(SELECT sensor_id, CAST(arg_max(value, "timestamp") AS DOUBLE) AS value
+        FROM readings WHERE "timestamp" <= {horizon} GROUP BY sensor_id)"""
     status = _status("value", "range_min", "range_max")
 
     def side(kind: str, fires: str, word: str, limit: str) -> str:
@@ -265,7 +268,7 @@ def _threshold_evaluation() -> str:
             value, {_plain('range_min')} || '–' || {_plain('range_max')} || ' ' || unit AS threshold FROM judged"""
 
     outside = "status IN ('warning', 'critical')"
-    return f"""WITH judged AS (SELECT a.*, l.value, {status} AS status FROM alerting a JOIN latest l ON l.sensor_id = a.sensor_id
+    return f"""WITH judged AS (SELECT a.*, l.value, {status} AS status FROM alerting a JOIN {newest} l ON l.sensor_id = a.sensor_id
           WHERE range_min IS NOT NULL AND range_max IS NOT NULL)
         {side('threshold_high', f'({outside} AND value > range_max)', 'above', 'range_max')}
         UNION ALL
@@ -465,6 +468,12 @@ def statements() -> dict[str, str]:
             FROM readings r, clock , (VALUES (1), (6), (24), (168)) w(h)
             WHERE r."timestamp" >= now - INTERVAL 168 HOUR GROUP BY 1, 2""",
         "readings_total": "SELECT count(*) AS readings_total FROM readings",
+        "history_after": """SELECT id, sensor_id, "timestamp", CAST(value AS DOUBLE) AS value FROM windowed
+            WHERE sensor_id = 7 AND ("timestamp" < TIMESTAMP '2024-01-25' OR ("timestamp" = TIMESTAMP '2024-01-25' AND id < 1000))
+            ORDER BY "timestamp" DESC, id DESC LIMIT 20""",
+        "alerts_after": """SELECT * FROM alerts WHERE severity = 'warning'
+              AND (created_at < TIMESTAMP '2024-01-25' OR (created_at = TIMESTAMP '2024-01-25' AND id < 1000))
+            ORDER BY created_at DESC, id DESC LIMIT 50""",
         "greenhouse_listing": "SELECT * FROM greenhouses",
         "zones_of_greenhouse": "SELECT * FROM zones",
         "sensors_of_zone": "SELECT * FROM sensors",
@@ -510,7 +519,7 @@ def statements() -> dict[str, str]:
         "anomaly_latest": """SELECT sensor_id, COALESCE(abs(z) > 2.0, FALSE) AS is_anomaly, round(z + 1e-9, 4) AS z_score,
               CASE WHEN n >= 10 THEN current_value END AS current_value, CASE WHEN n >= 10 THEN round(m + 1e-9, 6) END AS mean,
               CASE WHEN n >= 10 THEN round(sd + 1e-9, 4) END AS std FROM verdicts""",
-        "threshold_alerts": f"SELECT * EXCLUDE (fired) FROM ({_threshold_evaluation()}) t WHERE fired",
+        "threshold_alerts": f"SELECT * EXCLUDE (fired) FROM ({_threshold_evaluation(HORIZON)}) t WHERE fired",
         "anomaly_alerts": f"SELECT * EXCLUDE (fired) FROM ({_anomaly_evaluation(2.0)}) t WHERE fired",
         "alert_transitions": """SELECT id, greenhouse_id, zone_id, sensor_id, alert_type, severity, message, value, threshold, created_at,
               CASE WHEN severity IN ('info', 'warning') AND status <> 'resolved' THEN 'resolved'

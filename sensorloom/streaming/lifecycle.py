@@ -18,7 +18,7 @@ from sensorloom.functions.time import Instant, hours_before
 from sensorloom.operators import alerts as alert_ops
 from sensorloom.operators.joins import lookup_join
 from sensorloom.operators.recommend import lifecycle
-from sensorloom.operators.recommend.candidates import recommendation_candidates
+from sensorloom.operators.recommend.candidates import ready_rules, recommendation_candidates
 from sensorloom.operators.recommend.context import build_context
 from sensorloom.settings import DEFAULTS, Settings
 from sensorloom.sources.snapshots import SnapshotStore
@@ -40,6 +40,7 @@ class Fleet:
     readings: Callable[[], DataFrame]
     clock: Callable[[], Instant] = _utc_now
     settings: Settings = DEFAULTS
+    detector: Callable | None = None
 
 
 def _since(readings: DataFrame, earliest: Column) -> DataFrame:
@@ -61,7 +62,7 @@ def evaluate_alerts(arrived: DataFrame, batch_id: int, fleet: Fleet, store: Snap
     oldest = arrived.agg(F.min("timestamp")).scalar()
     earliest = F.least(oldest, hours_before(as_of, fleet.settings.anomaly_max_age_hours))
     readings = lookup_join(_since(fleet.readings(), earliest), touched, "sensor_id", "left_semi")
-    evaluation = alert_ops.alert_evaluation(sensors, fleet.zones(), readings, as_of, fleet.settings)
+    evaluation = alert_ops.alert_evaluation(sensors, fleet.zones(), readings, as_of, fleet.settings, fleet.detector)
     active = store.active(store.latest_version(below=batch_id))
     store.write(batch_id, alert_ops.alert_reconcile(active, evaluation, as_of))
 
@@ -91,7 +92,7 @@ def evaluate_recommendations(
     zones = context.zones.persist()  # read by the rules and for what was evaluated
     try:
         changes = lifecycle.recommendation_reconcile(
-            opened, recommendation_candidates(context), zones, as_of, scope
+            opened, recommendation_candidates(context), zones, as_of, scope, ready_rules(context)[1]
         )
         store.write(batch_id, changes)
     finally:

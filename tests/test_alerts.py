@@ -30,7 +30,7 @@ def step(site, fleet, existing, *rows):
 
 def test_threshold_texts(site, fleet):
     readings = fleet.readings((1, minutes(2), 22.0), (1, minutes(1), 32.5), (2, minutes(1), 58.0), (3, minutes(1), 3000.0), (4, minutes(1), 9.0))
-    found = {r.sensor_id: r for r in alerts.fired(alerts.threshold_evaluation(*site, readings)).collect()}
+    found = {r.sensor_id: r for r in alerts.fired(alerts.threshold_evaluation(*site, readings, NOON)).collect()}
     assert set(found) == {1, 2, 3}
     assert found[1].alert_type == "threshold_high" and found[1].severity == "critical"
     assert found[1].message == "Temperature 32.5C is above target 26.0C"
@@ -83,9 +83,16 @@ def test_an_unusable_range_resolves(fleet):
     assert [r.action for r in changes.collect()] == ["resolve"]
 
 
+def test_readings_of_a_wrong_clock_keep_nothing_firing(site, fleet):
+    readings = fleet.readings((1, NOON + timedelta(days=3_650), 90.0), (1, minutes(1), 22.0))
+    assert not any(r.fired for r in alerts.threshold_evaluation(*site, readings, NOON).collect())
+    soon = fleet.readings((1, NOON + timedelta(hours=23), 90.0), (1, minutes(1), 22.0))
+    assert any(r.fired for r in alerts.threshold_evaluation(*site, soon, NOON).collect())
+
+
 def test_a_zone_without_targets_is_not_evaluated(fleet):
     site = fleet.sensors((1, 1, "temperature")), fleet.zones(1, temperature=(None, 26))
-    assert alerts.threshold_evaluation(*site, fleet.readings((1, minutes(1), 90.0))).count() == 0
+    assert alerts.threshold_evaluation(*site, fleet.readings((1, minutes(1), 90.0)), NOON).count() == 0
 
 
 def test_transitions(fleet, spark):

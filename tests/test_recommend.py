@@ -133,6 +133,17 @@ def run(fleet, existing, rows, zones=None, scope="greenhouse"):
     return settled(changes), settled(lifecycle.apply_recommendation_changes(existing, changes))
 
 
+def test_a_failing_rule_closes_nothing(fleet):
+    _, opened = run(fleet, fleet.recommendations(), [(3, minutes(2), 30.0)])
+    built = context.build_context(fleet.zones(1), fleet.sensors(*SENSORS), fleet.readings((3, minutes(1), 60.0)), fleet.alerts(), NOON)
+    failing = [FrameRule("irrigation_needed", lambda c: 1 / 0), *(r for r in RULES if r.name != "irrigation_needed")]
+    for rules, action in ((failing, "keep"), (RULES, "complete")):
+        found = candidates.recommendation_candidates(built, rules)
+        types = candidates.ready_rules(built, rules)[1]
+        changes = lifecycle.recommendation_reconcile(opened, found, built.zones, NOON, types=types)
+        assert [r.action for r in changes.collect()] == [action]
+
+
 def test_open_update_complete(fleet):
     changes, first = run(fleet, fleet.recommendations(), [(3, minutes(2), 30.0)])
     assert [(r.action, r.status) for r in changes.collect()] == [("insert", "open")]
