@@ -41,8 +41,8 @@ from sensorloom.llm import frames, words
 
 LENGTH = 200
 ANCHOR_BYTES = 50
-GROUP_ROWS = 2_000
 PIECE_ROWS = 20_000
+GROUP_ROWS = PIECE_ROWS  # what fits in one piece of a bucket is sorted in it
 
 _LOW = np.uint64(0xFFFFFFFF)
 
