@@ -294,13 +294,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS)
     if not ANCHOR_BYTES < length < 1 << _PLACE_BITS:
         raise ValueError(f"length must lie between {ANCHOR_BYTES} and {1 << _PLACE_BITS}")
     anchored = _anchored(docs, length)
+    # counts are written before they are joined back, so that a hot anchor's rows can be split in the join
     twice = anchored.select("anchor").groupBy("anchor").count().where("count > 1").select("anchor")
+    twice = frames.written(twice, "repeated-anchors")
     shared = frames.written(anchored.join(twice, "anchor"), "anchors")
     kinds = shared.groupBy("anchor").agg(
         F.count("*").alias("occurrences"), (F.min("content") == F.max("content")).alias("alike")
     )
-    # written before it is grouped, so that a hot anchor's rows can be split in this join
-    known = frames.written(shared.join(kinds, "anchor"), "known")
+    known = frames.written(shared.join(frames.written(kinds, "kinds"), "anchor"), "known")
     whole = known.where("alike").select(
         "row_key", _first(F.col("place")).alias("low"), (_first(F.col("place")) + _count(F.col("place")) - 1).alias("high")
     )
