@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,14 +32,22 @@ def held_out(doc_id: Column) -> Column:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder that driver and executors share, under spark.checkpoint.dir.
 
-    The checkpoint directory of the context serves where the setting is absent, as in tests.
+    Where the setting is absent: the context's checkpoint directory, else a temporary folder if
+    driver and executors are one process, else a folder in the warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not found.isDefined():
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = found.get()
+        context = spark.sparkContext
+        found = context._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            root = found.get()
+        elif context.master.partition("[")[0] == "local":
+            root = tempfile.mkdtemp(prefix="checkpoint-")
+            context.setCheckpointDir(root)
+        else:
+            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    # one slash or three, the same folder; file systems outside Spark want three
+    root = re.sub("^file:/+", "file:///", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
