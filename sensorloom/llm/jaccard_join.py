@@ -39,6 +39,7 @@ WIDTH = 4
 PERCENT = 85
 POINT_DIMENSIONS = 1_024  # enough for the bound to tell sets of tens of thousands of members apart
 LEAF = 16
+UNPACKED_ROWS = 256
 CELL_NODES = 1_000
 ORDER_DOCUMENTS = 5_000
 ORDER_TIMES = 5
@@ -242,7 +243,8 @@ def _link_cells(rows: DataFrame, width: int, percent: int) -> DataFrame:
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         key, cell = None, []
-        for batch in batches:
+        # few rows at a time: texts are many times as large unpacked
+        for batch in (batch.slice(i, UNPACKED_ROWS) for batch in batches for i in range(0, batch.num_rows, UNPACKED_ROWS)):
             links = []
             texts = pa.array([unpack.decompress(x).decode() for x in batch.column("packed").to_pylist()], pa.string())
             own = [m for _, _, members, cuts in _members(texts, width) for m in np.split(members, cuts[1:-1])]
