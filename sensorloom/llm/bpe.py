@@ -32,8 +32,8 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from sensorloom.llm import frames
 
-KEPT_PIECES = 300_000
-KEPT_CHUNKS = 600_000
+KEPT_PIECES = 100_000
+KEPT_CHUNKS = 400_000
 KEPT_PIECE_BYTES = 64
 _WIDE_SPACE = re.compile(r" \s|[^\S ] ")
 
