@@ -18,9 +18,7 @@ from sensorloom.operators.yields.features import TARGET, build_preprocessor
 from sensorloom.operators.yields.split import SEED, assign_split
 
 
-# The most training rows the estimators are fitted on: boosting takes a thousand passes over
-# them. Preprocessing, validation and test metrics use every row of their split.
-FIT_ROWS = 10_000
+# Boosting takes a thousand passes over the training rows: few tasks each while they are few.
 ROWS_PER_TASK = 2_500
 
 
@@ -57,12 +55,14 @@ def train(
     records: DataFrame,
     estimators: Mapping[str, Estimator] | None = None,
     key: str = "record_id",
-    fit_rows: int | None = FIT_ROWS,
+    fit_rows: int | None = None,
 ) -> TrainedModels:
     """Fit every candidate on the training split; the best validation R2, then RMSE, wins.
 
-    Estimators are fitted on at most ``fit_rows`` rows of the training split, about that many
-    by the hash of their key. A candidate whose R2 is not defined ranks last.
+    Estimators are fitted on every row of the training split. ``fit_rows`` bounds them for
+    quick runs, to about that many by the hash of their key; preprocessing, validation and
+    test metrics use every row of their split all the same. A candidate whose R2 is not
+    defined ranks last.
 
     The preprocessor only sees training rows. The records are read by each of its passes
     and the prepared rows by every pass of every estimator, so both are kept in memory,
@@ -80,13 +80,11 @@ def train(
         prepared = preprocessor.transform(parts).select(key, "split", "features", TARGET)
         prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
         rows = {name: prepared.filter(F.col("split") == name) for name in ("train", "validation", "test")}
-        fitting = rows["train"]
-        if fit_rows is not None and sizes["train"] > fit_rows:
-            chance = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(1_000_000)) * sizes["train"]
-            fitting = fitting.filter(chance < fit_rows * 1_000_000)
-        if fit_rows is not None:
-            # a bounded number of rows, read by thousands of short passes: few tasks each
-            fitting = fitting.coalesce(-(-fit_rows // ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
+        fitting, kept = rows["train"], sizes["train"]
+        if fit_rows is not None and kept > fit_rows:
+            chance = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(1_000_000)) * kept
+            fitting, kept = fitting.filter(chance < fit_rows * 1_000_000), fit_rows
+        fitting = fitting.coalesce(-(-kept // ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
         fitted = {name: Pipeline(stages=[e]).fit(fitting) for name, e in estimators.items()}
         scored = [
             model.transform(rows["validation"]).select(F.lit(name).alias("model"), TARGET, "prediction")

@@ -39,12 +39,11 @@ WINDOW = ("2024-01-20T00:00:00Z", "2024-01-30T12:00:00Z")
 INVENTORY_AT = "2024-01-02T00:00:00Z"
 STORED_UNTIL = "2024-01-11T00:00:00Z"
 PAGE_END = ("2024-01-25T00:00:00Z", 1000)
-# Labelled rows the candidates are fitted on here; trees, rounds and depths have their full sizes.
-QUERY_FIT_ROWS = 2_000
 ALERTS_AT = "2024-01-20T00:00:00Z"
 CHECKED_AT = "2024-01-31T00:00:00Z"
 
 
+# Models a caller hands in for a session and a directory; queries never add their own.
 _TRAINED: dict[tuple[str, str], train.TrainedModels] = {}
 
 
@@ -93,13 +92,11 @@ class Star:
     def records(self):
         return self._load(star_schema.yield_records)
 
-    @property
+    @cached_property
     def trained(self):
-        """The candidates at full size; trained once for a session and a directory."""
-        key = (self.spark.sparkContext.applicationId, self.directory)
-        if key not in _TRAINED:
-            _TRAINED[key] = train.train(self.records, fit_rows=QUERY_FIT_ROWS)
-        return _TRAINED[key]
+        """The candidates at full size on every training row, fitted by each query for itself."""
+        given = _TRAINED.get((self.spark.sparkContext.applicationId, self.directory))
+        return given or train.train(self.records)
 
     @cached_property
     def documents(self):

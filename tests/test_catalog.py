@@ -48,3 +48,13 @@ def test_rows_only_queries_cover_their_records(spark):
     assert QUERIES["yield_leaderboard"](spark, DIRECTORY).filter("selected").count() == 1
     assert QUERIES["yield_scores"](spark, DIRECTORY).count() == accepted
     assert QUERIES["dataset_fingerprint"](spark, DIRECTORY).first().row_count == records
+
+
+def test_yield_queries_fit_every_training_row(spark, monkeypatch):
+    linear = {"linear_regression": train.build_estimators()["linear_regression"]}
+    monkeypatch.setattr(train, "build_estimators", lambda: linear)
+    monkeypatch.setattr(catalog, "_TRAINED", {})
+    training = QUERIES["yield_split"](spark, DIRECTORY).filter("split = 'train'").count()
+    fitted = catalog.Star(spark, DIRECTORY).trained.fitted["linear_regression"]
+    assert fitted.stages[0].summary.numInstances == training > 2_000
+    assert not catalog._TRAINED
