@@ -3,19 +3,17 @@
 Texts are sequences of words (lower-cased runs of letters, digits and non-ASCII characters). A document is contaminated by an item of m words when some window of it is
 within floor(0.2 * m) word insertions, deletions and substitutions of the item.
 
-- Windows: an unchanged run of ceil((m - k) / (k + 1)) words survives any k edits, so only
-  places that share such a run (of at most four words) with an item can hold a match. Each
+- Runs: an unchanged run of ceil((m - k) / (k + 1)) words survives any k edits, so only
+  places that share such a run (of w words, at most four) with an item can hold a match. Each
   shared run fixes where an item-sized window starts.
-- Embedding: each window and item goes through CGK random walks: step j writes the current
-  word and advances if a random bit of (j, word) says so. A few edits then change few of the
-  3 * m written words.
-- Hashing: pairs of written positions are sampled, repeatedly, as many times as the target
-  recall asks for at the least agreement that edits within the limit leave. A window stays a
-  candidate if one sample agrees with the item's.
-- Verification: exact edit distance of the item to the best substring around the window.
+- Counting: an edit changes at most w of the item's m - w + 1 runs, and k edits move the
+  others' starts by at most k in all. So a match has at least m - w + 1 - k * w shared runs
+  (at least one) whose starts lie within k words; starts that do not are dropped.
+- Verification: exact edit distance of the item to the best substring around the starts.
 
 Items are taken to the executors in chunks of bounded size, whatever the benchmark's size;
-documents are not shuffled. Recall is below one by design; reported pairs are exact.
+documents are not shuffled. Every filter keeps all matches, whatever the item's length, and
+reported pairs are exact.
 
 Defined results: null, empty or wordless texts match nothing, on either side; items of fewer
 than five words match only unchanged; a pair is reported once, with its best window; repeated
@@ -36,15 +34,10 @@ from pyspark.sql import functions as F
 from sensorloom.llm import frames, words
 
 EDIT_SHARE = 0.2
-TARGET_RECALL = 0.999
-LEAST_AGREEMENT = 0.3  # share of written words that matching windows have in common
-SAMPLED = 2  # positions per sample
-WALKS = 4
-SHIFTS = (0, -1, 1)
 CHUNK_BYTES = 16 << 20
-SEED = 20_011
 
 _FILTER_BITS = 22
+_VERIFIED_WORDS = 1 << 20  # of the spans compared at once
 
 
 def most_edits(size: int) -> int:
@@ -56,6 +49,12 @@ def run_width(size: int) -> int:
     return min(4, math.ceil((size - edits) / (edits + 1)))
 
 
+def least_runs(size: int) -> int:
+    """Runs of an item that are left unchanged by as many edits as allowed."""
+    width = run_width(size)
+    return max(1, size - width + 1 - most_edits(size) * width)
+
+
 def _text_words(texts: pa.Array):
     """Blocks of (first row, word hashes, words)."""
     for first, data, offsets in words.text_blocks(pc.utf8_lower(texts)):
@@ -63,30 +62,6 @@ def _text_words(texts: pa.Array):
         yield first, words.word_hashes(data, found), found
 
 
-def _walk(sequence: np.ndarray, starts: np.ndarray, stops: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """The words that one CGK walk writes from each start; beyond a stop it writes zero."""
-    written = np.zeros((steps, len(starts)), np.uint64)
-    at = starts.copy()
-    for j in range(steps):
-        inside = at < stops
-        current = np.where(inside, sequence[np.minimum(at, len(sequence) - 1)], np.uint64(0))
-        written[j] = current
-        salt = np.uint64((SEED + walk * 1_000_003 + j) * 0x9E3779B97F4A7C15 % (1 << 64))
-        at += (words.mix(current ^ salt) >> np.uint64(63)).astype(np.int64)
-    return written
-
-
-def repetitions() -> int:
-    """Samples needed for the target recall."""
-    return math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - LEAST_AGREEMENT**SAMPLED))
-
-
-def _samples(steps: int) -> list[tuple[int, np.ndarray]]:
-    """Walk and positions of each sample, the same for all texts."""
-    rng = np.random.default_rng(SEED)
-    return [(r % WALKS, (rng.random(SAMPLED) * steps).astype(np.int64)) for r in range(repetitions())]
-
-
 def best_distance(item: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of the item to any substring of each span (a row of words), and where it ends."""
     width = spans.shape[1]
@@ -107,6 +82,8 @@ class Items:
     ids: list
     sequences: list[np.ndarray]
     runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # width: hash, item, place, filter
+    edits: np.ndarray  # most of each item
+    least: np.ndarray  # shared runs of each item
 
     @staticmethod
     def build(rows: list[tuple[int, str]]) -> Items:
@@ -130,10 +107,15 @@ class Items:
             seen = np.zeros(1 << _FILTER_BITS, bool)
             seen[hashes >> np.uint64(64 - _FILTER_BITS)] = True
             runs[width] = (hashes[order], items[order], places[order], seen)
-        return Items(ids, sequences, runs)
+        sizes = [len(sequence) for sequence in sequences]
+        edits, least = (np.array([f(n) for n in sizes], np.int64) for f in (most_edits, least_runs))
+        return Items(ids, sequences, runs, edits, least)
+
+    def _places(self, hashes: np.ndarray, found: words.Words):
+        """Item, row and first start of the stretches where windows with enough shared runs start.
 
-    def _windows(self, hashes: np.ndarray, found: words.Words):
-        """Distinct (item, row, first word) of windows that share a run with an item."""
+        A stretch is as many starts as the item's limit of edits, and one.
+        """
         parts = []
         for width, (known, items, places, seen) in self.runs.items():
             count = len(hashes) - width + 1
@@ -149,29 +131,38 @@ class Items:
             parts.append(np.stack([items[hit], found.rows[at], at - places[hit]]))
         if not parts or not sum(p.shape[1] for p in parts):
             return np.empty((3, 0), np.int64)
-        found_at = np.concatenate(parts, 1)
-        shifted = np.concatenate([found_at + np.array([[0], [0], [s]]) for s in SHIFTS], 1)
-        shifted[2] = np.clip(shifted[2], found.first[shifted[1]], found.first[shifted[1] + 1] - 1)
-        return np.unique(shifted, axis=1)
+        shared = np.concatenate(parts, 1)
+        shared = shared[:, np.lexsort(shared[::-1])]
+        edits = self.edits[shared[0]]
+        # starts of different pairs are put further apart than any limit
+        pair = np.cumsum(np.concatenate([[0], (np.diff(shared[:2]) != 0).any(0)]))
+        line = pair * (int(np.ptp(shared[2])) + int(edits.max()) + 1) + shared[2]
+        runs = np.searchsorted(line, line + edits, "right") - np.arange(len(line))
+        shared, edits = shared[:, runs >= self.least[shared[0]]], edits[runs >= self.least[shared[0]]]
+        shared[2] -= shared[2] % (edits + 1)
+        fresh = np.ones(shared.shape[1], bool)
+        fresh[1:] = (np.diff(shared) != 0).any(0)
+        return shared[:, fresh]
 
     def matches(self, hashes: np.ndarray, found: words.Words):
         """Row, item, edits and first word of each contaminated pair of a block."""
-        windows = self._windows(hashes, found)
-        cuts = np.searchsorted(windows[0], np.arange(len(self.ids) + 1))
+        stretches = self._places(hashes, found)
+        cuts = np.searchsorted(stretches[0], np.arange(len(self.ids) + 1))
         for item in np.flatnonzero(np.diff(cuts)):
-            _, rows, starts = windows[:, cuts[item] : cuts[item + 1]]
-            sequence = self.sequences[item]
-            size, edits = len(sequence), most_edits(len(sequence))
-            close = self._close(sequence, hashes, starts, np.minimum(starts + size + edits, found.first[rows + 1]))
-            rows, starts = rows[close], starts[close]
-            if not len(rows):
-                continue
-            # what may reach the item: the window and as many words before and after as edits
+            _, rows, starts = stretches[:, cuts[item] : cuts[item + 1]]
+            sequence, edits = self.sequences[item], int(self.edits[item])
+            size = len(sequence)
+            # a window starts within the edits of a stretch and is longer by them at most
+            reach = np.arange(-edits - 1, size + 3 * edits + 1)
             low, high = found.first[rows], found.first[rows + 1]
-            span = starts[:, None] + np.arange(-edits - 1, size + 2 * edits + 1)
-            inside = (span >= low[:, None]) & (span < high[:, None])
-            text = np.where(inside, hashes[np.clip(span, 0, len(hashes) - 1)], np.uint64(0))
-            distance, stop = best_distance(sequence, text)
+            distance, stop = np.empty((2, len(rows)), np.int64)
+            step = max(1, _VERIFIED_WORDS // len(reach))
+            for k in range(0, len(rows), step):
+                some = slice(k, k + step)
+                span = starts[some, None] + reach
+                inside = (span >= low[some, None]) & (span < high[some, None])
+                text = np.where(inside, hashes[np.clip(span, 0, len(hashes) - 1)], np.uint64(0))
+                distance[some], stop[some] = best_distance(sequence, text)
             order = np.lexsort((starts, distance, rows))
             order = order[distance[order] <= edits]
             head = np.concatenate([[True], rows[order][1:] != rows[order][:-1]]) if len(order) else order
@@ -179,21 +170,6 @@ class Items:
                 first = max(int(starts[i] - edits - 1 + stop[i] - size), int(low[i]))
                 yield int(rows[i]), item, int(distance[i]), first - int(low[i])
 
-    @staticmethod
-    def _close(sequence, hashes, starts, stops) -> np.ndarray:
-        """Which windows agree with the item in one of the samples."""
-        steps = 3 * len(sequence)
-        agreed = np.zeros(len(starts), bool)
-        samples = _samples(steps)
-        for walk in range(WALKS):
-            own = _walk(sequence, np.zeros(1, np.int64), np.array([len(sequence)]), steps, walk)
-            same = _walk(hashes, starts, stops, steps, walk) == own
-            same &= own != 0
-            for number, positions in samples:
-                if number == walk:
-                    agreed |= same[positions].all(0)
-        return agreed
-
 
 def _chunks(benchmark: DataFrame, chunk_bytes: int) -> list[DataFrame]:
     """The items in chunks of about the given size, cut by their hashes."""

@@ -110,3 +110,22 @@ def test_odd_rows(corpus, spark):
     nothing = spark.createDataFrame([], ITEM_SCHEMA)
     assert decontaminate.contaminated(corpus.odd(), nothing).count() == 0
     assert decontaminate.keep_clean(corpus.odd(), nothing).count() == corpus.odd().count()
+
+
+@pytest.mark.parametrize("size", [25, 100, 400, 1_000])
+def test_items_at_the_edit_limit_are_found_at_any_length(corpus, spark, size):
+    rng = random.Random(size)
+    items = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(size))) for i in range(12)]
+    texts = []
+    for _, item in items:
+        inner = item.split()
+        for _ in range(decontaminate.most_edits(size)):
+            at = rng.randrange(len(inner))
+            change = rng.randrange(3)
+            inner[at : at + (change < 2)] = [] if change == 1 else ["changed"]
+        texts.append(" ".join(["before"] * rng.randint(0, 40) + inner + ["after"] * rng.randint(0, 40)))
+    benchmark = spark.createDataFrame([(*item, "s") for item in items], ITEM_SCHEMA)
+    found = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(corpus.documents(texts), benchmark).collect()}
+    assert set(found) == {(i, i) for i in range(12)}
+    for i in range(2):
+        assert found[i, i] == distance(tokens(items[i][1]), tokens(texts[i]))
