@@ -157,3 +157,32 @@ def test_alerts_and_recommendations_follow_the_stream(spark, fleet, tmp_path):
     # and the batch operators over everything agree on what is active
     whole = alert_ops.alert_evaluation(sensors, zones, table.readings(), NOON)
     assert {(r.sensor_id, r.alert_type) for r in alert_ops.fired(whole).collect()} == {(3, "threshold_low")}
+
+
+def test_late_readings_reach_the_hourly_table(spark, fleet, tmp_path):
+    sensors = fleet.sensors((1, 1, "temperature"), (2, 2, "humidity"))
+    schema = "id long, sensor_id int, sensor_type string, timestamp timestamp, value double, is_outlier boolean"
+    path, table = str(tmp_path / "clean"), str(tmp_path / "hours")
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+    def stored():
+        return spark.read.schema(schema).parquet(path)
+
+    def run():
+        stream = views.table_stream(spark, path, schema, 1)
+        drain(views.start_hours(stream, stored, lambda: sensors, table, str(tmp_path / "checkpoint")))
+
+    arrive((1, 1, "temperature", DAY, 20.0, False), (2, 2, "humidity", DAY, 60.0, False))
+    arrive((3, 1, "temperature", DAY + timedelta(hours=30), 21.0, False))
+    run()
+    # two days late, into an hour that has rows and into one that had none
+    arrive((4, 1, "temperature", DAY + timedelta(minutes=9), 30.0, False), (5, 2, "humidity", DAY + timedelta(hours=3), 61.0, False))
+    run()
+    expected = settled_hours(rollups.hourly_rollup(stored(), sensors))
+    assert settled_hours(views.stored_hours(spark, table)) == expected and len(expected) == 4
+    views.refresh_hours(stored(), stored, lambda: sensors, table)
+    assert settled_hours(views.stored_hours(spark, table)) == expected
+    views.refresh_hours(stored().limit(0), stored, lambda: sensors, table)
+    assert views.stored_hours(spark, table).count() == 4
