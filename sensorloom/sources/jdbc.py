@@ -17,6 +17,7 @@ class JdbcTable:
     upper_bound: int | str | None = None
     partitions: int = 32
     fetch_rows: int = 10_000
+    single_task: bool = False  # for tables known to be small
 
     def read_options(self) -> dict[str, str]:
         """Options of a read split by ranges of the partition column, when there is one."""
@@ -44,6 +45,9 @@ class JdbcTable:
 
 
 def read_jdbc(spark: SparkSession, source: JdbcTable) -> DataFrame:
+    """The table in ranges of its partition column; in one task only where that is asked for."""
+    if source.partition_column is None and not source.single_task:
+        raise ValueError(f"{source.table} needs a partition column with bounds, or single_task=True if it is small")
     return spark.read.format("jdbc").options(**source.read_options()).load()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators import quality
 from sensorloom.plans import batch
 from sensorloom.sources import files
-from sensorloom.sources.jdbc import JdbcTable
+from sensorloom.sources.jdbc import JdbcTable, read_jdbc
 from tests.conftest import DAY, NOON
 
 
@@ -66,3 +66,9 @@ def test_jdbc_options():
     assert split.write_options()["truncate"] == "true"
     with pytest.raises(ValueError):
         JdbcTable("jdbc:x", "readings", {}, "id").read_options()
+
+
+def test_jdbc_tables_are_read_by_one_task_only_when_asked_for(spark):
+    with pytest.raises(ValueError, match="partition column"):
+        read_jdbc(spark, JdbcTable("jdbc:x", "readings"))
+    assert "numPartitions" not in JdbcTable("jdbc:x", "sites", single_task=True).read_options()
