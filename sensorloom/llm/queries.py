@@ -8,7 +8,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import bpe, decontaminate, jaccard_join, langid, quality_lines, suffix_dedup, token_counts, token_store, toxicity, warc
+from sensorloom.llm import bpe, decontaminate, divergence, importance, jaccard_join, langid, line_dedup, quality_lines
+from sensorloom.llm import suffix_dedup, token_counts, token_store, toxicity, warc
 from sensorloom.llm.frames import shared_folder, table, written
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +68,18 @@ def op10_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     return token_counts.suffix_sums(counts)
 
 
+def op11_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.dedup(table(spark, directory, "documents")))
+
+
+def op12_importance(spark: SparkSession, directory: str) -> DataFrame:
+    return importance.resample(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, directory: str) -> DataFrame:
+    return divergence.audit(table(spark, directory, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -80,10 +93,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_decontaminate": op9_decontaminate,
         "op10_token_counts": op10_token_counts,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_importance": op12_importance,
+        "op13_divergence": op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    if corpus_pipeline.ORACLE_SQL:
-        return {"pipeline": corpus_pipeline.ORACLE_SQL}
-    return {}
+    stated = {"op11_line_dedup": line_dedup.SQL, "op13_divergence": divergence.SQL}
+    return stated | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
