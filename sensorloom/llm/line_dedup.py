@@ -222,7 +222,8 @@ def _marked_rows(docs: DataFrame, lost: DataFrame, columns: list) -> DataFrame:
     wanted = lost.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("places").alias("__places"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__row_key") == F.col("__key"))
     names = [c for c in rows.columns if c not in ("__row_key", "__may_lose")]
-    near = rows.where("__may_lose").join(wanted, same, "left").select(*names, "__places")
+    # merged at any size, so that texts take the same way however few lines go
+    near = rows.where("__may_lose").join(wanted.hint("merge"), same, "left").select(*names, "__places")
     return near.unionByName(rows.where("NOT __may_lose").select(*names, F.lit(None).cast("array<int>").alias("__places")))
 
 
