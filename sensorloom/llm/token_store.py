@@ -18,7 +18,7 @@ repeated doc_ids follow one another in the order of their texts; other columns a
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,18 +35,43 @@ from sensorloom.llm import frames, words
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-KEPT_WORDS = 500_000
+GENERATION_WORDS = 200_000
 RUN_WORDS = 200
 KEPT_WORD_BYTES = 64
 
 _SCHEMA = "shard int, doc_id long, start_in_shard long, n_tokens long, ids array<int>"
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-# punctuation that closes a word; not the apostrophe, which can start a piece with letters
-_CLOSING = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[ \t\n\r\x0b\x0c]|\Z)")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+# ASCII punctuation can close a word; not the apostrophe, which can start a piece with letters
+_PUNCTUATION = np.array([b < 128 and chr(b) != "'" and chr(b).isprintable() and not chr(b).isalnum() for b in range(256)])
+_PUNCTUATION[0x20] = False
+_LETTER_OR_DIGIT = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+def closed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block of texts in lower case, with a space before the punctuation that closes a word.
+
+    Only ASCII is lower-cased, where no case depends on what follows; the normaliser does the rest.
+    """
+    data = _LOWER[data]
+    marks = np.concatenate([[False], _PUNCTUATION[data], [False]])
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets[1:-1]] = True
+    change = (marks[1:] != marks[:-1]) | cut
+    starts = np.flatnonzero(change[:-1] & marks[1:-1])
+    ends = np.flatnonzero(change[1:] & marks[1:-1]) + 1
+    after_letter = (starts > 0) & ~cut[starts]
+    after_letter[after_letter] = _LETTER_OR_DIGIT[data[starts[after_letter] - 1]]
+    before_space = (ends == len(data)) | cut[ends]
+    before_space[~before_space] = _WHITE[data[ends[~before_space]]]
+    places = starts[after_letter & before_space]
+    return np.insert(data, places, 0x20), offsets + np.searchsorted(places, offsets)
 
 
 class WordEncoder:
-    """Encodes UTF-8 texts word by word; ids come as little-endian unsigned 32-bit integers.
+    """Encodes blocks of UTF-8 texts word by word; ids come as unsigned 32-bit integers.
 
     A text is cut at ASCII white space, and where ASCII letters or digits meet a word's closing
     ASCII punctuation: the tokenizer cuts there as well. Words of letters alone go to the library
@@ -54,6 +79,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; idle threads would spin
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         mark = getattr(self._tokenizer.model, "end_of_word_suffix", None)
@@ -61,7 +87,12 @@ class WordEncoder:
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if mark:
             self._ends[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
-        self._known: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the words known so far."""
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
 
     def _library(self, words: list[bytes]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast([word.decode() for word in words], add_special_tokens=False)
@@ -82,23 +113,47 @@ class WordEncoder:
                 coded += self._library(run)
         return coded
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        known = self._known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        # the normaliser lower-cases too; only ASCII here, where no case depends on what follows
-        cut = [_CLOSING.sub(rb" \1", text.translate(_LOWER)).split() for text in texts]
-        missing = [word for word in set().union(*cut) if word not in known]
+    def _ids(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of each word. Words are known for two generations: used ones move to the younger."""
+        young, old = self._young, self._old
+        missing = []
+        for word in distinct:
+            if word not in young:
+                if word in old:
+                    young[word] = old[word]
+                else:
+                    missing.append(word)
         letters = [word for word in missing if word.isalpha()]
         others = [word for word in missing if not word.isalpha()]
-        known.update(zip(letters, self._letters(letters)))
-        known.update(zip(others, self._library(others)))
-        get = known.__getitem__
-        coded = [b"".join(map(get, words)) for words in cut]
+        young.update(zip(letters, self._letters(letters)))
+        young.update(zip(others, self._library(others)))
+        found = [young[word] for word in distinct]
         for word in missing:
             if len(word) > KEPT_WORD_BYTES:
-                del known[word]
-        return coded
+                del young[word]
+        if len(young) > GENERATION_WORDS:
+            self._old, self._young = young, {}
+        return found
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block of texts, one after the other, and where each text's end.
+
+        Each distinct word of the block is looked up once; its ids are gathered for every place.
+        """
+        data, offsets = closed_words(data, offsets)
+        found = words.find_words(data, offsets)
+        cuts = np.concatenate([[0], np.cumsum(found.ends - found.starts)]).astype(np.int32)
+        buffers = [None, pa.py_buffer(cuts), pa.py_buffer(data[~_WHITE[data]])]
+        coded = pa.Array.from_buffers(pa.binary(), len(found.starts), buffers).dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        place = coded.indices.to_numpy()
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        first = np.cumsum(sizes) - sizes
+        size = sizes[place]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        gathered = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first[place] - ends + size, size) + np.arange(total)]
+        return gathered, np.concatenate([[0], ends])[found.first[1:]]
 
 
 @lru_cache(maxsize=4)
@@ -108,32 +163,27 @@ def encoder(path: str) -> WordEncoder:
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1) -> None:
     """Encode every text, append the end id, and write the shards."""
-    ending = np.array([end_id], "<u4").tobytes()
-
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, start = TaskContext.get().partitionId(), 0
+        shard, start, tools = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         for batch in batches:
             for first, data, offsets in words.text_blocks(batch.column("text")):
-                raw, cuts = data.tobytes(), offsets.tolist()
-                texts = [raw[low:high] for low, high in zip(cuts[:-1], cuts[1:])]
-                coded = [found + ending for found in encoder(tokenizer_path).encode(texts)]
-                sizes = np.array([len(data) // 4 for data in coded], np.int64)
-                ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                    pa.array(np.frombuffer(b"".join(coded), "<i4")),
-                )
+                ids, ends = tools.encode(data, offsets)
+                ids = np.insert(ids, ends, end_id).astype("<i4")
+                ends = ends + np.arange(1, len(ends) + 1)
+                sizes = np.diff(ends, prepend=0)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(texts), shard, np.int32)),
-                        batch.column("doc_id").slice(first, len(texts)),
+                        pa.array(np.full(len(ends), shard, np.int32)),
+                        batch.column("doc_id").slice(first, len(ends)),
                         pa.array(start + ends - sizes),
                         pa.array(sizes),
-                        ids,
+                        lists,
                     ],
                     names=["shard", "doc_id", "start_in_shard", "n_tokens", "ids"],
                 )
                 start += int(ends[-1])
+        tools.forget()
 
     (
         docs.selectExpr("cast(doc_id as long) doc_id", "text")

@@ -41,8 +41,27 @@ def stored(frame, folder):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aBéÉΣs'.,!—1²は\xa0\x1ćİ \n<|>")), max_size=40))
 def test_equals_the_library_on_any_text(library, text):
-    (data,) = token_store.encoder(PATH).encode([text.encode()])
-    assert np.frombuffer(data, "<u4").tolist() == library(text)
+    texts = [text, "", text + " end.", text]
+    assert coded(token_store.encoder(PATH), texts) == [library(t) for t in texts]
+
+
+def coded(tools, texts):
+    raw = [text.encode() for text in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    ids, ends = tools.encode(data, np.cumsum([0] + [len(text) for text in raw]))
+    assert len(ids) == ends[-1]
+    return [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
+
+
+def test_words_pass_through_generations(library, monkeypatch):
+    monkeypatch.setattr(token_store, "GENERATION_WORDS", 40)
+    tools = token_store.WordEncoder(PATH)
+    for k in range(12):
+        texts = [" ".join(words(30, k // 2 + i, 90)) + ", then (some) more!?" for i in range(3)]
+        assert coded(tools, texts) == [library(t) for t in texts]
+        assert len(tools._young) <= 40
+    tools.forget()
+    assert not tools._young and not tools._old
 
 
 def test_files_read_back(corpus, library, tmp_path):
