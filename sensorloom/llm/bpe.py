@@ -1,9 +1,13 @@
 """Byte-level BPE encoding and decoding by a rank file.
 
-The merges run in the tokenizers library, over Arrow batches. A text is cut by the split
-pattern; each distinct piece is encoded once per worker and kept in a bounded dictionary, so
-that the library sees pieces, not repetitions of them. Rank files list tokens, not merges:
-every way to cut a token into two tokens becomes a merge of that token's rank.
+The merges run in the tokenizers library, over Arrow batches. A text is cut at single spaces
+and the words that are not known yet are cut by the split pattern, all at once; the library sees
+each distinct piece of them. Ids are held as little-endian 32-bit integers, so that a text's ids
+are the joined bytes of its words' ids; digits and decoded bytes are gathered from tables.
+Known words are kept in two generations of bounded bytes: what is used moves to the younger one,
+which replaces the older when full. A task forgets them when it ends, so idle workers hold none.
+Rank files list tokens, not merges: every way to cut a token into two tokens becomes a merge of
+that token's rank.
 
 The library orders merges by their place in the list, a rank file by the rank of the result
 and then by position. Both agree unless three neighbours x y z have x+y == y+z as strings, so
@@ -19,7 +23,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import os
 import re
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from itertools import chain
 
@@ -32,9 +38,10 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from sensorloom.llm import frames
 
-KEPT_PIECES = 100_000
-KEPT_CHUNKS = 400_000
-KEPT_PIECE_BYTES = 64
+GENERATION_BYTES = 32 << 20
+ENTRY_BYTES = 200  # a short word and its ids, as objects in a dictionary
+KEPT_WORD_BYTES = 64
+GATHERED_IDS = 1 << 18
 _WIDE_SPACE = re.compile(r" \s|[^\S ] ")
 
 
@@ -54,13 +61,19 @@ class Codec:
     """Encoder and decoder of one rank file; built once per worker."""
 
     def __init__(self, rank_path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; idle threads would spin
         with open(rank_path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.token_bytes = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern)
-        self._decimal = {rank: str(rank) for rank in self.token_bytes}
-        self._pieces: dict[str, tuple[int, ...]] = {}
-        self._chunks: dict[str, tuple[int, ...]] = {}
+        self._decimal = _Table({rank: b",%d" % rank for rank in self.token_bytes})
+        self._bytes = _Table(self.token_bytes)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the words known so far."""
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     @cached_property
     def _cuts(self) -> list[tuple[int, bytes, bytes]]:
@@ -143,60 +156,87 @@ class Codec:
         ends = np.cumsum([len(piece) + 1 for piece in pieces])
         return set(np.searchsorted(ends, [at for at, _ in self._ambiguous.iter(joined)], "right").tolist())
 
-    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of each distinct piece."""
         raw = [piece.encode() for piece in pieces]
         own = self._ambiguous_among(raw)
-        plain = [piece for i, piece in enumerate(pieces) if i not in own]
-        learnt = {pieces[i]: self._merge(raw[i]) for i in own}
-        for piece, encoding in zip(plain, self._tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-            learnt[piece] = tuple(encoding.ids)
+        learnt = {pieces[i]: np.array(self._merge(raw[i]), "<i4").tobytes() for i in own}
+        plain = [piece for i, piece in enumerate(pieces) if i not in own] if own else pieces
+        if plain:
+            # one input of many pieces, merged within each; sizes in bytes tell whose the ids are
+            coded = self._tokenizer.encode_batch_fast([plain], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.array(coded.ids, "<i4")
+            data = ids.tobytes()
+            sizes = np.cumsum([len(piece.encode()) for piece in plain])
+            ends = (4 * (np.searchsorted(np.cumsum(self._bytes.sizes[ids]), sizes) + 1)).tolist()
+            learnt.update(zip(plain, [data[low:high] for low, high in zip([0, *ends], ends)]))
         return learnt
 
-    def _chunk_ids(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """The ids of whole chunks, each cut by the pattern."""
-        cut = [self.split.findall(chunk) for chunk in chunks]
-        pieces = self._pieces
-        missing = [piece for piece in set(chain.from_iterable(cut)) if piece not in pieces]
-        if missing:
-            pieces.update(self._learn(missing))
-        found = [tuple(chain.from_iterable([pieces[p] for p in parts])) for parts in cut]
-        _forget_long(pieces, missing)
-        return found
+    def _cut(self, words: list[str]) -> list[list[str]]:
+        """The pieces of each word, which stands behind a space."""
+        pieces = self.split.findall("".join([" " + word for word in words]))
+        starts = [i for i, piece in enumerate(pieces) if piece[0] == " "]
+        if len(starts) != len(words):
+            return [self.split.findall(" " + word) for word in words]
+        return [pieces[low:high] for low, high in zip(starts, [*starts[1:], len(pieces)])]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text.
+    def _ids_of(self, cut: list[list[str]]) -> list[bytes]:
+        ids = self._learn(list(set(chain.from_iterable(cut))))
+        return [ids[parts[0]] if len(parts) == 1 else b"".join([ids[piece] for piece in parts]) for parts in cut]
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit integers.
 
         A space between two characters that are no white space always starts a piece, so a
-        text is cut there first and the chunks, each taken with its space, are looked up.
+        text is cut there first and its words, each taken with its space, are looked up.
         """
-        if len(self._pieces) > KEPT_PIECES:
-            self._pieces.clear()
-        if len(self._chunks) > KEPT_CHUNKS:
-            self._chunks.clear()
         cut = [
             None if text[:1] == " " or text[-1:] == " " or _WIDE_SPACE.search(text) else text.split(" ") for text in texts
         ]
-        heads = self._chunk_ids([text if words is None else words[0] for text, words in zip(texts, cut)])
-        known = self._chunks
+        heads = self._ids_of([self.split.findall(text if words is None else words[0]) for text, words in zip(texts, cut)])
         wanted = set().union(*(words[1:] for words in cut if words is not None))
-        missing = [word for word in wanted if word not in known]
-        if missing:
-            known.update(zip(missing, self._chunk_ids([" " + word for word in missing])))
-        get = known.__getitem__
+        young, old = self._young, self._old
+        missing = wanted - young.keys()
+        known = missing & old.keys()
+        missing -= known
+        young.update([(word, old[word]) for word in known])
+        # white space at a word's end, where a text ends, would meet the next word's space
+        closed = [word for word in missing if not word[-1].isspace()]
+        open_ended = [word for word in missing if word[-1].isspace()]
+        young.update(zip(closed, self._ids_of(self._cut(closed))))
+        young.update(zip(open_ended, self._ids_of([self.split.findall(" " + word) for word in open_ended])))
+        get = young.__getitem__
         coded = [
-            list(head) if words is None else [*head, *chain.from_iterable(map(get, words[1:]))]
+            head if words is None or len(words) == 1 else head + b"".join(map(get, words[1:]))
             for head, words in zip(heads, cut)
         ]
-        _forget_long(known, missing)
+        for word in missing:
+            if len(word) > KEPT_WORD_BYTES:
+                del young[word]
+        if len(young) * ENTRY_BYTES > GENERATION_BYTES:
+            self._old, self._young = young, {}
         return coded
 
-    def decode(self, ids: list[int]) -> bytes:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        return [np.frombuffer(data, "<i4").tolist() for data in self.encode_bytes(texts)]
+
+    def decode(self, ids) -> bytes:
         """The bytes of the ids; characters split over tokens come out whole."""
-        return b"".join(map(self.token_bytes.__getitem__, ids))
+        return b"".join(self._bytes.parts(np.asarray(ids, np.int64)))
 
-    def decimal(self, ids: list[int]) -> str:
+    def decimal(self, ids) -> str:
         """The ids in decimal, joined by commas."""
-        return ",".join(map(self._decimal.__getitem__, ids))
+        return b"".join(self._decimal.parts(np.asarray(ids, np.int64)))[1:].decode()
+
+    def digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """sha256 of the ids in decimal, joined by commas, and of the bytes they decode to."""
+        decimal, decoded = hashlib.sha256(), hashlib.sha256()
+        for number, part in enumerate(self._decimal.parts(ids)):
+            decimal.update(part if number else part[1:])
+        for part in self._bytes.parts(ids):
+            decoded.update(part)
+        return decimal.hexdigest(), decoded.hexdigest()
 
     def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """The character range each id touches; ids that share a character overlap there."""
@@ -207,11 +247,23 @@ class Codec:
         return [(int(starts[e - n]) - 1, int(starts[e - 1])) for e, n in zip(ends, sizes)]
 
 
-def _forget_long(known: dict, added: list[str]) -> None:
-    """Keep the memory of the dictionaries bounded: long entries are not worth a place."""
-    for key in added:
-        if len(key) > KEPT_PIECE_BYTES:
-            del known[key]
+class _Table:
+    """A string of bytes for each id, laid end to end."""
+
+    def __init__(self, strings: dict[int, bytes]):
+        sizes = np.zeros(max(strings, default=-1) + 1, np.int64)
+        for number, string in strings.items():
+            sizes[number] = len(string)
+        self.sizes, self._starts = sizes, np.cumsum(sizes) - sizes
+        self._data = np.frombuffer(b"".join(strings[number] for number in sorted(strings)), np.uint8)
+
+    def parts(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The strings of the ids, one after the other, a bounded number at a time."""
+        for low in range(0, len(ids), GATHERED_IDS):
+            some = ids[low : low + GATHERED_IDS]
+            sizes = self.sizes[some]
+            ends = np.cumsum(sizes)
+            yield self._data[np.repeat(self._starts[some] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -233,21 +285,41 @@ def runs(column: pa.Array, rows: int = 256, size: int = 1 << 21):
         yield first, run
 
 
+def id_lists(coded: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(data) // 4 for data in coded])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+
+
+def map_texts(docs: DataFrame, rank_path: str, pattern: str, schema: str, columns) -> DataFrame:
+    """Encode every text; `columns` makes the columns behind doc_id of (codec, texts, their ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = codec(rank_path, pattern)
+        try:
+            for batch in batches:
+                for first, texts in runs(batch.column("text")):
+                    made = columns(tools, texts, tools.encode_bytes(texts))
+                    ids = batch.column("doc_id").slice(first, len(texts))
+                    yield pa.RecordBatch.from_arrays([ids, *made.values()], names=["doc_id", *made])
+        finally:
+            tools.forget()
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, with_offsets: bool = False) -> DataFrame:
     """doc_id, ids array<int>, and with offsets also starts and ends in characters."""
     schema = "doc_id long, ids array<int>" + (", starts array<int>, ends array<int>" if with_offsets else "")
 
-    def convert(batch):
-        tools = codec(rank_path, pattern)
-        for first, texts in runs(batch.column("text")):
-            coded = tools.encode(texts)
-            columns = [batch.column("doc_id").slice(first, len(texts)), pa.array(coded, pa.list_(pa.int32()))]
-            if with_offsets:
-                ranges = [tools.offsets(text, ids) for text, ids in zip(texts, coded)]
-                columns += [pa.array([[r[k] for r in row] for row in ranges], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "starts", "ends"][: len(columns)])
+    def columns(tools, texts, coded):
+        made = {"ids": id_lists(coded)}
+        if with_offsets:
+            ranges = [tools.offsets(text, np.frombuffer(data, "<i4").tolist()) for text, data in zip(texts, coded)]
+            for k, name in enumerate(("starts", "ends")):
+                made[name] = pa.array([[r[k] for r in row] for row in ranges], pa.list_(pa.int32()))
+        return made
 
-    return frames.map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), convert, schema)
+    return map_texts(docs, rank_path, pattern, schema, columns)
 
 
 def decode(coded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -276,19 +348,13 @@ def encode_checked(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" if with_ids else ""
 
-    def convert(batch):
-        tools = codec(rank_path, pattern)
-        for first, texts in runs(batch.column("text")):
-            coded = tools.encode(texts)
-            columns = [
-                batch.column("doc_id").slice(first, len(texts)),
-                pa.array([len(ids) for ids in coded], pa.int64()),
-                pa.array([hashlib.sha256(tools.decimal(ids).encode()).hexdigest() for ids in coded]),
-                pa.array([hashlib.sha256(tools.decode(ids)).hexdigest() for ids in coded]),
-            ]
-            if with_ids:
-                columns.append(pa.array(coded, pa.list_(pa.int32())))
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
-
-    return frames.map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), convert, schema)
+    def columns(tools, texts, coded):
+        digests = [tools.digests(np.frombuffer(data, "<i4").astype(np.int64)) for data in coded]
+        made = {
+            "n_tokens": pa.array([len(data) // 4 for data in coded], pa.int64()),
+            "ids_sha256": pa.array([ids for ids, _ in digests], pa.string()),
+            "decoded_sha256": pa.array([decoded for _, decoded in digests], pa.string()),
+        }
+        return made | ({"ids": id_lists(coded)} if with_ids else {})
+
+    return map_texts(docs, rank_path, pattern, schema, columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, frames
+from sensorloom.llm import bpe
 
 LENGTHS_PER_BLOCK = 1024
 
@@ -23,18 +23,10 @@ LENGTHS_PER_BLOCK = 1024
 def encoded_lengths(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id and n_tokens of every document."""
 
-    def convert(batch):
-        tools = bpe.codec(rank_path, pattern)
-        for first, texts in bpe.runs(batch.column("text")):
-            sizes = [len(ids) for ids in tools.encode(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, len(texts)), pa.array(sizes, pa.int64())],
-                names=["doc_id", "n_tokens"],
-            )
-
-    return frames.map_batches(
-        docs.selectExpr("cast(doc_id as long) doc_id", "text"), convert, "doc_id long, n_tokens long"
-    )
+    def columns(tools, texts, coded):
+        return {"n_tokens": pa.array([len(ids) // 4 for ids in coded], pa.int64())}
+
+    return bpe.map_texts(docs, rank_path, pattern, "doc_id long, n_tokens long", columns)
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
