@@ -38,6 +38,7 @@ LEAST_DOCS = 10
 SHOWN_TERMS = 10
 BLOCK_TERMS = 16_384
 BLOCK_SOURCES = 128
+LOOKED_UP_LANGS = 100_000  # more are joined by a shuffle
 HELD_ENTRIES = 400_000  # counts that a task holds before it passes them on
 
 _SCALE = 1_000_000_000
@@ -107,11 +108,13 @@ class Model:
         terms = counts.where("term IS NOT NULL")
         kept = terms.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("n_docs").alias("n_docs"))
         kept = frames.written(kept.where(F.col("n_docs") >= least_docs).drop("n_docs"), "kept-terms")
-        self.langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+        langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+        langs = frames.written(langs, "langs")
+        self.langs = F.broadcast(langs) if langs.count() <= LOOKED_UP_LANGS else langs
         # terms are numbered within blocks of about BLOCK_TERMS
         block = F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / BLOCK_TERMS))
         numbered = Window.partitionBy("lang", "term_block").orderBy("term")
-        kept = kept.join(self.langs, "lang").withColumn("term_block", block)
+        kept = kept.join(self.langs, "lang").withColumn("term_block", block).repartition("lang", "term_block")
         kept = kept.withColumn("term_no", F.row_number().over(numbered) - 1)
         self.terms = frames.written(kept, "numbered-terms")
         #: lang, source, term, n and what the language knows of the term
