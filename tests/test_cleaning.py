@@ -170,8 +170,10 @@ def test_lookup_join_equals_a_plain_join(spark, fleet, how, threshold):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_lookup_join_broadcasts_the_dimension_as_it_is(spark, fleet, capsys):
+def test_lookup_join_broadcasts_the_dimension_as_it_is(spark, fleet, capsys, tmp_path):
     dim = fleet.sensors((1, 1, "temperature")).select(F.col("id").alias("sensor_id"), "sensor_type")
+    dim.write.parquet(f"{tmp_path}/dim")  # a file has a size, a list of rows has none
+    dim = spark.read.parquet(f"{tmp_path}/dim")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     for threshold, join in (("10MB", "BroadcastHashJoin"), ("-1", "SortMergeJoin")):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
