@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.text import quoted
+from sensorloom.operators.selection import medians
 
 TARGET = "yield_kg_per_m2"
 CATEGORICAL = "crop_type"
@@ -49,27 +50,60 @@ def most_frequent_crop(records: DataFrame) -> str:
     return top[CATEGORICAL] if top else ""
 
 
-def preprocessor_stages(training: DataFrame, relative_error: float = 0.001) -> list:
-    """Stages that derive, impute, scale and encode, to be fitted on training rows only.
+def fitted_values(training: DataFrame) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
+    """Exact medians of the numeric features, then mean and population deviation of the filled ones."""
+    derived = add_derived(training).select(*(F.col(name).cast("double").alias(name) for name in FEATURES))
+    middle = medians(derived, FEATURES)
+    missing = [name for name in FEATURES if name not in middle]
+    if missing:
+        raise ValueError(f"no training value of {', '.join(missing)}")
+    filled = derived.select(*(_filled(F.col(name), middle[name]).alias(name) for name in FEATURES))
+    row = filled.agg(*(f(name).alias(f"{kind}_{name}") for name in FEATURES for kind, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    return middle, {name: (row[f"m_{name}"], row[f"s_{name}"] or 1.0) for name in FEATURES}
 
-    Medians come from a mergeable sketch: ``relative_error`` 0 is exact but keeps every
-    value, so it is for small tables. Unknown crops encode to all zeros.
+
+def _filled(column: Column, value: float) -> Column:
+    return F.coalesce(F.when(~F.isnan(column), column), F.lit(value))
+
+
+def scaled_name(name: str) -> str:
+    return f"{name}_scaled"
+
+
+def crop_names(training: DataFrame) -> list[str]:
+    """The crops of the training rows, one row each."""
+    return sorted(row[0] for row in training.select(CATEGORICAL).where(F.col(CATEGORICAL).isNotNull()).distinct().collect())
+
+
+def crop_columns(crops: list[str]) -> list[str]:
+    return [f"crop_{number}" for number in range(len(crops))]
+
+
+def preprocessor_stages(training: DataFrame) -> list:
+    """Stages that derive, impute, scale and encode; what they need is learnt from the training rows given.
+
+    Medians are exact, by distributed selection; deviations are those of the population. Unknown
+    crops encode to all zeros, missing ones are the most frequent crop. The stages hold their
+    numbers as literals, so a stored pipeline is plain text.
     """
+    middle, scales = fitted_values(training)
+    mode, crops = quoted(most_frequent_crop(training)), crop_names(training)
     derived = ", ".join(f"CAST({text} AS DOUBLE) AS {name}" for name, text in DERIVED.items())
-    numeric = ", ".join(f"CAST({name} AS DOUBLE) AS {name}_num" for name in NUMERIC)
-    mode = quoted(most_frequent_crop(training))
-    inputs = [*[f"{name}_num" for name in NUMERIC], *DERIVED]
-    filled = [f"{name}_filled" for name in inputs]
+    values = {name: f"CAST({name} AS DOUBLE)" for name in NUMERIC} | {name: name for name in DERIVED}
+    scaled = ", ".join(
+        f"(coalesce(nullif({values[name]}, double('NaN')), {middle[name]!r}D) - ({scales[name][0]!r}D)) / {scales[name][1]!r}D AS {scaled_name(name)}"
+        for name in FEATURES
+    )
+    encoded = "".join(
+        f", if(crop = {quoted(crop)}, 1D, 0D) AS {name}" for crop, name in zip(crops, crop_columns(crops))
+    )
+    inputs = [*map(scaled_name, FEATURES), *crop_columns(crops)]
     return [
-        SQLTransformer(statement=f"SELECT *, {derived}, {numeric}, coalesce({CATEGORICAL}, {mode}) AS crop FROM __THIS__"),
-        Imputer(strategy="median", inputCols=inputs, outputCols=filled, relativeError=relative_error),
-        VectorAssembler(inputCols=filled, outputCol="numeric"),
-        StandardScaler(inputCol="numeric", outputCol="scaled", withMean=True, withStd=True),
-        StringIndexer(inputCol="crop", outputCol="crop_index", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCol="crop_index", outputCol="crop_vector", dropLast=True),
-        VectorAssembler(inputCols=["scaled", "crop_vector"], outputCol="features"),
+        SQLTransformer(statement=f"SELECT *, {derived}, coalesce({CATEGORICAL}, {mode}) AS crop FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {scaled}{encoded} FROM __THIS__"),
+        VectorAssembler(inputCols=inputs, outputCol="features"),
     ]
 
 
-def build_preprocessor(training: DataFrame, relative_error: float = 0.001) -> Pipeline:
-    return Pipeline(stages=preprocessor_stages(training, relative_error))
+def build_preprocessor(training: DataFrame) -> Pipeline:
+    return Pipeline(stages=preprocessor_stages(training))

@@ -136,10 +136,33 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+_PRIME = (1 << 61) - 1
+
+
+def _exact_text(name: str, kind: str) -> str:
+    """A value as text that any engine writes alike; a double in two whole numbers that hold all its bits.
+
+    Doubles are exact below 2**42 in size and down to multiples of 2**-72.
+    """
+    if kind != "double":
+        return f"coalesce(CAST(`{name}` AS STRING), chr(30))"
+    scaled = f"(`{name}` * 1048576D)"
+    whole = f"floor({scaled})"
+    part = f"floor(({scaled} - {whole}) * 4503599627370496D)"
+    return f"coalesce(concat(CAST({whole} AS STRING), '.', CAST({part} AS STRING)), chr(30))"
+
+
 def dataset_fingerprint(records: DataFrame) -> DataFrame:
-    """Sixteen hex digits that change when any row does, in one pass and in any row order."""
-    rows = records.select(F.xxhash64(*records.columns).cast("decimal(38,0)").alias("h"))
-    return rows.agg(F.sum("h").alias("total"), F.count(F.lit(1)).alias("row_count")).select(
-        F.substring(F.sha2(F.concat_ws(":", F.coalesce("total", F.lit(0)), "row_count"), 256), 1, 16).alias("fingerprint"),
-        "row_count",
+    """Sixteen hex digits that change when any row does, in one pass and in any row order.
+
+    A multiset hash: two 52-bit pieces of each row's md5 are summed modulo a prime, so repeated
+    rows count and partial sums merge in any order.
+    """
+    text = F.expr("concat_ws(chr(31), " + ", ".join(_exact_text(name, kind) for name, kind in records.dtypes) + ")")
+    digest = records.select(F.md5(text).alias("d"))
+    pieces = [F.conv(F.substring("d", at, 13), 16, 10).cast("decimal(38,0)") for at in (1, 14)]
+    sums = digest.agg(*(F.coalesce(F.sum(p), F.lit(0)).alias(f"s{i}") for i, p in enumerate(pieces)), F.count(F.lit(1)).alias("row_count"))
+    rests = [F.expr(f"CAST(s{i} % {_PRIME} AS STRING)") for i in (0, 1)]
+    return sums.select(
+        F.substring(F.md5(F.concat_ws(":", *rests, F.col("row_count").cast("string"))), 1, 16).alias("fingerprint"), "row_count"
     )

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, TimestampType
@@ -25,9 +24,10 @@ from sensorloom.operators import (
     overview,
     quality,
     rollups,
+    selection,
 )
 from sensorloom.operators.recommend import candidates, context, lifecycle, rules
-from sensorloom.operators.yields import evaluate, features, score, split, train
+from sensorloom.operators.yields import evaluate, features, linear, score, split, train
 from sensorloom.session import apply_runtime_conf
 from sensorloom.settings import DEFAULTS, YIELD_BASELINES
 from sensorloom.sources import star_schema
@@ -41,10 +41,7 @@ STORED_UNTIL = "2024-01-11T00:00:00Z"
 PAGE_END = ("2024-01-25T00:00:00Z", 1000)
 ALERTS_AT = "2024-01-20T00:00:00Z"
 CHECKED_AT = "2024-01-31T00:00:00Z"
-
-
-# Models a caller hands in for a session and a directory; queries never add their own.
-_TRAINED: dict[tuple[str, str], train.TrainedModels] = {}
+GAPS = {"co2_ppm": 7, "soil_pH": 5, "crop_type": 11}  # every so many records have none
 
 
 class Star:
@@ -92,11 +89,25 @@ class Star:
     def records(self):
         return self._load(star_schema.yield_records)
 
+    @cached_property
+    def incomplete(self):
+        """The records with their split and with gaps, as fields have them."""
+        gap = {name: F.expr(f"if(record_id % {n} = 0, NULL, {name})") for name, n in GAPS.items()}
+        return split.assign_split(self.records).withColumns(gap)
+
+    @cached_property
+    def crops(self):
+        return features.crop_names(self.incomplete.filter("split = 'train'"))
+
+    @cached_property
+    def prepared(self):
+        """Incomplete records with their features; what is learnt comes from the training rows."""
+        return train.fit_preprocessor(self.incomplete).transform(self.incomplete)
+
     @cached_property
     def trained(self):
         """The candidates at full size on every training row, fitted by each query for itself."""
-        given = _TRAINED.get((self.spark.sparkContext.applicationId, self.directory))
-        return given or train.train(self.records)
+        return train.train(self.records)
 
     @cached_property
     def documents(self):
@@ -691,15 +702,33 @@ def zone_yield_inputs(s: Star):
     return score.zone_yield_inputs(s.wide)
 
 
+@query
+def yield_medians(s: Star):
+    """Exact medians of the features over the training rows, by distributed selection."""
+    middle = selection.medians(features.add_derived(s.incomplete.filter("split = 'train'")), features.FEATURES)
+    return s.spark.createDataFrame(sorted(middle.items()), "feature string, median double")
+
+
 @query
 def yield_preprocess(s: Star):
-    parts = split.assign_split(s.records)
-    kept = parts.persist()
-    try:
-        model = train.fit_preprocessor(kept)
-    finally:
-        kept.unpersist()
-    return model.transform(parts).select("record_id", "split", vector_to_array("features").alias("features"))
+    names = [*map(features.scaled_name, features.FEATURES), *features.crop_columns(s.crops)]
+    prepared = s.prepared.select("record_id", "split", *names)
+    return _steady(prepared, **{name: 6 for name in map(features.scaled_name, features.FEATURES)})
+
+
+@query
+def yield_moments(s: Star):
+    """What the linear fit needs to know of the training rows: one aggregate."""
+    names = [*map(features.scaled_name, features.FEATURES), features.TARGET]
+    return _steady(linear.moments(s.prepared.filter("split = 'train'"), names), mean_product=6)
+
+
+@query
+def yield_linear(s: Star):
+    """Least-squares predictions of every record, by a fit on the training rows."""
+    names = [*map(features.scaled_name, features.FEATURES), *features.crop_columns(s.crops)]
+    model = linear.fit(s.prepared.filter("split = 'train'"), features.TARGET, names)
+    return s.prepared.select("record_id", "split", model.predict().alias("predicted_yield"))
 
 
 @query

@@ -212,6 +212,54 @@ HORIZON = "TIMESTAMP '2024-01-21'"  # a day after the evaluation
 _TYPES = ("temperature", "humidity", "soil_moisture", "light", "co2", "irrigation")
 
 
+_PRIME = 2305843009213693951
+_NUMBERS = (
+    "avg_temperature_C", "min_temperature_C", "max_temperature_C", "humidity_percent", "co2_ppm", "light_intensity_lux",
+    "photoperiod_hours", "irrigation_mm", "fertilizer_N_kg_ha", "fertilizer_P_kg_ha", "fertilizer_K_kg_ha", "pest_severity",
+    "soil_pH",
+)
+_FEATURES = (*_NUMBERS, "days_to_maturity", "temp_range_C", "temp_deviation_C", "light_daily_integral", "nutrient_total_kg_ha")
+_MOMENTS = [*(f"{name}_scaled" for name in _FEATURES), "yield_kg_per_m2"]
+_DOUBLE_TEXT = (
+    "CAST(CAST(floor(\"{0}\" * 1048576) AS BIGINT) AS VARCHAR) || '.' || "
+    "CAST(CAST(floor((\"{0}\" * 1048576 - floor(\"{0}\" * 1048576)) * 4503599627370496) AS BIGINT) AS VARCHAR)"
+)
+_RECORD_TEXT = (
+    "concat_ws(chr(31), CAST(record_id AS VARCHAR), crop_type, "
+    + ", ".join(_DOUBLE_TEXT.format(name) for name in _NUMBERS)
+    + ", CAST(days_to_maturity AS VARCHAR), "
+    + _DOUBLE_TEXT.format("yield_kg_per_m2")
+    + ")"
+)
+
+
+def _yield_ctes() -> dict[str, str]:
+    each = ", ".join
+    return {
+        "parts": """SELECT record_id, crop_type, CASE WHEN r <= n - 2 * h THEN 'train' WHEN r <= n - h THEN 'validation' ELSE 'test' END AS split
+            FROM (SELECT *, (15 * n + 50) // 100 AS h FROM (SELECT record_id, crop_type, count(*) OVER (PARTITION BY crop_type) AS n,
+              row_number() OVER (PARTITION BY crop_type ORDER BY CAST('0x' || substr(md5('42:' || record_id), 1, 13) AS BIGINT), record_id) AS r
+              FROM records) x) y""",
+        "incomplete": f"""SELECT *, "max_temperature_C" - "min_temperature_C" AS "temp_range_C", abs("avg_temperature_C" - 23.0::DOUBLE) AS "temp_deviation_C",
+              light_intensity_lux * photoperiod_hours AS light_daily_integral,
+              "fertilizer_N_kg_ha" + "fertilizer_P_kg_ha" + "fertilizer_K_kg_ha" AS nutrient_total_kg_ha
+            FROM (SELECT record_id, split, CASE WHEN record_id % 11 <> 0 THEN r.crop_type END AS crop_type, yield_kg_per_m2,
+              {each(f'CASE WHEN record_id % {n} <> 0 THEN "{c}" END AS "{c}"' if n else f'"{c}"' for c in _FEATURES[:14] for n in [{"co2_ppm": 7, "soil_pH": 5}.get(c)])}
+            FROM records r JOIN parts USING (record_id)) x""",
+        "middle": "SELECT " + each(f'CAST(median("{c}") AS DOUBLE) AS "{c}"' for c in _FEATURES) + " FROM incomplete WHERE split = 'train'",
+        "filled": "SELECT record_id, split, yield_kg_per_m2, coalesce(crop_type, (SELECT crop_type FROM incomplete WHERE split = 'train' AND crop_type IS NOT NULL "
+        "GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS crop, "
+        + each(f'coalesce(i."{c}", m."{c}") AS "{c}"' for c in _FEATURES)
+        + " FROM incomplete i CROSS JOIN middle m",
+        "scale": "SELECT " + each(f'avg("{c}") AS "m_{c}", stddev_pop("{c}") AS "s_{c}"' for c in _FEATURES) + " FROM filled WHERE split = 'train'",
+        "prepared": "SELECT record_id, split, yield_kg_per_m2, "
+        + each(f"CAST(crop = '{c}' AS DOUBLE) AS crop_{i}" for i, c in enumerate(("Cucumber", "Lettuce", "Pepper", "Tomato")))
+        + ", "
+        + each(f'("{c}" - "m_{c}") / CASE WHEN "s_{c}" > 0 THEN "s_{c}" ELSE 1 END AS "{c}_scaled"' for c in _FEATURES)
+        + " FROM filled CROSS JOIN scale",
+    }
+
+
 def _status(value: str, low: str, high: str) -> str:
     distance = f"CASE WHEN {value} < {low} THEN {low} - {value} ELSE {value} - {high} END"
     return f"""CASE WHEN {value} IS NULL OR {low} IS NULL OR {high} IS NULL THEN 'unknown'
@@ -597,8 +645,20 @@ def statements() -> dict[str, str]:
         "yield_features": """SELECT record_id, "max_temperature_C" - "min_temperature_C" AS "temp_range_C",
               abs("avg_temperature_C" - 23.0::DOUBLE) AS "temp_deviation_C", light_intensity_lux * photoperiod_hours AS light_daily_integral,
               "fertilizer_N_kg_ha" + "fertilizer_P_kg_ha" + "fertilizer_K_kg_ha" AS nutrient_total_kg_ha FROM records""",
-        "yield_split": """SELECT record_id, crop_type, CASE WHEN b < 7000 THEN 'train' WHEN b < 8500 THEN 'validation' ELSE 'test' END AS split
-            FROM (SELECT record_id, crop_type, CAST('0x' || substr(md5('42:' || record_id), 1, 8) AS BIGINT) % 10000 AS b FROM records ) x""",
+        "yield_split": "SELECT record_id, crop_type, split FROM parts",
+        "yield_medians": "SELECT feature, median FROM (UNPIVOT middle ON COLUMNS(*) INTO NAME feature VALUE median) x",
+        "yield_preprocess": "SELECT record_id, split, "
+        + ", ".join(f'round("{n}_scaled" + 1e-9, 6) AS "{n}_scaled"' for n in _FEATURES)
+        + ", crop_0, crop_1, crop_2, crop_3 FROM prepared",
+        "yield_moments": " UNION ALL ".join(
+            f"SELECT '{a}' AS first, '{b}' AS second, round(avg(\"{a}\" * \"{b}\") + 1e-9, 6) AS mean_product FROM prepared WHERE split = 'train'"
+            for i, a in enumerate(_MOMENTS)
+            for b in _MOMENTS[i:]
+        ),
+        "dataset_fingerprint": f"""SELECT substr(md5((s1 % {_PRIME}) || ':' || (s2 % {_PRIME}) || ':' || row_count), 1, 16) AS fingerprint, row_count
+            FROM (SELECT coalesce(sum(CAST('0x' || substr(d, 1, 13) AS BIGINT)), 0) AS s1,
+                    coalesce(sum(CAST('0x' || substr(d, 14, 13) AS BIGINT)), 0) AS s2, count(*) AS row_count
+                  FROM (SELECT md5({_RECORD_TEXT}) AS d FROM records) x) y""",
         "yield_request_validation": """SELECT record_id, failures, failures = '' AS accepted FROM (SELECT record_id, concat_ws(',',
               CASE WHEN crop_type NOT IN ('Tomato', 'Cucumber', 'Lettuce', 'Pepper') THEN 'crop_type' END, """
         + ", ".join(
@@ -621,7 +681,8 @@ def statements() -> dict[str, str]:
     }
     for name in ("greenhouse", "zone", "sensor"):
         plain[f"dim_{name}"] = plain[f"stg_{name}s"]
-    done = {name: _with(text) for name, text in plain.items()}
+    prepared = _yield_ctes()
+    done = {name: _with(text, prepared if name.startswith("yield_") else None) for name, text in plain.items()}
     done |= {
         "rule_irrigation": rule("irrigation_needed"),
         "sustained_temperature": rule("temperature_high", "temperature_low"),

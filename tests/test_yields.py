@@ -1,12 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sensorloom import schemas
-from sensorloom.operators.yields import evaluate, features, score, split, train
+from sensorloom.operators.yields import evaluate, features, linear, score, split, train
 from sensorloom.sources import files
 
 
@@ -53,7 +54,7 @@ def test_preprocessing_imputes_scales_and_encodes(spark, records):
         for row in model.transform(frame).select(vector_to_array("features").alias("f")).collect():
             assert len(row.f) == size and not any(math.isnan(x) for x in row.f)
             assert sum(row.f[-4:]) == encoded
-    means = model.transform(records).select(vector_to_array("scaled").alias("f")).agg(F.avg(F.col("f")[0]), F.stddev(F.col("f")[0])).first()
+    means = model.transform(records).select(vector_to_array("features").alias("f")).agg(F.avg(F.col("f")[0]), F.stddev_pop(F.col("f")[0])).first()
     assert means[0] == pytest.approx(0, abs=1e-9) and means[1] == pytest.approx(1)
 
 
@@ -65,13 +66,44 @@ def test_a_missing_crop_becomes_the_most_frequent(records):
     assert model.transform(blank).first().features == model.transform(same).first().features
 
 
-def test_split_shares(spark):
-    frame = spark.range(20000).select(F.col("id").alias("record_id"), (F.col("id") % 4).alias("crop"))
-    shares = {(r.crop, r.split): r["count"] for r in split.assign_split(frame).groupBy("crop", "split").count().collect()}
-    for crop in range(4):
-        assert shares[crop, "train"] == pytest.approx(3500, rel=0.05)
-        assert shares[crop, "validation"] == pytest.approx(750, rel=0.15)
-        assert shares[crop, "test"] == pytest.approx(750, rel=0.15)
+def test_the_split_is_exact_in_every_stratum(spark):
+    sizes = {"a": 10_000, "b": 1_003, "c": 10, "d": 4, "e": 3, "f": 1, None: 57}
+    rows = [(f"{crop}{i}", crop) for crop, n in sizes.items() for i in range(n)]
+    frame = spark.createDataFrame(rows, "name string, crop string").repartition(5)
+    parts = split.assign_split(frame, "name", by="crop").collect()
+    assert len(parts) == len(rows)
+    for crop, n in sizes.items():
+        held = (15 * n + 50) // 100
+        own = [r.split for r in parts if r.crop == crop]
+        assert (own.count("train"), own.count("validation"), own.count("test")) == (n - 2 * held, held, held)
+    again = {r.name: r.split for r in split.assign_split(frame.sort("name"), "name", by="crop").collect()}
+    assert again == {r.name: r.split for r in parts}
+    other = {r.name: r.split for r in split.assign_split(frame, "name", seed=7, by="crop").collect()}
+    assert other != again
+
+
+def test_digests_that_collide_are_cut_by_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(split, "_place", lambda key, seed: F.lit(5.0))
+    frame = spark.range(100).select("id", F.lit("x").alias("crop"))
+    found = {r.id: r.split for r in split.assign_split(frame, "id", by="crop").collect()}
+    assert [found[i] for i in (0, 69, 70, 84, 85, 99)] == ["train", "train", "validation", "validation", "test", "test"]
+    assert split.assign_split(frame.limit(0), "id", by="crop").count() == 0
+
+
+def test_least_squares_with_collinear_columns(spark):
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=(300, 3))
+    table = np.column_stack([table, table[:, 0] + table[:, 1], np.ones(300)])
+    label = table @ [1.0, -2.0, 0.5, 0.3, 0.0] + 4 + rng.normal(size=300) / 10
+    names = ["a", "b", "c", "d", "e"]
+    frame = spark.createDataFrame([(*map(float, x), float(y)) for x, y in zip(table, label)], [*names, "y"])
+    model = linear.fit(frame.repartition(4), "y", names)
+    full = np.column_stack([np.ones(300), table])
+    weights = np.linalg.lstsq(full, label, rcond=None)[0]
+    found = np.array([r.p for r in frame.select(model.predict().alias("p")).collect()])
+    assert np.abs(found - full @ weights).max() < 1e-9
+    with pytest.raises(ValueError, match="no rows"):
+        linear.fit(frame.limit(0), "y", names)
 
 
 def metrics(spark, pairs):
