@@ -113,7 +113,7 @@ def test_equals_the_stages_in_plain_python(spark, tables):
 
 def test_every_numbered_operator_has_one_query():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op"))
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
 
 
 def test_odd_rows(corpus, spark, tables):
