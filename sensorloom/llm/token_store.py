@@ -35,8 +35,9 @@ from sensorloom.llm import frames, words
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-GENERATION_WORDS = 200_000
+GENERATION_WORDS = 400_000
 RUN_WORDS = 200
+BLOCK_BYTES = 4 << 20  # texts encoded together; a longer text is alone
 KEPT_WORD_BYTES = 64
 
 _SCHEMA = "shard int, doc_id long, start_in_shard long, n_tokens long, ids array<int>"
@@ -75,7 +76,8 @@ class WordEncoder:
 
     A text is cut at ASCII white space, and where ASCII letters or digits meet a word's closing
     ASCII punctuation: the tokenizer cuts there as well. Words of letters alone go to the library
-    many at a time: each is one run of ids whose last token carries the end-of-word mark.
+    many at a time: each is one run of ids whose last token carries the end-of-word mark; where
+    the ends do not match the words, each word goes by itself.
     """
 
     def __init__(self, path: str):
@@ -99,7 +101,10 @@ class WordEncoder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _letters(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words of ASCII letters, taken from runs of many words."""
+        """Ids of words of letters alone, taken from runs of many words.
+
+        Each word has at least one end, so as many ends as words mean one for each.
+        """
         runs = [words[i : i + RUN_WORDS] for i in range(0, len(words), RUN_WORDS)]
         joined = [b" ".join(run).decode() for run in runs]
         coded: list[bytes] = []
@@ -116,18 +121,15 @@ class WordEncoder:
     def _ids(self, distinct: list[bytes]) -> list[bytes]:
         """The ids of each word. Words are known for two generations: used ones move to the younger."""
         young, old = self._young, self._old
-        missing = []
-        for word in distinct:
-            if word not in young:
-                if word in old:
-                    young[word] = old[word]
-                else:
-                    missing.append(word)
-        letters = [word for word in missing if word.isalpha()]
-        others = [word for word in missing if not word.isalpha()]
+        missing = [word for word in distinct if word not in young]
+        if old:
+            young.update([(word, old[word]) for word in missing if word in old])
+            missing = [word for word in missing if word not in old]
+        letters = [word for word in missing if word.isalpha() or word.decode().isalpha()]
+        others = [word for word in missing if not (word.isalpha() or word.decode().isalpha())]
         young.update(zip(letters, self._letters(letters)))
         young.update(zip(others, self._library(others)))
-        found = [young[word] for word in distinct]
+        found = list(map(young.__getitem__, distinct))
         for word in missing:
             if len(word) > KEPT_WORD_BYTES:
                 del young[word]
@@ -147,7 +149,7 @@ class WordEncoder:
         coded = pa.Array.from_buffers(pa.binary(), len(found.starts), buffers).dictionary_encode()
         ids = self._ids(coded.dictionary.to_pylist())
         place = coded.indices.to_numpy()
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first = np.cumsum(sizes) - sizes
         size = sizes[place]
         ends = np.cumsum(size)
@@ -166,7 +168,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1) ->
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start, tools = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         for batch in batches:
-            for first, data, offsets in words.text_blocks(batch.column("text")):
+            for first, data, offsets in words.text_blocks(batch.column("text"), BLOCK_BYTES):
                 ids, ends = tools.encode(data, offsets)
                 ids = np.insert(ids, ends, end_id).astype("<i4")
                 ends = ends + np.arange(1, len(ends) + 1)
