@@ -102,6 +102,24 @@ def marked(frame: DataFrame, key: Column, wanted: DataFrame, mark: str) -> DataF
     )
 
 
+def smallest_hashes(ids: DataFrame, count: int) -> DataFrame:
+    """The `count` distinct doc_ids with the smallest hashes, all where there are fewer.
+
+    The number of distinct ids is estimated first; only ids below twice the share that is
+    needed are made distinct, so that the ids of a large table are not shuffled.
+    """
+    value = F.xxhash64("doc_id")
+    known = ids.agg(F.approx_count_distinct("doc_id")).first()[0]
+    if known > 2 * count:
+        ids = ids.where(value < F.lit(int(2.0**64 * 2 * count / known) - (1 << 63)))
+    return ids.distinct().orderBy(value, "doc_id").limit(count)
+
+
+def one_text(sample: DataFrame, *marks: str) -> DataFrame:
+    """One row for each doc_id with its smallest text, so that a bound on ids is one on rows."""
+    return sample.groupBy("doc_id", *marks).agg(F.min("text").alias("text"))
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Tells rows apart that repeat an id with another text; goes with doc_id in joins."""
     return F.xxhash64(doc_id, text)

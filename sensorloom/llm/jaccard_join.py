@@ -73,7 +73,7 @@ def _digests(members: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 def frequent_members(docs: DataFrame, width: int) -> np.ndarray:
     """Members that several sampled documents have, the least frequent first; at most ORDER_MEMBERS."""
     share = min(1.0, ORDER_DOCUMENTS / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)) < F.lit(int(share * (1 << 62))))
 
     def convert(batch):
         for _, _, members, _ in _members(batch.column("text"), width):

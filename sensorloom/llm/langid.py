@@ -35,7 +35,7 @@ EPOCHS = 4
 RATE = 2.0
 TRUSTED = 0.99
 UNKNOWN = "und"
-_CHANCES = 1_000_000
+_CHANCES = 1 << 53
 
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = words.lower_ascii(np.arange(256, dtype=np.uint8))
@@ -134,17 +134,21 @@ def fit(docs: DataFrame, fit_per_language: int = FIT_PER_LANGUAGE, fit_languages
     """Learn from the labelled documents of the learning fold; None if there are none.
 
     Takes, by the hashes of their ids, about `fit_per_language` documents of each of the
-    `fit_languages` most frequent languages, or all where there are fewer.
+    `fit_languages` most frequent languages, or all where there are fewer. Of an id that is
+    repeated in a language the smallest text counts. Languages beyond `fit_languages` are not
+    learnt: the limit bounds the model, which has one column for each.
     """
     labelled = docs.select("doc_id", "lang").where(
         frames.learning_fold(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)
     )
-    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_languages)
+    ids = F.approx_count_distinct("doc_id", 0.02).alias("count")
+    frequent = labelled.groupBy("lang").agg(ids).orderBy(F.desc("count"), "lang").limit(fit_languages)
     # a hash below each language's share of its documents takes about fit_per_language of them
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(_CHANCES)) * F.col("count") < F.lit(fit_per_language * _CHANCES)
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(_CHANCES)).cast("double") * F.col("count") < F.lit(float(fit_per_language * _CHANCES))
     shares = F.broadcast(frequent.withColumnRenamed("lang", "_lang"))  # bounded by fit_languages
     usable = frames.learning_fold(F.col("doc_id")) & (F.length("text") > 0)
     sample = docs.select("doc_id", "text", "lang").where(usable).join(shares, F.col("lang") == F.col("_lang")).where(chance)
+    sample = frames.one_text(sample, "lang")
 
     def convert(batch):
         for first, data, offsets in words.text_blocks(batch.column("text")):

@@ -229,7 +229,10 @@ def _expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Field:
-    """Train on at most `fit_documents` labelled documents, those with the smallest hashes of their ids."""
+    """Train on at most `fit_documents` labelled documents, those with the smallest hashes of their ids.
+
+    Of a repeated id the smallest text counts, so the bound is one on rows.
+    """
     chosen = (
         labels.where("quality is not null and doc_id is not null")
         .groupBy("doc_id")
@@ -238,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS)
         .limit(fit_documents)
     )
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by fit_documents
+    labelled = frames.one_text(labelled, "quality")
 
     def convert(batch):
         quality = batch.column("quality").to_numpy()
@@ -259,7 +263,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS)
         "doc_id long, bad boolean, lines binary",
     ).collect()
     rows = sorted(((r.doc_id, r.bad, bytes(r.lines)) for r in rows if r.lines), key=lambda r: (r[0], r[2]))
-    rows = rows[: 2 * fit_documents]  # repeated ids bring more documents than labels
     if len({bad for _, bad, _ in rows}) < 2:
         return Field.empty()
     features = [np.frombuffer(raw, np.float32).reshape(-1, FEATURES).astype(np.float64) for _, _, raw in rows]

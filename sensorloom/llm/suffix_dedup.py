@@ -112,7 +112,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, content, row_key, place of every territory."""
+    """anchor, content, doc_id, row_key, place of every territory."""
 
     def convert(batch):
         keys = batch.column("row_key").to_numpy()
@@ -122,15 +122,15 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
                 [
                     pa.array(anchor.astype(np.int64)),
                     pa.array(content.astype(np.int64)),
+                    batch.column("doc_id").take(pa.array(first + row)),
                     pa.array(keys[first + row]),
                     pa.array(_pack_place(start, before, count)),
                 ],
-                names=["anchor", "content", "row_key", "place"],
+                names=["anchor", "content", "doc_id", "row_key", "place"],
             )
 
-    return frames.map_batches(
-        _keyed(docs).select("row_key", "text"), convert, "anchor long, content long, row_key long, place long"
-    )
+    schema = "anchor long, content long, doc_id long, row_key long, place long"
+    return frames.map_batches(_keyed(docs).select("doc_id", "row_key", "text"), convert, schema)
 
 
 def multikey_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +290,7 @@ def _by_digest(cut: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """row_key and runs: first and last start of the repeated strings of each document that has any."""
+    """doc_id, row_key and runs: first and last start of the repeated strings of each document that has any."""
     if not ANCHOR_BYTES < length < 1 << _PLACE_BITS:
         raise ValueError(f"length must lie between {ANCHOR_BYTES} and {1 << _PLACE_BITS}")
     anchored = _anchored(docs, length)
@@ -303,7 +303,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS)
     )
     known = frames.written(shared.join(frames.written(kinds, "kinds"), "anchor"), "known")
     whole = known.where("alike").select(
-        "row_key", _first(F.col("place")).alias("low"), (_first(F.col("place")) + _count(F.col("place")) - 1).alias("high")
+        "doc_id", "row_key", _first(F.col("place")).alias("low"), (_first(F.col("place")) + _count(F.col("place")) - 1).alias("high")
     )
 
     # one holder of each differing territory brings its text
@@ -312,31 +312,32 @@ def repeats(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS)
         .groupBy("anchor", "content")
         .agg(
             F.count("*").alias("times"),
-            F.min(F.struct("row_key", "place")).alias("at"),
+            F.min(F.struct("row_key", "doc_id", "place")).alias("at"),
             F.first(F.col("occurrences") > group_rows).alias("large"),
         )
-        .select("anchor", "content", "times", "large", "at.row_key", "at.place")
+        .select("anchor", "content", "times", "large", "at.doc_id", "at.row_key", "at.place")
     )
-    wanted = holders.groupBy(F.col("row_key").alias("_row")).agg(
+    wanted = holders.groupBy(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_row")).agg(
         F.collect_list(F.struct("anchor", "content", "times", "large", "place")).alias("wanted")
     )
-    keyed = _keyed(docs).select("row_key", "text")
-    held = keyed.join(wanted, keyed["row_key"] == wanted["_row"]).select("text", "wanted")
+    keyed = _keyed(docs).select("doc_id", "row_key", "text")
+    same = keyed["doc_id"].eqNullSafe(wanted["_doc"]) & (keyed["row_key"] == wanted["_row"])
+    held = keyed.join(wanted, same).select("text", "wanted")
     cut = frames.written(_cut_out(held, length), "territories")
     verdicts = frames.written(
         _in_buckets(cut.where("not large"), length).unionByName(_by_digest(cut.where("large"), length)), "verdicts"
     )
     part = (
         known.where("not alike")
-        .select("anchor", "content", "row_key", "place")
+        .select("anchor", "content", "doc_id", "row_key", "place")
         .join(verdicts, ["anchor", "content"])
-        .select("row_key", _first(F.col("place")).alias("at"), F.explode("runs").alias("run"))
-        .select("row_key", (F.col("at") + F.col("run.low")).alias("low"), (F.col("at") + F.col("run.high")).alias("high"))
+        .select("doc_id", "row_key", _first(F.col("place")).alias("at"), F.explode("runs").alias("run"))
+        .select("doc_id", "row_key", (F.col("at") + F.col("run.low")).alias("low"), (F.col("at") + F.col("run.high")).alias("high"))
     )
     return (
         whole.unionByName(part)
         .distinct()
-        .groupBy("row_key")
+        .groupBy("doc_id", "row_key")
         .agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     )
 
@@ -374,9 +375,13 @@ def _covered(size: int, runs: list[dict] | None, length: int) -> np.ndarray:
 
 def _with_runs(docs: DataFrame, length: int, group_rows: int) -> DataFrame:
     """The documents with all their columns and the column __llm_runs, null where nothing repeats."""
-    found = repeats(docs, length, group_rows).select(F.col("row_key").alias("__llm_row"), F.col("runs").alias("__llm_runs"))
-    key = frames.row_key(F.col("doc_id").cast("long"), F.col("text"))
-    return docs.withColumn("__llm_key", key).join(found, F.col("__llm_key") == F.col("__llm_row"), "left").drop("__llm_key", "__llm_row")
+    found = repeats(docs, length, group_rows).select(
+        F.col("doc_id").alias("__llm_doc"), F.col("row_key").alias("__llm_row"), F.col("runs").alias("__llm_runs")
+    )
+    own = F.col("doc_id").cast("long")
+    same = own.eqNullSafe(F.col("__llm_doc")) & (F.col("__llm_key") == F.col("__llm_row"))
+    keyed = docs.withColumn("__llm_key", frames.row_key(own, F.col("text")))
+    return keyed.join(found, same, "left").drop("__llm_key", "__llm_row", "__llm_doc")
 
 
 def removals(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:

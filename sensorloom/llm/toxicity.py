@@ -153,7 +153,10 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -
 def fit(
     docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_unlabelled: int = FIT_UNLABELLED
 ) -> Model | None:
-    """Learn from the learning fold; None if it has no toxic label."""
+    """Learn from the learning fold; None if it has no toxic label.
+
+    Of a repeated id the smallest text counts, so both limits are limits on rows.
+    """
     marks = (
         labels.where(frames.learning_fold(F.col("doc_id")) & F.col("toxic").isNotNull())
         .groupBy("doc_id")
@@ -164,7 +167,8 @@ def fit(
         return None
     turn = (F.xxhash64("doc_id"), "doc_id")
     chosen = marks.where("toxic = 1").select("doc_id").orderBy(*turn).limit(fit_toxic)
-    others = docs.select("doc_id").where(frames.learning_fold(F.col("doc_id"))).orderBy(*turn).limit(fit_unlabelled)
+    others = docs.select("doc_id").where(frames.learning_fold(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    others = frames.smallest_hashes(others, fit_unlabelled)
     wanted = (
         chosen.withColumn("toxic", F.lit(True))
         .unionByName(others.withColumn("toxic", F.lit(False)))
@@ -172,6 +176,7 @@ def fit(
         .agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("only_toxic"))
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")  # bounded by the two limits
+    sample = frames.one_text(sample, "toxic", "only_toxic")
 
     def convert(batch):
         for first, data, offsets in words.text_blocks(batch.column("text")):
