@@ -122,6 +122,13 @@ def known_readings(batch: DataFrame, sensors: DataFrame) -> DataFrame:
     return flagged.withColumn("known", F.col("_found").isNotNull()).drop("_found")
 
 
+def unknown_sensors(parsed: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Valid readings of sensors that do not exist, with that as their ``problem``."""
+    valid = parsed.filter("problem IS NULL AND sensor_id IS NOT NULL")
+    unknown = known_readings(valid, sensors).filter("NOT known").drop("known")
+    return unknown.withColumn("problem", F.lit("unknown sensor"))
+
+
 def distinct_readings(batch: DataFrame, sensors: DataFrame) -> DataFrame:
     """Readings of known sensors, one per sensor and time, with the number of copies.
 
@@ -136,19 +143,26 @@ def distinct_readings(batch: DataFrame, sensors: DataFrame) -> DataFrame:
     )
 
 
+def on_dates_of(stored: DataFrame, readings: DataFrame) -> DataFrame:
+    """The stored readings of the dates on which the other readings lie.
+
+    The set of dates, at most one for each day of the calendar, is a scalar subquery over the
+    partition column: partitions between two far dates are not read.
+    """
+    days = readings.select(F.to_date("timestamp").alias("day")).agg(F.collect_set("day")).scalar()
+    return stored.filter(F.array_contains(days, F.col("reading_date")))
+
+
 def match_stored(distinct: DataFrame, stored: DataFrame) -> DataFrame:
     """Mark the readings whose (sensor, time) is already stored.
 
-    With a stored ``reading_date`` partition column only the dates from the batch's first
-    to its last are scanned.
+    With a stored ``reading_date`` partition column only the batch's dates are scanned.
     """
     keys = ["sensor_id", "timestamp"]
     if "reading_date" in stored.columns:
         distinct = distinct.withColumn("reading_date", F.to_date("timestamp"))
         keys = ["reading_date", *keys]
-        first = distinct.agg(F.min("reading_date")).scalar()
-        last = distinct.agg(F.max("reading_date")).scalar()
-        stored = stored.filter(F.col("reading_date").between(first, last))
+        stored = on_dates_of(stored, distinct)
     present = stored.select(*keys).distinct().withColumn("_stored", F.lit(True))
     matched = distinct.join(present, keys, "left")
     return matched.withColumn("is_stored", F.col("_stored").isNotNull()).drop("_stored")

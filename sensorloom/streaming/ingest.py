@@ -64,6 +64,7 @@ def deduplicated(readings: DataFrame, lateness: str = "1 hour") -> DataFrame:
 def ingest_batch(documents: DataFrame, batch_id: int, sensors: DataFrame, paths: IngestPaths) -> None:
     """Store the new readings of one micro-batch with its refused rows and counts.
 
+    Refused are malformed readings and those of unknown sensors, each with its problem.
     All three outputs are keyed by the batch and replace themselves, and the stored keys
     compared with exclude this batch, so a batch that is run again after a failure leaves
     the same rows and the same counts.
@@ -78,7 +79,8 @@ def ingest_batch(documents: DataFrame, batch_id: int, sensors: DataFrame, paths:
         labelled = fresh.withColumn("ingest_batch", F.lit(batch_id).cast("long"))
         write_table(labelled, paths.readings, PARTITIONS, ("sensor_id", "timestamp"), replace="partitions")
         stats.write.mode("overwrite").parquet(f"{paths.stats}/batch={batch_id}")
-        refused = ingestion.malformed(parsed).select("raw", "problem")
+        refused = ingestion.malformed(parsed).unionByName(ingestion.unknown_sensors(parsed, sensors))
+        refused = refused.select("raw", "problem")
         refused.write.mode("overwrite").parquet(f"{paths.refused}/batch={batch_id}")
     finally:
         parsed.unpersist()

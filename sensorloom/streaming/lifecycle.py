@@ -52,19 +52,24 @@ def _since(readings: DataFrame, earliest: Column) -> DataFrame:
 def evaluate_alerts(arrived: DataFrame, batch_id: int, fleet: Fleet, store: SnapshotStore) -> None:
     """Re-evaluate the sensors of one micro-batch and store the next version.
 
-    Every such sensor has a reading in the batch, so its newest one is no older than the
-    batch's oldest: the stored readings before that and before the anomaly cutoff are
-    not read.
+    Every such sensor has a reading in the batch, so its newest stored one is no older than
+    its newest in the batch: readings before the least of these and before the anomaly cutoff
+    are not read. A late reading widens that only if its sensor sent nothing newer. A batch that
+    was stored before changes nothing, so actions stored since are kept.
     """
-    as_of = fleet.clock()
-    touched = arrived.select("sensor_id").distinct()
-    sensors = fleet.sensors().join(touched.withColumnRenamed("sensor_id", "id"), "id", "left_semi")
-    oldest = arrived.agg(F.min("timestamp")).scalar()
-    earliest = F.least(oldest, hours_before(as_of, fleet.settings.anomaly_max_age_hours))
-    readings = lookup_join(_since(fleet.readings(), earliest), touched, "sensor_id", "left_semi")
-    evaluation = alert_ops.alert_evaluation(sensors, fleet.zones(), readings, as_of, fleet.settings, fleet.detector)
-    active = store.active(store.latest_version(below=batch_id))
-    store.write(batch_id, alert_ops.alert_reconcile(active, evaluation, as_of))
+    with store.turn(fleet.clock, batch_id) as turn:
+        if turn is None:
+            return
+        touched = arrived.groupBy("sensor_id").agg(F.max("timestamp").alias("newest"))
+        oldest = touched.agg(F.min("newest")).scalar()
+        touched = touched.select("sensor_id")
+        sensors = fleet.sensors().join(touched.withColumnRenamed("sensor_id", "id"), "id", "left_semi")
+        earliest = F.least(oldest, hours_before(turn.at, fleet.settings.anomaly_max_age_hours))
+        readings = lookup_join(_since(fleet.readings(), earliest), touched, "sensor_id", "left_semi")
+        evaluation = alert_ops.alert_evaluation(
+            sensors, fleet.zones(), readings, turn.at, fleet.settings, fleet.detector
+        )
+        store.write(turn, alert_ops.alert_reconcile(store.before(turn), evaluation, turn.at))
 
 
 def evaluate_recommendations(
@@ -77,26 +82,42 @@ def evaluate_recommendations(
     model_version: str = "unknown",
     scope: str = "greenhouse",
 ) -> None:
-    """Re-evaluate the zones of one micro-batch and store the next version."""
-    as_of = fleet.clock()
-    sensors = fleet.sensors()
-    touched = lifecycle.affected_zones(arrived, sensors)
-    zones = fleet.zones().join(touched.withColumnRenamed("zone_id", "id"), "id", "left_semi")
-    sensors = sensors.join(touched, "zone_id", "left_semi")
-    recent = _since(fleet.readings(), hours_before(as_of, fleet.settings.recent_hours))
-    readings = lookup_join(recent, sensors.select(F.col("id").alias("sensor_id")), "sensor_id", "left_semi")
-    context = build_context(
-        zones, sensors, readings, alerts(), as_of, predict, model_version, fleet.settings
-    )
-    opened = store.active(store.latest_version(below=batch_id))
-    zones = context.zones.persist()  # read by the rules and for what was evaluated
-    try:
-        changes = lifecycle.recommendation_reconcile(
-            opened, recommendation_candidates(context), zones, as_of, scope, ready_rules(context)[1]
+    """Re-evaluate the zones of one micro-batch and store the next version.
+
+    A batch that was stored before changes nothing.
+    """
+    with store.turn(fleet.clock, batch_id) as turn:
+        if turn is None:
+            return
+        sensors = fleet.sensors()
+        touched = lifecycle.affected_zones(arrived, sensors)
+        zones = fleet.zones().join(touched.withColumnRenamed("zone_id", "id"), "id", "left_semi")
+        sensors = sensors.join(touched, "zone_id", "left_semi")
+        recent = _since(fleet.readings(), hours_before(turn.at, fleet.settings.recent_hours))
+        readings = lookup_join(recent, sensors.select(F.col("id").alias("sensor_id")), "sensor_id", "left_semi")
+        context = build_context(
+            zones, sensors, readings, alerts(), turn.at, predict, model_version, fleet.settings
         )
-        store.write(batch_id, changes)
-    finally:
-        zones.unpersist()
+        zones = context.zones.persist()  # read by the rules and for what was evaluated
+        try:
+            changes = lifecycle.recommendation_reconcile(
+                store.before(turn), recommendation_candidates(context), zones, turn.at, scope, ready_rules(context)[1]
+            )
+            store.write(turn, changes)
+        finally:
+            zones.unpersist()
+
+
+def store_alert_actions(store: SnapshotStore, actions: DataFrame, clock: Callable[[], Instant] = _utc_now) -> list[int]:
+    """Store acknowledgements and resolutions of alerts; returns the unknown ids."""
+    return store.store_actions(actions, alert_ops.alert_transitions, clock)
+
+
+def store_recommendation_actions(
+    store: SnapshotStore, actions: DataFrame, clock: Callable[[], Instant] = _utc_now
+) -> list[int]:
+    """Store dismissals and completions of recommendations; returns the unknown ids."""
+    return store.store_actions(actions, lifecycle.recommendation_transitions, clock)
 
 
 def start_evaluation(

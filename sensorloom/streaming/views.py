@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sensorloom.operators.ingestion import on_dates_of
 from sensorloom.operators.joins import lookup_join
 from sensorloom.operators.rollups import hourly_rollup, rollup_metrics
 from sensorloom.sources.files import write_table
@@ -60,7 +61,10 @@ def refresh_hours(
         return
     touched = arrived.select(hour.alias("_hour")).distinct()
     since, until = (F.timestamp_seconds(F.lit(second)) for second in (oldest, newest + 3600))
-    near = stored().filter((F.col("timestamp") >= since) & (F.col("timestamp") < until)).withColumn("_hour", hour)
+    table = stored()
+    if "reading_date" in table.columns:  # a partition column: only the touched dates are read
+        table = on_dates_of(table, arrived)
+    near = table.filter((F.col("timestamp") >= since) & (F.col("timestamp") < until)).withColumn("_hour", hour)
     hours = hourly_rollup(lookup_join(near, touched, "_hour", "left_semi"), sensors())
     dated = hours.withColumns({"hour_date": F.to_date("hour_utc"), "hour_of_day": F.hour("hour_utc")})
     write_table(dated, path, HOUR_PARTITIONS, ("zone_id", "sensor_type"), replace="partitions")

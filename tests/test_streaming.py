@@ -42,7 +42,8 @@ def test_ingestion_is_idempotent(spark, fleet, tmp_path):
     stored = ingest.stored_readings(spark, paths)
     assert stored.count() == 7
     assert stored.filter(F.col("value") == 99.0).count() == 0
-    assert spark.read.parquet(paths.refused).count() == 1
+    assert {r.problem for r in spark.read.parquet(paths.refused).collect()} == {"timestamp", "unknown sensor"}
+    assert spark.read.parquet(paths.refused).count() == 2
     # a batch that runs again after a failure replaces what it wrote
     again = spark.read.text(str(source / "b.json")).select(F.col("value").alias("raw"))
     ingest.ingest_batch(again, 1, sensors, paths)
@@ -150,9 +151,10 @@ def test_alerts_and_recommendations_follow_the_stream(spark, fleet, tmp_path):
     }
     # only zone 1 was evaluated; its site's other open item is completed with it
     assert {r.zone_id: r.status for r in recs.rows().collect()} == {1: "completed", 2: "completed"}
-    # running the last batch again rewrites its version with the same rows
+    # running the last batch again leaves the same rows
     frame = spark.createDataFrame([(1, minutes(8), 22.0), (2, minutes(8), 60.0)], "sensor_id int, timestamp timestamp, value double")
-    lifecycle.evaluate_alerts(frame, alerts.latest_version(), table, alerts)
+    lifecycle.evaluate_alerts(frame, 1, table, alerts)
+    assert alerts.latest_version() == 1
     assert {(r.sensor_id, r.alert_type): (r.status, r.id) for r in alerts.rows().collect()} == second
     # and the batch operators over everything agree on what is active
     whole = alert_ops.alert_evaluation(sensors, zones, table.readings(), NOON)
@@ -186,3 +188,57 @@ def test_late_readings_reach_the_hourly_table(spark, fleet, tmp_path):
     assert settled_hours(views.stored_hours(spark, table)) == expected
     views.refresh_hours(stored().limit(0), stored, lambda: sensors, table)
     assert views.stored_hours(spark, table).count() == 4
+
+
+def test_only_the_dates_of_a_batch_are_read(spark, fleet, tmp_path):
+    sensors, paths = fleet.sensors((1, 1, "temperature")), ingest.IngestPaths(str(tmp_path / "lake"))
+    old, between = NOON - timedelta(days=9_000), NOON - timedelta(days=30)
+
+    def arrive(batch, *rows):
+        raw = [(json.dumps({"sensor_id": s, "timestamp": t.isoformat(), "value": v}),) for s, t, v in rows]
+        ingest.ingest_batch(spark.createDataFrame(raw, "raw string"), batch, sensors, paths)
+
+    arrive(0, (1, NOON, 1.0), (1, between, 2.0))
+    for file in (tmp_path / "lake" / "readings" / f"reading_date={between.date()}").rglob("*.parquet"):
+        file.write_bytes(b"whoever reads this fails")
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    arrive(1, (1, old, 3.0), (1, NOON, 4.0), (1, NOON, 5.0))
+    assert stats(spark, paths)[1] == (3, 1, 0, 2)
+
+
+def test_a_failing_evaluation_stops_alone(spark, fleet, tmp_path):
+    source, paths = tmp_path / "in", ingest.IngestPaths(str(tmp_path / "lake"))
+    sensors, zones = fleet.sensors((1, 1, "soil_moisture")), fleet.zones(1)
+
+    def broken(*_):
+        raise RuntimeError("no detector today")
+
+    def table(detector=None):
+        return lifecycle.Fleet(
+            lambda: sensors, lambda: zones, lambda: ingest.stored_readings(spark, paths), lambda: NOON, detector=detector
+        )
+
+    alerts = SnapshotStore(spark, str(tmp_path / "alerts"), schemas.ALERTS, schemas.ACTIVE_ALERT_STATUSES)
+    recs = SnapshotStore(spark, str(tmp_path / "recs"), schemas.RECOMMENDATIONS, ("open",))
+
+    def run(name, detector=None):
+        write_lines(source, name, [(1, minutes(9 if name == "a.json" else 8), 30.0)])
+        drain(ingest.start_ingest(ingest.document_stream(spark, str(source), 1), sensors, paths))
+        stream = views.table_stream(spark, paths.readings, ingest.STORED, 1)
+        evaluations = {
+            "alerts": lambda frame, batch: lifecycle.evaluate_alerts(frame, batch, table(detector), alerts),
+            "recs": lambda frame, batch: lifecycle.evaluate_recommendations(frame, batch, table(), recs, alerts.current),
+        }
+        started = {k: lifecycle.start_evaluation(k, stream, str(tmp_path / f"at_{k}"), f) for k, f in evaluations.items()}
+        for query in started.values():
+            try:
+                query.awaitTermination(120)
+            except Exception as error:
+                assert "no detector today" in str(error)
+        return {k: query.exception() is None for k, query in started.items()}
+
+    assert run("a.json", broken) == {"alerts": False, "recs": True}
+    assert alerts.rows().count() == 0 and recs.current().count() == 1
+    assert run("b.json") == {"alerts": True, "recs": True}
+    assert ingest.stored_readings(spark, paths).count() == 2
+    assert [(r.alert_type, r.status) for r in alerts.rows().collect()] == [("threshold_low", "open")]
