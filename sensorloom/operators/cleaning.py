@@ -57,29 +57,82 @@ def keep_newest(readings: DataFrame) -> DataFrame:
     return readings.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
-def with_positions(readings: DataFrame, times: DataFrame | None = None, slot: str = "hour") -> DataFrame:
-    """Number each sensor's readings by time from 0 without one task per sensor.
+_SECOND = "minute(timestamp) * 60 + second(timestamp)"
+_PIECE = "pmod(unix_micros(timestamp), 1000000) div 15625"
 
-    Ranks are taken inside (sensor, time slot) and shifted by the count of the earlier
-    slots, which is an aggregate far smaller than the readings. ``times`` may name a
-    cheaper frame with the same (sensor, time) pairs, repeats allowed, to count from.
+
+def block_map(times: DataFrame, rows: int, block_rows: int) -> DataFrame:
+    """For each hour of each sensor with more than ``block_rows`` readings, the blocks its readings serve.
+
+    Blocks are made of whole slots, so counts alone deal them out and no reading is ranked for
+    it. A slot is an hour, or a second where an hour would be more than an eighth of a block.
+    It serves the block it starts in and each later one whose first frame could reach it: slots
+    are laid out by the number of 64ths of a second with a reading, which is never more than
+    their distinct times, so copies among ``times`` do not shorten what a block receives.
+    ``serves`` has one entry for an hour and 3,600 for an hour that is cut into seconds.
     """
-    in_slot = F.date_trunc(slot, "timestamp").alias("_slot")
-    pairs = readings if times is None else times.select("sensor_id", "timestamp").distinct()
-    earlier = Window.partitionBy("sensor_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        pairs.groupBy("sensor_id", in_slot)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("sensor_id", "_slot", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    keys = ["sensor_id", "_hour"]
+    hours = (
+        times.groupBy("sensor_id", F.date_trunc("hour", "timestamp").alias("_hour"), F.expr(_SECOND).alias("_second"))
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.expr(f"least(bit_count(bit_or(shiftleft(1L, CAST({_PIECE} AS INT)))), {rows})").alias("_least"),
+        )
+        .groupBy(*keys)
+        .agg(
+            F.sum("_rows").alias("_rows"), F.least(F.sum("_least"), F.lit(rows)).cast("int").alias("_least"),
+            F.collect_list(F.struct("_second", "_rows", "_least")).alias("_cut"),
+        )
     )
-    ties = [name for name in ("id",) if name in readings.columns]  # repeated times keep one order
-    by_time = Window.partitionBy("sensor_id", "_slot").orderBy("timestamp", *ties)
+    whole = "array(struct(CAST(NULL AS INT) AS _second, _rows, _least))"
+    slots = hours.selectExpr(*keys, f"inline(if(_rows > {block_rows // 8}, _cut, {whole}))")
+    by_time = Window.partitionBy("sensor_id").orderBy("_hour", "_second")
+    earlier = by_time.rowsBetween(Window.unboundedPreceding, -1)
+    in_reach = Window.partitionBy("sensor_id").orderBy("_place").rangeBetween(0, 2 * rows - 1)
+    dealt = (
+        slots.withColumns({
+            "_start": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
+            "_place": F.coalesce(F.sum("_least").over(earlier), F.lit(0)),
+            "_total": F.sum("_rows").over(Window.partitionBy("sensor_id")),
+        })
+        .filter(F.col("_total") > block_rows)
+        .withColumn("_block", F.expr(f"_start div {block_rows}"))
+        .withColumn("_near", F.collect_list(F.struct("_place", "_block")).over(in_reach))
+        .withColumn("_blocks", F.expr(
+            "array_union(array(_block), "
+            f"transform(filter(_near, x -> x._place < _place + _least + {rows}), x -> x._block))"
+        ))
+    )
+    each_second = "transform(sequence(0, 3599), s -> _by_second[s])"
     return (
-        readings.select("*", in_slot)
-        .withColumn("_rank", F.row_number().over(by_time))
-        .join(offsets, ["sensor_id", "_slot"])
-        .withColumn("position", F.col("_before") + F.col("_rank") - 1)
-        .drop("_slot", "_rank", "_before")
+        dealt.groupBy(*keys)
+        .agg(
+            F.first("_blocks").alias("_whole"),
+            F.map_from_entries(F.collect_list(F.expr("if(_second IS NULL, NULL, struct(_second, _blocks))"))).alias("_by_second"),
+        )
+        .select(*keys, F.expr(f"if(size(_by_second) = 0, array(_whole), {each_second})").alias("serves"))
+    )
+
+
+def in_blocks(
+    readings: DataFrame, rows: int, block_rows: int = BLOCK_ROWS, times: DataFrame | None = None
+) -> DataFrame:
+    """Deal readings to blocks of their sensor's series: ``_block``, and ``_own`` where they belong to it.
+
+    A block holds its own readings and at least the ``rows`` before them, where there are so
+    many. It has up to ``block_rows`` readings, the rest of the slot that fills it and the
+    slots that hold the frame: an eighth of a block each, or what a sensor sends in a second.
+    ``times`` may name a cheaper frame with the same (sensor, time) pairs, repeats allowed, to
+    count from; repeats make blocks smaller, not wrong.
+    """
+    hour = F.date_trunc("hour", "timestamp").alias("_hour")
+    deal = block_map(readings if times is None else times, rows, block_rows)
+    served = readings.select("*", hour).join(deal, ["sensor_id", "_hour"], "left")
+    entry = f"if(size(serves) = 1, serves[0], serves[{_SECOND}])"
+    return (
+        served.select("*", F.posexplode(F.expr(f"if(serves IS NULL, array(0L), {entry})")).alias("_nth", "_block"))
+        .withColumn("_own", F.col("_nth") == 0)
+        .drop("_hour", "serves", "_nth")
     )
 
 
@@ -91,27 +144,29 @@ def rolling_statistics(
 ) -> DataFrame:
     """Mean and population deviation of the ``rows`` readings before each reading.
 
-    A sensor's series is cut into blocks of ``block_rows``; each block also receives
-    the last ``rows`` readings of the block before it. The frame is counted in rows, so
-    this overlap makes every block's result exact and no task ever holds more than one
-    block, however much of the data one sensor sends.
+    A sensor's series is cut into blocks (``in_blocks``), each with the readings its first
+    frames need. The frame is counted in rows, so this overlap makes every block's result
+    exact, however much of the data one sensor sends.
 
     Inside a block a frame is the difference of running sums, one step per row in place
     of one per row and frame. Values have four decimals, so they scale to whole numbers
     below 2**40; squares are summed as the three products of their halves, each of which
     fits a long for any block, and are put together in decimals. Every sum is exact, so
-    nothing cancels.
+    nothing cancels. Missing values, NaN and values of 2**40 / 10,000 or more take their
+    place in a frame but do not count in its statistics. Repeated times are ordered by
+    ``id`` where there is one.
     """
     if not rows <= block_rows <= MOST_BLOCK_ROWS:
         raise ValueError(f"block_rows must be {rows}..{MOST_BLOCK_ROWS}")
-    block = f"position div {block_rows}"
-    serves = f"if(position % {block_rows} >= {block_rows - rows}, array({block}, {block} + 1), array({block}))"
-    by_position = Window.partitionBy("sensor_id", "_block").orderBy("position")
-    before = by_position.rowsBetween(Window.unboundedPreceding, -1)
+    ties = [name for name in ("id",) if name in readings.columns]  # repeated times keep one order
+    by_time = Window.partitionBy("sensor_id", "_block").orderBy("timestamp", *ties)
+    before = by_time.rowsBetween(Window.unboundedPreceding, -1)
+    scaled = f"if(abs(value) < {1 << 2 * _HALF_BITS} / 10000D, CAST(round(value * 10000) AS BIGINT), NULL) AS _x"
     parts = {"_sum": "_x", "_hh": "_h * _h", "_hl": "_h * _l", "_ll": "_l * _l"}
     running = {name: F.coalesce(F.sum(F.expr(text)).over(before), F.lit(0)) for name, text in parts.items()}
-    in_frame = {name: F.col(name) - F.lag(name, rows, 0).over(by_position) for name in parts}
-    count = f"nullif(least(position, {rows}), 0)"
+    running["_count"] = F.count("_x").over(before)
+    in_frame = {name: F.col(name) - F.lag(name, rows, 0).over(by_time) for name in running}
+    count = "nullif(_count, 0)"
     whole = {name: f"CAST({name} AS DECIMAL(20,0))" for name in parts}
     squares = (
         f"({whole['_hh']} * CAST({_HALF * _HALF} AS DECIMAL(13,0)) "
@@ -119,17 +174,17 @@ def rolling_statistics(
     )
     spread = f"CAST({count} * {squares} - {whole['_sum']} * {whole['_sum']} AS DOUBLE)"
     return (
-        with_positions(readings, times)
-        .select("*", F.explode(F.expr(serves)).alias("_block"), F.expr("CAST(round(value * 10000) AS BIGINT) AS _x"))
+        in_blocks(readings, rows, block_rows, times)
+        .select("*", F.expr(scaled))
         .selectExpr("*", f"_x & {_HALF - 1} AS _l", f"shiftright(_x, {_HALF_BITS}) AS _h")
         .withColumns(running)
         .withColumns(in_frame)
-        .filter(F.expr(f"_block = {block}"))
+        .filter("_own")
         .withColumns({
             "rolling_mean": F.expr(f"CAST(_sum AS DOUBLE) / {count} / 10000D"),
             "rolling_std": F.expr(f"sqrt({spread}) / {count} / 10000D"),
         })
-        .drop("_block", "_x", "_h", "_l", "position", *parts)
+        .drop("_block", "_own", "_x", "_h", "_l", *running)
     )
 
 

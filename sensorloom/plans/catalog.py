@@ -243,7 +243,9 @@ def dim_sensor(s: Star):
 
 @query
 def dim_date(s: Star):
-    return models.dim_date(s.staged)
+    # copies and outliers do not move the first and the last time, so neither is looked for
+    possible = cleaning.possible_readings(s.readings, s.sensors)
+    return models.dim_date(possible.withColumnRenamed("timestamp", "reading_timestamp"))
 
 
 @query

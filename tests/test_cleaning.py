@@ -4,6 +4,7 @@ from datetime import timedelta
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators import cleaning
@@ -80,12 +81,50 @@ def brute_force_exact(rows, frame=59):
     return out
 
 
-def test_positions_are_dense_per_sensor(fleet):
-    rows = skewed_series()
-    found = cleaning.with_positions(fleet.readings(*rows)).select("sensor_id", "timestamp", "position").collect()
-    for sensor in (1, 2, 3, 4):
-        own = sorted((r.timestamp, r.position) for r in found if r.sensor_id == sensor)
-        assert [p for _, p in own] == list(range(len(own)))
+@pytest.mark.parametrize("copies", [1, 30])
+@pytest.mark.parametrize("block_rows", [59, 83, 400])
+def test_blocks_hold_their_own_rows_and_the_frame_before_them(fleet, block_rows, copies):
+    rows = skewed_series() + [(5, DAY + timedelta(milliseconds=20 * i), 1.0) for i in range(1200)]
+    frame = fleet.readings(*rows)
+    times = frame.withColumn("n", F.explode(F.expr(f"sequence(1, if(id % 3 = 0, {copies}, 1))")))
+    found = cleaning.in_blocks(frame, 59, block_rows, times).select("sensor_id", "timestamp", "_block", "_own").collect()
+    for sensor in range(1, 6):
+        times = sorted(t for s, t, _ in rows if s == sensor)
+        own = {r.timestamp.astimezone(DAY.tzinfo): r._block for r in found if r.sensor_id == sensor and r._own}
+        assert sorted(own) == times and len([r for r in found if r.sensor_id == sensor and r._own]) == len(times)
+        for block in set(own.values()):
+            held = sorted(r.timestamp.astimezone(DAY.tzinfo) for r in found if r.sensor_id == sensor and r._block == block)
+            first = times.index(min(t for t in times if own[t] == block))
+            last = times.index(max(t for t in times if own[t] == block))
+            start = times.index(held[0])
+            assert held == times[start:last + 1] and start <= max(0, first - 59)
+            assert len(held) <= block_rows + 59 + 250
+
+
+def test_a_hot_hour_is_several_blocks(spark):
+    """400,000 readings of one sensor in one hour: no block has them all, and the result is the plain window's."""
+    readings = spark.range(400_000).selectExpr(
+        "id", "1 AS sensor_id", "timestamp_micros(1591000000000000 + id * 8000) AS timestamp",
+        "CAST(round(20 + sin(id) * 3 + if(id % 9973 = 0, 30, 0), 2) AS DOUBLE) AS value",
+    )
+    found = cleaning.rolling_statistics(readings, block_rows=50_000)
+    own = cleaning.in_blocks(readings, 59, 50_000).groupBy("_block").agg(F.count("*").alias("n"), F.count_if("_own").alias("own"))
+    sizes = own.collect()
+    assert len(sizes) >= 8 and sum(r.own for r in sizes) == 400_000 and max(r.n for r in sizes) <= 50_500
+    frame = Window.partitionBy("sensor_id").orderBy("timestamp").rowsBetween(-59, -1)
+    plain = readings.select("id", F.avg("value").over(frame).alias("m"), F.stddev_pop("value").over(frame).alias("s"))
+    off = found.join(plain, "id").filter(
+        "NOT (rolling_mean <=> m OR abs(rolling_mean - m) < 1e-9) OR NOT (rolling_std <=> s OR abs(rolling_std - s) < 1e-7)"
+    )
+    assert found.count() == 400_000 and off.count() == 0
+
+
+def test_values_that_are_no_numbers_do_not_count_in_frames(spark):
+    rows = [(i, 1, minutes(50 - i), v) for i, v in enumerate([1.0, float("nan"), 3.0, float("inf"), 1e300, None, 5.0])]
+    frame = spark.createDataFrame(rows, "id long, sensor_id int, timestamp timestamp, value double")
+    found = {r.id: (r.rolling_mean, r.rolling_std) for r in cleaning.rolling_statistics(frame).collect()}
+    assert found[0] == (None, None) and found[2] == (1.0, 0.0)
+    assert all(found[i] == (2.0, 1.0) for i in (3, 4, 5, 6))
 
 
 def test_a_pile_of_copies_leaves_one_reading(fleet):
