@@ -111,11 +111,16 @@ def dim_date(staged_readings: DataFrame) -> DataFrame:
     )
 
 
-def fact_sensor_readings(staged_readings: DataFrame, staged_sensors: DataFrame, staged_zones: DataFrame) -> DataFrame:
-    """Readings with their place; the two dimensions meet before the fact does."""
-    places = staged_sensors.select("sensor_id", "zone_id").join(
+def sensor_places(staged_sensors: DataFrame, staged_zones: DataFrame) -> DataFrame:
+    """The zone and the site of each sensor."""
+    return staged_sensors.select("sensor_id", "zone_id", "sensor_type").join(
         staged_zones.select("zone_id", "greenhouse_id"), "zone_id"
     )
+
+
+def fact_sensor_readings(staged_readings: DataFrame, staged_sensors: DataFrame, staged_zones: DataFrame) -> DataFrame:
+    """Readings with their place; the two dimensions meet before the fact does."""
+    places = sensor_places(staged_sensors, staged_zones).drop("sensor_type")
     return lookup_join(staged_readings, places, "sensor_id").select(
         "reading_id",
         "reading_timestamp",

@@ -59,6 +59,22 @@ def sensor_health_summary(
         F.count_if("is_outlier").alias("outlier_readings"),
         F.max("reading_timestamp").alias("last_seen_at"),
     )
+    return _health(totals, as_of, reporting_minutes)
+
+
+def health_of_days(
+    days: DataFrame, places: DataFrame, as_of: Instant, reporting_minutes: int = DEFAULTS.reporting_minutes
+) -> DataFrame:
+    """The same summary from one row per sensor and day and the place of each sensor."""
+    totals = days.groupBy("sensor_id").agg(
+        F.sum("rows").alias("total_readings"),
+        F.sum("outliers").alias("outlier_readings"),
+        F.max("last_seen_at").alias("last_seen_at"),
+    )
+    return _health(lookup_join(totals, places, "sensor_id"), as_of, reporting_minutes)
+
+
+def _health(totals: DataFrame, as_of: Instant, reporting_minutes: int) -> DataFrame:
     return totals.select(
         "sensor_id", "zone_id", "greenhouse_id", "sensor_type", "total_readings", "outlier_readings",
         F.expr(percent_of("outlier_readings", "total_readings")).alias("outlier_pct"),
