@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -88,6 +88,17 @@ def accepted_values(frame: DataFrame, column: str, values: Sequence[str], name:
     return _report(f"accepted_values:{name}", F.count_if(~F.col(column).isin(*values)), frame)
 
 
+def column_checks(
+    frame: DataFrame, name: str, required: Sequence[str] = (), domains: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """Not-null and accepted-values checks of any number of columns in one scan, one row each."""
+    counts = {f"not_null:{name}.{c}": F.count_if(F.col(c).isNull()) for c in required}
+    counts |= {f"accepted_values:{name}.{c}": F.count_if(~F.col(c).isin(*values)) for c, values in (domains or {}).items()}
+    totals = frame.agg(*(count.alias(f"n{i}") for i, count in enumerate(counts.values())))
+    rows = [F.struct(F.lit(check).alias("check"), F.col(f"n{i}").alias("violations")) for i, check in enumerate(counts)]
+    return totals.select(F.inline(F.array(*rows))).withColumn("passed", F.col("violations") == 0)
+
+
 def ordered_targets(zones: DataFrame) -> DataFrame:
     """Target ranges whose minimum is not below the maximum."""
     wrong = [

@@ -121,38 +121,35 @@ def mart_checks(spark: SparkSession, out: str) -> list[DataFrame]:
     def mart(name: str) -> DataFrame:
         return read_table(spark, f"{out}/marts/{name}")
 
-    def keyed(name: str, column: str) -> list[DataFrame]:
-        return [
-            quality.unique(mart(name), [column], f"{name}.{column}"),
-            quality.not_null(mart(name), [column], f"{name}.{column}"),
-        ]
+    def unique(name: str, column: str) -> DataFrame:
+        return quality.unique(mart(name), [column], f"{name}.{column}")
 
-    def refers(name: str, column: str, parent: str) -> list[DataFrame]:
-        return [
-            quality.not_null(mart(name), [column], f"{name}.{column}"),
-            quality.relationships(mart(name), column, mart(parent), column, f"{name}.{column}"),
-        ]
+    def refers(name: str, column: str, parent: str) -> DataFrame:
+        return quality.relationships(mart(name), column, mart(parent), column, f"{name}.{column}")
 
-    def domain(name: str, column: str, values: tuple[str, ...]) -> DataFrame:
-        return quality.accepted_values(mart(name), column, values, f"{name}.{column}")
+    def columns(name: str, *required: str, **domains: tuple[str, ...]) -> DataFrame:
+        return quality.column_checks(mart(name), name, required, domains)
 
     return [
-        *keyed("dim_greenhouse", "greenhouse_id"),
-        *keyed("dim_zone", "zone_id"),
-        *refers("dim_zone", "greenhouse_id", "dim_greenhouse"),
-        domain("dim_zone", "crop_type", schemas.CROP_TYPES),
-        *keyed("dim_sensor", "sensor_id"),
-        domain("dim_sensor", "sensor_type", schemas.SENSOR_TYPES),
-        *refers("dim_sensor", "zone_id", "dim_zone"),
-        *keyed("dim_date", "date_day"),
-        *keyed("fact_sensor_readings", "reading_id"),
-        *refers("fact_sensor_readings", "sensor_id", "dim_sensor"),
-        quality.not_null(mart("fact_sensor_readings"), ["reading_timestamp"], "fact_sensor_readings.reading_timestamp"),
-        *refers("daily_greenhouse_metrics", "greenhouse_id", "dim_greenhouse"),
-        quality.not_null(mart("daily_greenhouse_metrics"), ["metric_date"], "daily_greenhouse_metrics.metric_date"),
-        *refers("hourly_zone_metrics", "zone_id", "dim_zone"),
-        domain("hourly_zone_metrics", "sensor_type", schemas.SENSOR_TYPES),
-        *keyed("sensor_health_summary", "sensor_id"),
+        unique("dim_greenhouse", "greenhouse_id"),
+        columns("dim_greenhouse", "greenhouse_id"),
+        unique("dim_zone", "zone_id"),
+        columns("dim_zone", "zone_id", "greenhouse_id", crop_type=schemas.CROP_TYPES),
+        refers("dim_zone", "greenhouse_id", "dim_greenhouse"),
+        unique("dim_sensor", "sensor_id"),
+        columns("dim_sensor", "sensor_id", "zone_id", sensor_type=schemas.SENSOR_TYPES),
+        refers("dim_sensor", "zone_id", "dim_zone"),
+        unique("dim_date", "date_day"),
+        columns("dim_date", "date_day"),
+        unique("fact_sensor_readings", "reading_id"),
+        columns("fact_sensor_readings", "reading_id", "sensor_id", "reading_timestamp"),
+        refers("fact_sensor_readings", "sensor_id", "dim_sensor"),
+        columns("daily_greenhouse_metrics", "greenhouse_id", "metric_date"),
+        refers("daily_greenhouse_metrics", "greenhouse_id", "dim_greenhouse"),
+        columns("hourly_zone_metrics", "zone_id", sensor_type=schemas.SENSOR_TYPES),
+        refers("hourly_zone_metrics", "zone_id", "dim_zone"),
+        unique("sensor_health_summary", "sensor_id"),
+        columns("sensor_health_summary", "sensor_id"),
     ]
 
 

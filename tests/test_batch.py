@@ -72,3 +72,17 @@ def test_jdbc_tables_are_read_by_one_task_only_when_asked_for(spark):
     with pytest.raises(ValueError, match="partition column"):
         read_jdbc(spark, JdbcTable("jdbc:x", "readings"))
     assert "numPartitions" not in JdbcTable("jdbc:x", "sites", single_task=True).read_options()
+
+
+def test_column_checks_are_one_scan_with_a_row_each(spark, capsys):
+    frame = spark.createDataFrame([(1, "a"), (None, "b"), (2, None), (None, "z")], "k int, v string")
+    checks = quality.column_checks(frame, "t", ("k", "v"), {"v": ("a", "b")})
+    checks.explain()
+    assert capsys.readouterr().out.count("Scan ExistingRDD") == 1
+    assert [tuple(r) for r in checks.collect()] == [
+        ("not_null:t.k", 2, False), ("not_null:t.v", 1, False), ("accepted_values:t.v", 1, False),
+    ]
+    singly = [quality.not_null(frame, ["k"], "t.k"), quality.not_null(frame, ["v"], "t.v"), quality.accepted_values(frame, "v", ("a", "b"), "t.v")]
+    assert quality.combine(singly).collect() == checks.collect()
+    empty = quality.column_checks(frame.limit(0), "t", ("k",))
+    assert [tuple(r) for r in empty.collect()] == [("not_null:t.k", 0, True)]
