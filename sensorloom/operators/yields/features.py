@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -43,11 +45,19 @@ def add_derived(records: DataFrame) -> DataFrame:
     return records.withColumns({name: F.expr(text) for name, text in DERIVED.items()})
 
 
+def crop_counts(records: DataFrame) -> dict[str, int]:
+    """Rows of each crop, crops ascending: one row per crop comes to the driver."""
+    counts = records.filter(F.col(CATEGORICAL).isNotNull()).groupBy(CATEGORICAL).count().collect()
+    return dict(sorted((row[0], row[1]) for row in counts))
+
+
 def most_frequent_crop(records: DataFrame) -> str:
-    """The mode of the crop column: one value comes to the driver, ties by name."""
-    counts = records.filter(F.col(CATEGORICAL).isNotNull()).groupBy(CATEGORICAL).count()
-    top = counts.orderBy(F.col("count").desc(), CATEGORICAL).first()
-    return top[CATEGORICAL] if top else ""
+    """The mode of the crop column, ties by name."""
+    return _mode(crop_counts(records))
+
+
+def _mode(counts: dict[str, int]) -> str:
+    return max(counts, key=counts.get, default="")  # the first of the greatest
 
 
 def fitted_values(training: DataFrame) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
@@ -70,15 +80,15 @@ def scaled_name(name: str) -> str:
     return f"{name}_scaled"
 
 
-def crop_names(training: DataFrame) -> list[str]:
-    """The crops of the training rows, one row each."""
-    return sorted(row[0] for row in training.select(CATEGORICAL).where(F.col(CATEGORICAL).isNotNull()).distinct().collect())
-
-
 def crop_columns(crops: list[str]) -> list[str]:
     return [f"crop_{number}" for number in range(len(crops))]
 
 
+def prepared_columns(prepared: DataFrame) -> list[str]:
+    """The columns that the preprocessor has put into ``features``, in its order."""
+    return [*map(scaled_name, FEATURES), *(c for c in prepared.columns if re.fullmatch("crop_[0-9]+", c))]
+
+
 def preprocessor_stages(training: DataFrame) -> list:
     """Stages that derive, impute, scale and encode; what they need is learnt from the training rows given.
 
@@ -87,7 +97,8 @@ def preprocessor_stages(training: DataFrame) -> list:
     numbers as literals, so a stored pipeline is plain text.
     """
     middle, scales = fitted_values(training)
-    mode, crops = quoted(most_frequent_crop(training)), crop_names(training)
+    counts = crop_counts(training)
+    mode, crops = quoted(_mode(counts)), list(counts)
     derived = ", ".join(f"CAST({text} AS DOUBLE) AS {name}" for name, text in DERIVED.items())
     values = {name: f"CAST({name} AS DOUBLE)" for name in NUMERIC} | {name: name for name in DERIVED}
     scaled = ", ".join(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +16,30 @@ _RANK_TOLERANCE = 1e-10  # of the greatest eigenvalue: directions below are no d
 def moments(frame: DataFrame, columns: list[str]) -> DataFrame:
     """first, second and mean of the product of each pair of columns, over rows without nulls in them.
 
-    One aggregate with p * (p + 1) / 2 averages: rows are read once and not shuffled.
+    Each task adds up the products of its batches as matrices and gives one row for each of the
+    p * (p + 1) / 2 pairs; only these are shuffled, and the rows are read once.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    whole = frame.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in columns)).dropna()
-    sums = whole.agg(*(F.avg(F.col(f"`{a}`") * F.col(f"`{b}`")).alias(f"m{i}") for i, (a, b) in enumerate(pairs)))
-    rows = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"m{i}").alias("mean_product")) for i, (a, b) in enumerate(pairs)))
-    return sums.select(F.explode(rows).alias("x")).select("x.*")
+    columns = list(columns)
+    width = len(columns)
+    first, second = np.triu_indices(width)
+    whole = frame.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns))).dropna()
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros((width, width)), 0
+        for batch in batches:
+            block = np.array([column.to_numpy() for column in batch.columns])
+            with np.errstate(invalid="ignore", over="ignore"):
+                total += block @ block.T
+            rows += batch.num_rows
+        if rows:
+            values = [pa.array(np.arange(len(first), dtype=np.int32)), pa.array(total[first, second]), pa.array(np.full(len(first), rows))]
+            yield pa.RecordBatch.from_arrays(values, names=["pair", "total", "rows"])
+
+    parts = whole.mapInArrow(products, "pair int, total double, rows long")
+    means = parts.groupBy("pair").agg((F.sum("total") / F.sum("rows")).alias("mean_product"))
+    names = [(i, columns[a], columns[b]) for i, (a, b) in enumerate(zip(first.tolist(), second.tolist()))]
+    pairs = frame.sparkSession.createDataFrame(names, "pair int, first string, second string")
+    return pairs.join(F.broadcast(means), "pair", "left").select("first", "second", "mean_product")
 
 
 @dataclass(frozen=True)

@@ -15,20 +15,25 @@ def held_out_rows(rows: int) -> int:
     return (15 * rows + 50) // 100
 
 
-def _place(key: str, seed: int) -> Column:
+def place_of(key: str, seed: int = SEED) -> Column:
     """52 bits of the digest of the record key, exact as a double."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
 
 
-def assign_split(records: DataFrame, key: str = "record_id", seed: int = SEED, by: str = "crop_type") -> DataFrame:
+def assign_split(
+    records: DataFrame, key: str = "record_id", seed: int = SEED, by: str = "crop_type", place: Column | None = None
+) -> DataFrame:
     """Add ``split``: of each stratum exactly 15 % validation, 15 % test (half up) and the rest training.
 
     Records are ordered by the digest of their key; two thresholds for each stratum, found by
     distributed selection, cut that order, so rows are neither shuffled nor sorted. Strata are
     few, one row each comes to the driver; null is a stratum. Rows that share a key stay together.
+    Records are read once a round and once for the result; where they hold ``place_of(key, seed)``
+    already, ``place`` is that column and no digest is made again.
     """
-    placed = records.select(F.col(by).alias("group"), _place(key, seed).alias("value"), F.col(key).alias("key"))
+    place = place_of(key, seed) if place is None else place
+    placed = records.select(F.col(by).alias("group"), place.alias("value"), F.col(key).alias("key"))
 
     def last_ranks(rows: int) -> list[int]:
         held = held_out_rows(rows)
@@ -57,12 +62,10 @@ def assign_split(records: DataFrame, key: str = "record_id", seed: int = SEED, b
 
     keyed = [(g, v1, last_key(g, v1, n1), v2, last_key(g, v2, n2)) for g, v1, n1, v2, n2 in cuts]
     bounds = spark.createDataFrame(keyed, f"__group {kind}, __v1 double, __k1 {key_kind}, __v2 double, __k2 {key_kind}")
-    place = F.struct(F.col("__place"), F.col(key))
-    name = (
-        F.when(place <= F.struct("__v1", "__k1"), "train").when(place <= F.struct("__v2", "__k2"), "validation").otherwise("test")
-    )
+    at = F.struct(F.col("__place"), F.col(key))
+    name = F.when(at <= F.struct("__v1", "__k1"), "train").when(at <= F.struct("__v2", "__k2"), "validation").otherwise("test")
     return (
-        records.withColumn("__place", _place(key, seed))
+        records.withColumn("__place", place)
         .join(F.broadcast(bounds), F.col(by).eqNullSafe(F.col("__group")), "left")
         .withColumn("split", name)
         .select(*(F.col(f"`{c}`") for c in records.columns if c != "split"), "split")

@@ -31,6 +31,7 @@ from sensorloom.operators.yields import evaluate, features, linear, score, split
 from sensorloom.session import apply_runtime_conf
 from sensorloom.settings import DEFAULTS, YIELD_BASELINES
 from sensorloom.sources import star_schema
+from sensorloom.sources.shared import written
 
 # The events are sparse, about two per sensor and day, so trailing windows are a month
 # long here and two readings count as sustained.
@@ -89,15 +90,22 @@ class Star:
     def records(self):
         return self._load(star_schema.yield_records)
 
+    @cached_property
+    def stored_records(self):
+        """The records and their places in the split's order; a fit reads them some ten times, so
+        the order lines are folded once and stored."""
+        lines = star_schema.order_lines(self.spark, self.directory).withColumn("place", split.place_of("record_id"))
+        return star_schema.records_of(written(lines, "order-lines"), "place")
+
+    @cached_property
+    def with_split(self):
+        return split.assign_split(self.stored_records, place=F.col("place")).drop("place")
+
     @cached_property
     def incomplete(self):
         """The records with their split and with gaps, as fields have them."""
         gap = {name: F.expr(f"if(record_id % {n} = 0, NULL, {name})") for name, n in GAPS.items()}
-        return split.assign_split(self.records).withColumns(gap)
-
-    @cached_property
-    def crops(self):
-        return features.crop_names(self.incomplete.filter("split = 'train'"))
+        return self.with_split.withColumns(gap)
 
     @cached_property
     def prepared(self):
@@ -107,7 +115,7 @@ class Star:
     @cached_property
     def trained(self):
         """The candidates at full size on every training row, fitted by each query for itself."""
-        return train.train(self.records)
+        return train.train(self.stored_records.drop("place"))
 
     @cached_property
     def documents(self):
@@ -181,8 +189,15 @@ def plain(frame: DataFrame) -> DataFrame:
 
 
 def steady(column: str, digits: int) -> Column:
-    """Round a sum-dependent double; the nudge keeps decimal ties from going either way."""
-    return F.round(F.col(column) + 1e-9, digits).alias(column)
+    """Round a sum-dependent double; the nudge keeps decimal ties from going either way.
+
+    The result is that of ``round``, which goes through decimals; away from ties the nearest
+    whole number of the scaled value gives the same at a small part of the cost.
+    """
+    nudged, scale = F.col(column) + 1e-9, float(10**digits)
+    scaled = nudged * scale
+    clear = (F.abs(scaled) < 1e9) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-6)
+    return F.when(clear, F.floor(scaled + 0.5) / scale).otherwise(F.round(nudged, digits)).alias(column)
 
 
 def _steady(frame: DataFrame, **digits: int) -> DataFrame:
@@ -681,7 +696,7 @@ def yield_features(s: Star):
 
 @query
 def yield_split(s: Star):
-    return split.assign_split(s.records).select("record_id", "crop_type", "split")
+    return s.with_split.select("record_id", "crop_type", "split")
 
 
 @query
@@ -713,8 +728,7 @@ def yield_medians(s: Star):
 
 @query
 def yield_preprocess(s: Star):
-    names = [*map(features.scaled_name, features.FEATURES), *features.crop_columns(s.crops)]
-    prepared = s.prepared.select("record_id", "split", *names)
+    prepared = s.prepared.select("record_id", "split", *features.prepared_columns(s.prepared))
     return _steady(prepared, **{name: 6 for name in map(features.scaled_name, features.FEATURES)})
 
 
@@ -728,7 +742,7 @@ def yield_moments(s: Star):
 @query
 def yield_linear(s: Star):
     """Least-squares predictions of every record, by a fit on the training rows."""
-    names = [*map(features.scaled_name, features.FEATURES), *features.crop_columns(s.crops)]
+    names = features.prepared_columns(s.prepared)
     model = linear.fit(s.prepared.filter("split = 'train'"), features.TARGET, names)
     return s.prepared.select("record_id", "split", model.predict().alias("predicted_yield"))
 

@@ -148,9 +148,9 @@ def recommendations(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def yield_records(spark: SparkSession, directory: str) -> DataFrame:
-    """One record per order line; repeated lines of an order are folded by minimum."""
-    lines = (
+def order_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """What yield records are made of, one row per order line; repeated lines are folded by minimum."""
+    return (
         table(spark, directory, "lineitem")
         .groupBy(F.expr("l_orderkey * 10 + l_linenumber AS record_id"))
         .agg(
@@ -167,6 +167,15 @@ def yield_records(spark: SparkSession, directory: str) -> DataFrame:
             ]
         )
     )
+
+
+def yield_records(spark: SparkSession, directory: str) -> DataFrame:
+    """One record per order line; repeated lines of an order are folded by minimum."""
+    return records_of(order_lines(spark, directory))
+
+
+def records_of(lines: DataFrame, *others: str) -> DataFrame:
+    """The records of folded order lines, with other columns of theirs where wanted."""
     return lines.selectExpr(
         "record_id",
         "CASE part % 4 WHEN 0 THEN 'Tomato' WHEN 1 THEN 'Cucumber' WHEN 2 THEN 'Lettuce' ELSE 'Pepper' END AS crop_type",
@@ -187,6 +196,7 @@ def yield_records(spark: SparkSession, directory: str) -> DataFrame:
         "3D + CASE part % 4 WHEN 0 THEN 2D WHEN 1 THEN 1D WHEN 2 THEN 0D ELSE 0.5D END "
         "- abs(15D + quantity * 0.3D - 23) / 10 + price / 200000 - tax * 8 - quantity * tax * 0.15D "
         "+ CAST(record_id * 7919 % 1000 AS DOUBLE) / 2500 - 0.2D AS yield_kg_per_m2",
+        *others,
     )
 
 

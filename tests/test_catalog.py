@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from sensorloom.operators.yields import features, train
@@ -59,3 +60,20 @@ def test_yield_queries_fit_every_training_row(spark, monkeypatch):
     accepted = QUERIES["yield_request_validation"](spark, DIRECTORY).filter("accepted").count()
     assert QUERIES["yield_leaderboard"](spark, DIRECTORY).filter("selected").count() == 1
     assert QUERIES["yield_scores"](spark, DIRECTORY).count() == accepted
+
+
+def test_the_yield_queries_read_the_order_lines_once(spark):
+    """What a fit reads again and again is the stored fold of the lines."""
+    star = catalog.Star(spark, DIRECTORY)
+    assert not any("lineitem" in file for file in star.incomplete.inputFiles())
+    assert star.incomplete.count() == star.records.count()
+
+
+def test_steady_is_round_at_a_small_cost(spark):
+    values = [0.0, -0.0, 0.5e-6, 1.5e-6, -2.5e-6, 1.2345674999, 2.675, -1e-7, 1e300, float("inf"), float("nan"), None, 123456.7654325]
+    values += [k * 0.000000499999 - 3 for k in range(2_000)] + [k / 2e6 - 1e-9 for k in range(-500, 500)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    by_round = [r[0] for r in frame.select(F.round(F.col("v") + 1e-9, 6)).collect()]
+    plan = frame.select(catalog.steady("v", 6))
+    assert [str(r[0]) for r in plan.collect()] == [str(v) for v in by_round]
+    assert "CASE WHEN" in plan._jdf.queryExecution().toString()

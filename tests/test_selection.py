@@ -67,3 +67,24 @@ def test_refusals(spark):
         selection.order_statistics(frame_of(spark, {"x": [1.0, math.inf]}), lambda n: [0])
     with pytest.raises(ValueError, match="wanted ranks"):
         selection.order_statistics(frame_of(spark, {"x": [1.0]}), lambda n: [1])
+
+
+def test_values_of_all_sizes_take_few_rounds(spark, monkeypatch):
+    """An interval of few values is settled by one round, however uneven the values are."""
+    calls = []
+    plain = spark.createDataFrame
+    wide = [10.0 ** (k / 2 - 300) for k in range(1_000)]
+    frame = frame_of(spark, {"x": wide})
+    monkeypatch.setattr(spark, "createDataFrame", lambda *a, **k: calls.append(a) or plain(*a, **k))
+    found = selection.order_statistics(frame, lambda n: [100, 500])
+    assert {rank: at.value for rank, at in found["x"].items()} == {100: wide[100], 500: wide[500]} and len(calls) == 1
+
+
+def test_medians_equal_sorting_without_multiplied_rows(spark, monkeypatch):
+    groups = {name: kept(values) for name, values in groups_of(5).items() if name}
+    rows = [tuple(v[i] if i < len(v) else None for v in groups.values()) for i in range(max(map(len, groups.values())))]
+    frame = spark.createDataFrame(rows, ", ".join(f"`{name}` double" for name in groups)).repartition(3)
+    exploded = []
+    monkeypatch.setattr(selection.F, "explode", lambda x: exploded.append(x))
+    assert selection.medians(frame, list(groups)) == {name: median(values) for name, values in groups.items()}
+    assert not exploded

@@ -207,3 +207,21 @@ def test_a_crop_with_an_apostrophe_is_imputed_as_itself(records):
     named = records.withColumn("crop_type", F.when(F.col("record_id") % 5 > 0, F.lit("Baker's")))
     model = features.build_preprocessor(named).fit(named)
     assert {r.crop for r in model.transform(named).select("crop").distinct().collect()} == {"Baker's"}
+
+
+def test_products_are_added_in_tasks_and_not_by_wide_aggregates(records, capsys):
+    names = [*features.NUMERIC, features.TARGET]
+    found = linear.moments(records, names)
+    found.explain()
+    assert "avg(" not in capsys.readouterr().out
+    rows = records.select(*names).dropna().toPandas().astype(float)
+    pairs = {(r["first"], r["second"]): r.mean_product for r in found.collect()}
+    assert len(pairs) == len(names) * (len(names) + 1) // 2
+    assert all(mean == pytest.approx((rows[a] * rows[b]).mean(), rel=1e-12) for (a, b), mean in pairs.items())
+    assert {r.mean_product for r in linear.moments(records.limit(0), names).collect()} == {None}
+
+
+def test_a_stored_place_gives_the_same_split(records):
+    plain = {r.record_id: r.split for r in split.assign_split(records).collect()}
+    placed = records.withColumn("at", split.place_of("record_id"))
+    assert {r.record_id: r.split for r in split.assign_split(placed, place=F.col("at")).collect()} == plain
