@@ -99,21 +99,31 @@ def _telling_words(toxic: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.
     split = sum(map(len, toxic))
     in_toxic = np.bincount(group[:split], minlength=len(everything))
     in_others = np.bincount(group[split:], minlength=len(everything))
-    pooled = (in_toxic + in_others) / (len(toxic) + len(unlabelled))
-    error = np.sqrt(pooled * (1 - pooled) * (1 / len(toxic) + 1 / len(unlabelled))) + 1e-12
-    off = np.abs(in_toxic / len(toxic) - in_others / len(unlabelled)) / error
-    return everything[(in_toxic + in_others >= LEAST_DOCUMENTS) & (off >= SIGNIFICANT)]
+    return everything[_telling(in_toxic, in_others, len(toxic), len(unlabelled))]
+
+
+def _telling(in_toxic: np.ndarray, in_others: np.ndarray, toxic: int, unlabelled: int) -> np.ndarray:
+    pooled = (in_toxic + in_others) / (toxic + unlabelled)
+    error = np.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / unlabelled)) + 1e-12
+    off = np.abs(in_toxic / toxic - in_others / unlabelled) / error
+    return (in_toxic + in_others >= LEAST_DOCUMENTS) & (off >= SIGNIFICANT)
+
+
+def _numbers(vocabulary: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.isin(vocabulary, row, assume_unique=True))
 
 
 def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """toxic and unlabelled: the distinct word hashes of each document."""
     vocabulary = _telling_words(toxic, unlabelled)
-    size = len(vocabulary)
+    toxic, unlabelled = ([_numbers(vocabulary, row) for row in rows] for rows in (toxic, unlabelled))
+    return _descend(vocabulary, toxic, unlabelled, prior)
 
-    def numbered(rows):
-        return _Rows([np.flatnonzero(np.isin(vocabulary, row, assume_unique=True)) for row in rows], size)
 
-    positives, others = numbered(toxic), numbered(unlabelled)
+def _descend(vocabulary: np.ndarray, toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+    """toxic and unlabelled: the places of each document's words in the vocabulary."""
+    size = len(vocabulary)
+    positives, others = _Rows(toxic, size), _Rows(unlabelled, size)
     weights, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     mean, square = np.zeros(size + 1), np.zeros(size + 1)
     rng = np.random.default_rng(11)
@@ -191,17 +201,56 @@ def fit(
                 names=["doc_id", "toxic", "only_toxic", "words"],
             )
 
-    rows = frames.map_batches(
-        sample.selectExpr("cast(doc_id as long) doc_id", "text", "toxic", "only_toxic"),
-        convert,
-        "doc_id long, toxic boolean, only_toxic boolean, words binary",
-    ).collect()
-    rows = sorted((r.doc_id, r.toxic, r.only_toxic, bytes(r.words)) for r in rows)
-    toxic = [np.frombuffer(raw, np.uint64) for _, marked, _, raw in rows if marked]
-    unlabelled = [np.frombuffer(raw, np.uint64) for _, _, only, raw in rows if not only]
-    if not toxic or not unlabelled:
+    # the words of all sampled documents stay with the executors; the driver gets the telling
+    # ones and the places of each document's words among them
+    held = frames.written(
+        frames.map_batches(
+            sample.selectExpr("cast(doc_id as long) doc_id", "text", "toxic", "only_toxic"),
+            convert,
+            "doc_id long, toxic boolean, only_toxic boolean, words binary",
+        ),
+        "sampled-words",
+    )
+    toxic_rows, unlabelled_rows = held.agg(F.count_if("toxic"), F.count_if(~F.col("only_toxic"))).first()
+    if not toxic_rows or not unlabelled_rows:
         return None
-    return train(toxic, unlabelled, min(share, 0.99))
+    vocabulary = _sampled_vocabulary(held, toxic_rows, unlabelled_rows)
+
+    def place(batch):
+        rows = [_numbers(vocabulary, np.frombuffer(raw.as_buffer(), np.uint64)) for raw in batch.column("words")]
+        places = pa.array([row.astype(np.int32).tobytes() for row in rows], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("doc_id", "toxic", "only_toxic")), places],
+            names=["doc_id", "toxic", "only_toxic", "places"],
+        )
+
+    rows = frames.map_batches(held, place, "doc_id long, toxic boolean, only_toxic boolean, places binary").collect()
+    rows = sorted((r.doc_id, r.toxic, r.only_toxic, bytes(r.places)) for r in rows)
+    toxic = [np.frombuffer(raw, np.int32) for _, marked, _, raw in rows if marked]
+    unlabelled = [np.frombuffer(raw, np.int32) for _, _, only, raw in rows if not only]
+    return _descend(vocabulary, toxic, unlabelled, min(share, 0.99))
+
+
+def _sampled_vocabulary(held: DataFrame, toxic: int, unlabelled: int) -> np.ndarray:
+    """The telling words of the sampled documents, ascending; words are counted by Spark."""
+
+    def count(batch):
+        words_of = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in batch.column("words")]
+        found, group = np.unique(np.concatenate(words_of), return_inverse=True)
+        sizes = [len(row) for row in words_of]
+        marked = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool), sizes)
+        other = ~np.repeat(batch.column("only_toxic").to_numpy(zero_copy_only=False).astype(bool), sizes)
+        counts = [np.bincount(group[chosen], minlength=len(found)).astype(np.int64) for chosen in (marked, other)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (found.view(np.int64), *counts))], names=["word", "in_toxic", "in_others"])
+
+    def tell(batch):
+        in_toxic, in_others = (batch.column(c).to_numpy() for c in ("in_toxic", "in_others"))
+        yield batch.select(["word"]).filter(pa.array(_telling(in_toxic, in_others, toxic, unlabelled)))
+
+    counts = frames.map_batches(held, count, "word long, in_toxic long, in_others long")
+    counts = counts.groupBy("word").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_others").alias("in_others"))
+    told = frames.map_batches(counts.where(F.col("in_toxic") + F.col("in_others") >= LEAST_DOCUMENTS), tell, "word long")
+    return np.sort(np.array([r.word for r in told.collect()], np.int64).view(np.uint64))
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:

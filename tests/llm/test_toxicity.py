@@ -80,3 +80,17 @@ def test_rejected_documents_go(corpus, spark):
     assert {r.doc_id for r in kept.collect()} == set(range(600)) - rejected
     assert toxicity.keep_clean(corpus.odd(), model).columns == corpus.odd().columns
     assert toxicity.keep_clean(corpus.odd(), model).count() == corpus.odd().count()
+
+
+def test_the_words_of_the_sample_stay_with_the_executors(corpus, spark, monkeypatch):
+    """The driver trains on places in a vocabulary, and gets what training on all words gives."""
+    docs, labels, _ = labelled(corpus, spark, 400)
+    given = []
+    plain = toxicity._descend
+    monkeypatch.setattr(toxicity, "_descend", lambda *a: given.append(a) or plain(*a))
+    monkeypatch.setattr(toxicity, "_telling_words", lambda *a: 1 / 0)
+    model = toxicity.fit(docs, labels)
+    (vocabulary, marked, others, _), = given
+    assert len(vocabulary) and (np.diff(vocabulary.astype(float)) >= 0).all()
+    assert all(len(row) <= len(vocabulary) for row in marked + others)
+    assert list(model.vocabulary) == list(vocabulary)
