@@ -14,23 +14,25 @@ _RANK_TOLERANCE = 1e-10  # of the greatest eigenvalue: directions below are no d
 
 
 def moments(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """first, second and mean of the product of each pair of columns, over rows without nulls in them.
+    """first, second and mean of the product of each pair of columns, over rows without nulls or NaN.
 
     Each task adds up the products of its batches as matrices and gives one row for each of the
-    p * (p + 1) / 2 pairs; only these are shuffled, and the rows are read once.
+    p * (p + 1) / 2 pairs; only these are shuffled, and the rows are read once. Tasks leave out the
+    rows with nulls: as a filter on computed columns, Spark would plan and compute those twice.
     """
     columns = list(columns)
     width = len(columns)
     first, second = np.triu_indices(width)
-    whole = frame.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns))).dropna()
+    whole = frame.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros((width, width)), 0
         for batch in batches:
-            block = np.array([column.to_numpy() for column in batch.columns])
+            block = np.array([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+            block = block[:, ~np.isnan(block).any(axis=0)]  # nulls are NaN here
             with np.errstate(invalid="ignore", over="ignore"):
                 total += block @ block.T
-            rows += batch.num_rows
+            rows += block.shape[1]
         if rows:
             values = [pa.array(np.arange(len(first), dtype=np.int32)), pa.array(total[first, second]), pa.array(np.full(len(first), rows))]
             yield pa.RecordBatch.from_arrays(values, names=["pair", "total", "rows"])

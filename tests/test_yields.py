@@ -219,6 +219,10 @@ def test_products_are_added_in_tasks_and_not_by_wide_aggregates(records, capsys)
     assert len(pairs) == len(names) * (len(names) + 1) // 2
     assert all(mean == pytest.approx((rows[a] * rows[b]).mean(), rel=1e-12) for (a, b), mean in pairs.items())
     assert {r.mean_product for r in linear.moments(records.limit(0), names).collect()} == {None}
+    gaps = records.withColumn("co2_ppm", F.expr("CASE WHEN record_id % 5 = 0 THEN NULL WHEN record_id % 7 = 0 THEN double('NaN') ELSE co2_ppm END"))
+    some = linear.moments(gaps, names).filter("first = 'co2_ppm' AND second = 'co2_ppm'").first().mean_product
+    whole = records.filter("record_id % 5 > 0 AND record_id % 7 > 0").dropna().toPandas().co2_ppm
+    assert some == pytest.approx((whole**2).mean(), rel=1e-12)
 
 
 def test_a_stored_place_gives_the_same_split(records):
