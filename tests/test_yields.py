@@ -229,3 +229,23 @@ def test_a_stored_place_gives_the_same_split(records):
     plain = {r.record_id: r.split for r in split.assign_split(records).collect()}
     placed = records.withColumn("at", split.place_of("record_id"))
     assert {r.record_id: r.split for r in split.assign_split(placed, place=F.col("at")).collect()} == plain
+
+
+def test_a_forest_is_fitted_by_portions_of_its_trees(records, monkeypatch, tmp_path):
+    """No fit and no task holds all the trees; the model is the mean of all of them."""
+    monkeypatch.setattr(train, "TREES_AT_ONCE", 2)
+    forest = {"random_forest": train.build_estimators(trees=5, depth=4)["random_forest"]}
+    result = train.train(records, forest)
+    portions = result.fitted["random_forest"].stages[:-1]
+    assert sorted(p.getNumTrees for p in portions) == [1, 2, 2]
+    assert {(p.getMaxDepth(), p.getMinInstancesPerNode(), p.getFeatureSubsetStrategy()) for p in portions} == {(4, 3, "onethird")}
+    assert len({p.getSeed() for p in portions}) == 3
+    prepared = result.preprocessor.transform(records)
+    found = {r.record_id: r for r in result.best_pipeline().transform(records).collect()}
+    assert not any(c.startswith("portion_") for c in next(iter(found.values())).asDict())
+    for row in prepared.limit(20).collect():
+        each = [tree.predict(row.features) for p in portions for tree in p.trees]
+        assert found[row.record_id].prediction == pytest.approx(sum(each) / 5, abs=1e-12)
+    train.save_model(result, str(tmp_path / "forest"))
+    again = score.score(train.load_model(str(tmp_path / "forest")), records).collect()
+    assert sorted(again) == sorted(score.score(result.best_pipeline(), records).collect()) and len(again) == 200
