@@ -38,7 +38,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from sensorloom.llm import frames
 
-GENERATION_BYTES = 32 << 20
+GENERATION_BYTES = 8 << 20
 ENTRY_BYTES = 200  # a short word and its ids, as objects in a dictionary
 KEPT_WORD_BYTES = 64
 GATHERED_IDS = 1 << 18
@@ -75,8 +75,8 @@ class Codec:
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
-    @cached_property
     def _cuts(self) -> list[tuple[int, bytes, bytes]]:
+        """Rank and both parts of every merge; not kept, as they take more memory than the ranks."""
         cuts = []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -91,7 +91,7 @@ class Codec:
         written = {token: "".join(characters[b] for b in token) for token in self.ranks}
         model = models.BPE(
             vocab={written[token]: rank for token, rank in self.ranks.items()},
-            merges=[(written[left], written[right]) for _, left, right in self._cuts],
+            merges=[(written[left], written[right]) for _, left, right in self._cuts()],
             ignore_merges=True,
         )
         tokenizer = Tokenizer(model)
@@ -102,7 +102,7 @@ class Codec:
     def _ambiguous(self):
         """Finds the strings in which two overlapping pairs would make the same token."""
         by_token: dict[bytes, list[int]] = {}
-        for _, left, right in self._cuts:
+        for _, left, right in self._cuts():
             by_token.setdefault(left + right, []).append(len(left))
         automaton = ahocorasick.Automaton()
         for token, cuts in by_token.items():
@@ -303,8 +303,9 @@ def map_texts(docs: DataFrame, rank_path: str, pattern: str, schema: str, column
                     yield pa.RecordBatch.from_arrays([ids, *made.values()], names=["doc_id", *made])
         finally:
             tools.forget()
+            frames.give_back()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return frames.small_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, with_offsets: bool = False) -> DataFrame:

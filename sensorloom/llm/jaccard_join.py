@@ -91,7 +91,6 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, keys: bool
     values = frequent[by_value]
 
     def convert(batch):
-        pack = zstandard.ZstdCompressor(level=1, write_content_size=True)
         for first, rows, members, cuts in _members(batch.column("text"), width):
             count = len(cuts) - 1
             sizes = np.diff(cuts)
@@ -113,8 +112,7 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, keys: bool
                 kept = members[order][chosen].astype(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows[chosen], minlength=count))])
                 columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(kept)))
-                points = _counts(members, rows, count)
-                columns.append(pa.array([pack.compress(_point_bytes(p)) for p in points], pa.binary()))
+                columns.append(pa.array(_packed_points(members, rows, cuts), pa.binary()))
             names = ["doc_id", "row_key", "node", "n_shingles", "keys", "point"]
             yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
@@ -159,6 +157,17 @@ def _counts(members: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
     return counts.reshape(count, POINT_DIMENSIONS).astype(np.int32)
 
 
+def _packed_points(members: np.ndarray, rows: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """The points of a block's rows, packed; few rows at a time, as a block may have many short ones."""
+    pack = zstandard.ZstdCompressor(level=1, write_content_size=True)
+    packed = []
+    for low in range(0, len(cuts) - 1, UNPACKED_ROWS):
+        high = min(low + UNPACKED_ROWS, len(cuts) - 1)
+        own = slice(cuts[low], cuts[high])
+        packed += [pack.compress(_point_bytes(p)) for p in _counts(members[own], rows[own] - low, high - low)]
+    return packed
+
+
 def _points(members: list[np.ndarray]) -> np.ndarray:
     rows = np.repeat(np.arange(len(members)), [len(m) for m in members])
     return _counts(np.concatenate(members), rows, len(members))

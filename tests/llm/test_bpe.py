@@ -86,3 +86,11 @@ def test_ids_that_split_a_character_decode_to_bytes(spark):
     frame = spark.createDataFrame([(1, half), (2, None)], "doc_id long, ids array<int>")
     rows = {r.doc_id: (bytes(r.data), r.text) for r in bpe.decode(frame, PATH, PATTERN).collect()}
     assert rows == {1: ("é".encode()[:1], None), 2: (b"", "")}
+
+
+def test_a_codec_holds_few_known_words_and_no_merges():
+    codec = bpe.Codec(PATH, PATTERN)
+    for low in range(0, 120_000, 2_000):
+        codec.encode_bytes(["a " + " ".join(f"w{i}" for i in range(low, low + 2_000))])
+    assert (len(codec._young) + len(codec._old)) * bpe.ENTRY_BYTES < 18 << 20
+    assert "_cuts" not in vars(codec)

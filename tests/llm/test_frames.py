@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +38,27 @@ def test_folds(spark):
 
     ids = spark.range(40).select("id", frames.held_out(F.col("id")).alias("held"))
     assert {r.id: r.held for r in ids.collect()} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(40)}
+
+
+def _sizes(batch):
+    yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+
+def test_a_task_gets_a_bounded_number_of_bytes_at_a_time(spark):
+    long = spark.range(0, 2_000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    found = frames.map_batches(long, _sizes, "n long, size long").collect()
+    assert sum(row.n for row in found) == 2_000
+    assert max(row.size for row in found) < 2 * frames.BATCH_BYTES
+    short = frames.map_batches(spark.range(0, 30_000, 1, 1), _sizes, "n long, size long").collect()
+    assert sum(row.n for row in short) == 30_000
+
+
+def test_a_bound_that_the_session_has_stays(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "1m")
+    try:
+        frames.small_batches(spark.range(1))
+        assert spark.conf.get(setting) == "1m"
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -100,3 +101,21 @@ def test_one_of_each_group_stays(corpus):
     assert odd.columns == corpus.odd().columns
     assert by_id(odd) == sorted([(1,), (2,), (3,), (None,), (4,), (5,), (6,), (7,), (7,), (8,)], key=str)
     assert jaccard_join.keep_one(corpus.none()).count() == 0
+
+
+def test_points_of_many_short_rows_take_little_memory():
+    count = 8_000
+    sizes = np.arange(count) % 3  # rows without members too
+    rows = np.repeat(np.arange(count), sizes)
+    members = np.random.default_rng(1).integers(0, 1 << 62, len(rows)).astype(np.uint64)
+    cuts = np.searchsorted(rows, np.arange(count + 1))
+    tracemalloc.start()
+    try:
+        packed = jaccard_join._packed_points(members, rows, cuts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16 << 20  # all at once: 98 MB
+    unpack = jaccard_join.zstandard.ZstdDecompressor()
+    points = np.stack([jaccard_join._point_of(unpack.decompress(raw)) for raw in packed])
+    assert np.array_equal(points, jaccard_join._counts(members, rows, count))
