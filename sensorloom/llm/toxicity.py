@@ -226,9 +226,10 @@ def fit(
 
     rows = frames.map_batches(held, place, "doc_id long, toxic boolean, only_toxic boolean, places binary").collect()
     rows = sorted((r.doc_id, r.toxic, r.only_toxic, bytes(r.places)) for r in rows)
-    toxic = [np.frombuffer(raw, np.int32) for _, marked, _, raw in rows if marked]
-    unlabelled = [np.frombuffer(raw, np.int32) for _, _, only, raw in rows if not only]
-    return _descend(vocabulary, toxic, unlabelled, min(share, 0.99))
+    # telling words stay telling without the others, so training finds the same vocabulary
+    toxic = [vocabulary[np.frombuffer(raw, np.int32)] for _, marked, _, raw in rows if marked]
+    unlabelled = [vocabulary[np.frombuffer(raw, np.int32)] for _, _, only, raw in rows if not only]
+    return train(toxic, unlabelled, min(share, 0.99))
 
 
 def _sampled_vocabulary(held: DataFrame, toxic: int, unlabelled: int) -> np.ndarray:
