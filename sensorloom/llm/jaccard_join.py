@@ -4,9 +4,11 @@ Only which documents are connected is asked for, so copies are never expanded in
 
 - Equal sets are one node, known by a 64-bit digest of the set.
 - Two sets that link share one of the first n - ceil(t * n) + 1 members of each in any common
-  order. The order puts frequent n-grams last (learnt from a bounded sample of documents; it
-  only decides how large the blocks get, never what is found). Nodes that share such a member
-  form a block; blocks with the same smallest node form a group.
+  order. The order puts n-grams of rare words first and frequent n-grams last (both learnt from
+  a bounded sample of documents; it only decides how large the blocks get, never what is found).
+  Of the first member that two sets share, no more than the rest of either follows, so the places
+  and sizes in a member's rows tell which sets may link there: those form a block. Blocks with
+  the same smallest node form a group. Members are shuffled once for it, in 16 bytes each.
 - Within a group, tokens are hashed into groups and their counts are the points of an R-tree:
   the sum of coordinate minima bounds the overlap of a point with all points below a tree
   node. Nodes that no other one survives for are left out before any text is moved; the
@@ -29,7 +31,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm import frames, words
@@ -44,23 +46,35 @@ CELL_NODES = 1_000
 ORDER_DOCUMENTS = 5_000
 ORDER_TIMES = 5
 ORDER_MEMBERS = 100_000
+ORDER_WORDS = 100_000
 
 _FREQUENT = np.uint64(1 << 63)
+# a key: 40 bits of the member, then its set's size and what of the set is left from there on
+_CODE_BITS = 12
+_EXTENT = np.uint64(2 * _CODE_BITS)
+_CODE = np.uint64((1 << _CODE_BITS) - 1)
 
 
-def _members(texts: pa.Array, width: int):
-    """Blocks of (first row, rows, members, first member of each row); members 63-bit and distinct."""
+def _members(texts: pa.Array, width: int, order_of: Order | None = None):
+    """Blocks of (first row, rows, members, first member of each row, ranks); members 63-bit and distinct.
+
+    Ranks are the members' places in the order, and None without one.
+    """
     for first, data, offsets in words.text_blocks(texts):
         data = words.lower_ascii(data)
         found = words.find_words(data, offsets)
-        members, rows = words.shingles(words.word_hashes(data, found), found, width)
+        hashes = words.word_hashes(data, found)
+        members, rows = words.shingles(hashes, found, width)
         members >>= np.uint64(1)
         order = np.lexsort((members, rows))
         members, rows = members[order], rows[order]
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:] != rows[:-1]) | (members[1:] != members[:-1])
         rows, members = rows[new], members[new]
-        yield first, rows, members, np.searchsorted(rows, np.arange(len(offsets)))
+        ranks = None
+        if order_of is not None:
+            ranks = order_of.ranks(members, words.shingle_sums(order_of.weights(hashes), found, width)[order][new])
+        yield first, rows, members, np.searchsorted(rows, np.arange(len(offsets))), ranks
 
 
 def _digests(members: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -70,28 +84,96 @@ def _digests(members: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return words.mix(total[cuts[1:]] - total[cuts[:-1]] + sizes * np.uint64(0xD6E8FEB86659FD93))
 
 
-def frequent_members(docs: DataFrame, width: int) -> np.ndarray:
-    """Members that several sampled documents have, the least frequent first; at most ORDER_MEMBERS."""
+def _places(wanted: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are among the sorted wanted ones, and the places there of those."""
+    if not len(wanted):
+        return np.zeros(len(values), bool), np.empty(0, np.int64)
+    place = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
+    known = wanted[place] == values
+    return known, place[known]
+
+
+class Order:
+    """An order of members: n-grams of rare words first, those that documents share often last."""
+
+    def __init__(self, frequent: np.ndarray, common: np.ndarray, counts: np.ndarray):
+        """frequent: members, the least frequent first; common and counts: hashes of words and how many there are."""
+        self.by_value = np.argsort(frequent).astype(np.uint64)
+        self.frequent = np.sort(frequent)
+        by_hash = np.argsort(common)
+        self.common = common[by_hash]
+        # sixteenths of a power of two, so that sums stand for products
+        self.logs = np.rint(16 * np.log2(1.0 + counts[by_hash])).astype(np.uint64)
+
+    def weights(self, hashes: np.ndarray) -> np.ndarray:
+        known, place = _places(self.common, hashes)
+        weights = np.zeros(len(hashes), np.uint64)
+        weights[known] = self.logs[place]
+        return weights
+
+    def ranks(self, members: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        ranks = np.minimum(sums, np.uint64(2047)) << np.uint64(52) | members >> np.uint64(11)
+        known, place = _places(self.frequent, members)
+        ranks[known] = _FREQUENT + self.by_value[place]
+        return ranks
+
+
+def learnt_order(docs: DataFrame, width: int) -> Order:
+    """The order by a sample of documents: at most ORDER_MEMBERS members and ORDER_WORDS words of it."""
     share = min(1.0, ORDER_DOCUMENTS / max(1, docs.count()))
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)) < F.lit(int(share * (1 << 62))))
 
     def convert(batch):
-        for _, _, members, _ in _members(batch.column("text"), width):
-            yield pa.RecordBatch.from_arrays([pa.array(members.astype(np.int64))], names=["member"])
+        for _, data, offsets in words.text_blocks(batch.column("text")):
+            data = words.lower_ascii(data)
+            hashes = words.word_hashes(data, words.find_words(data, offsets))
+            yield _counted(True, *np.unique(hashes, return_counts=True))
+        for _, _, members, _, _ in _members(batch.column("text"), width):
+            yield _counted(False, *np.unique(members, return_counts=True))
+
+    parts = frames.map_batches(sample.select("text"), convert, "word boolean, value long, times long")
+    counted = parts.groupBy("word", "value").agg(F.sum("times").alias("times"))
+    least = F.when(F.col("word"), F.lit(2)).otherwise(F.lit(ORDER_TIMES))
+    counted = frames.written(counted.where(F.col("times") >= least), "order")
+
+    def most(kind: Column, limit: int) -> pa.Table:
+        return counted.where(kind).orderBy(F.desc("times"), "value").limit(limit).select("value", "times").toArrow()
+
+    frequent, common = most(~F.col("word"), ORDER_MEMBERS), most(F.col("word"), ORDER_WORDS)
+    values = [table.column("value").to_numpy().astype(np.uint64) for table in (frequent, common)]
+    return Order(values[0][::-1], values[1], common.column("times").to_numpy())
+
 
-    counted = frames.map_batches(sample.select("text"), convert, "member long").groupBy("member").count()
-    rows = counted.where(F.col("count") >= ORDER_TIMES).orderBy(F.desc("count"), "member").limit(ORDER_MEMBERS).collect()
-    return np.array([row.member for row in reversed(rows)], np.uint64)
+def _counted(word: bool, values: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(values), word)), pa.array(values.astype(np.int64)), pa.array(times.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["word", "value", "times"])
+
+
+def _coded(values: np.ndarray) -> np.ndarray:
+    """Numbers in 12 bits that ascend with them: exact below 256, then the first eight digits of two."""
+    shift = np.maximum(np.frexp(values.astype(np.float64))[1] - 8, 0)
+    return (shift * 128 + (values >> shift)).astype(np.uint64)
+
+
+def _least_of(codes: np.ndarray) -> np.ndarray:
+    """The least number of each code."""
+    codes = codes.astype(np.int64)
+    shift = np.maximum(codes // 128 - 1, 0)
+    return (codes - shift * 128) << shift
+
+
+def _keys(members: np.ndarray, sizes: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Members to block by, with their sets' sizes and how many members are left from each on."""
+    extent = _coded(sizes) << np.uint64(_CODE_BITS) | _coded(left)
+    return (members >> (_EXTENT - np.uint64(1))) << _EXTENT | extent
 
 
 def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, keys: bool = True) -> DataFrame:
     """doc_id, row_key, node (digest of the set), n_shingles; keys, the members to block by; point, the counts."""
-    frequent = frequent_members(docs, width) if keys else np.empty(0, np.uint64)
-    by_value = np.argsort(frequent)
-    values = frequent[by_value]
+    order_of = learnt_order(docs, width) if keys else None
 
     def convert(batch):
-        for first, rows, members, cuts in _members(batch.column("text"), width):
+        for first, rows, members, cuts, ranks in _members(batch.column("text"), width, order_of):
             count = len(cuts) - 1
             sizes = np.diff(cuts)
             columns = [
@@ -101,15 +183,11 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, keys: bool
                 pa.array(sizes.astype(np.int64)),
             ]
             if keys:
-                ranked = members.copy()
-                if len(values):
-                    place = np.minimum(np.searchsorted(values, members), len(values) - 1)
-                    known = values[place] == members
-                    ranked[known] = _FREQUENT + by_value[place[known]].astype(np.uint64)
-                order = np.lexsort((ranked, rows))
+                order = np.lexsort((ranks, rows))
                 turn = np.arange(len(rows)) - cuts[rows]
                 chosen = turn < (sizes - (percent * sizes + 99) // 100 + 1)[rows]
-                kept = members[order][chosen].astype(np.int64)
+                own = sizes[rows[chosen]]
+                kept = _keys(members[order][chosen], own, own - turn[chosen]).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows[chosen], minlength=count))])
                 columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(kept)))
                 columns.append(pa.array(_packed_points(members, rows, cuts), pa.binary()))
@@ -256,7 +334,7 @@ def _link_cells(rows: DataFrame, width: int, percent: int) -> DataFrame:
         for batch in (batch.slice(i, UNPACKED_ROWS) for batch in batches for i in range(0, batch.num_rows, UNPACKED_ROWS)):
             links = []
             texts = pa.array([unpack.decompress(x).decode() for x in batch.column("packed").to_pylist()], pa.string())
-            own = [m for _, _, members, cuts in _members(texts, width) for m in np.split(members, cuts[1:-1])]
+            own = [m for _, _, members, cuts, _ in _members(texts, width) for m in np.split(members, cuts[1:-1])]
             columns = [batch.column(c).to_pylist() for c in ("lead", "first", "second", "node", "side", "label")]
             for lead, first, second, node, side, label, members in zip(*columns, own):
                 if (lead, first, second) != key:
@@ -280,13 +358,78 @@ def _pairs(pairs: list[tuple[int, int]], names: Sequence[str] = ("a", "b")) -> p
     return pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in zip(*pairs)], names=list(names))
 
 
-def groups(found: DataFrame) -> DataFrame:
+def may_share(keys: np.ndarray, nodes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """lead and node: of sorted rows of whole runs of a member, the nodes that may link there, in blocks.
+
+    A set of n members of which r are left may link with one of m members only if
+    100 * r >= percent * (n + m - r) holds for the r of both. A block has the sizes that reach each
+    other, maybe over others between; its lead is its smallest node.
+    """
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[new], nodes[new]
+    heads = np.ones(len(keys) + 1, bool)
+    heads[1:-1] = keys[1:] >> _EXTENT != keys[:-1] >> _EXTENT
+    several = ~(heads[:-1] & heads[1:])
+    keys, nodes, heads = keys[several], nodes[several], heads[:-1][several]
+    if not len(keys):
+        return nodes, nodes
+    sizes = _least_of(keys >> np.uint64(_CODE_BITS) & _CODE)
+    left = _least_of((keys & _CODE) + np.uint64(1)) - 1
+    reach = left * (100 + percent) // percent - sizes  # the greatest size that it may link with
+
+    def greatest(values, marks):
+        """The greatest value so far of each run of marks."""
+        lift = np.cumsum(marks) * (int(values.max()) + 1)
+        return np.maximum.accumulate(values + lift) - lift
+
+    before = np.concatenate([[0], greatest(reach, heads)[:-1]])
+    heads |= sizes > before
+    starts = np.flatnonzero(heads)
+    piece = np.cumsum(heads) - 1
+    ends = np.append(heads[1:], True)
+    after = np.append(greatest(reach[::-1], ends[::-1])[::-1][1:], 0)
+    follows = np.append(sizes[1:], 0)
+    kept = ~heads & (sizes[starts][piece] <= reach) | ~ends & (follows <= reach) & (after >= sizes)
+    kept &= (np.bincount(piece[kept], minlength=len(starts)) > 1)[piece]
+    nodes, piece = nodes[kept], piece[kept]
+    if not len(nodes):
+        return nodes, nodes
+    starts = np.flatnonzero(np.diff(piece, prepend=-1))
+    return np.repeat(np.minimum.reduceat(nodes, starts), np.diff(np.append(starts, len(nodes)))), nodes
+
+
+def groups(found: DataFrame, percent: int) -> DataFrame:
     """lead and node: each node with the smallest node of each block it is in, once."""
-    keyed = found.where("n_shingles > 0").select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    rows = frames.written(keyed.join(shared, "key").distinct(), "blocks")
-    leads = rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    return frames.written(rows.join(leads.select("key", "lead"), "key").select("lead", "node").distinct(), "groups")
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks():
+            leads, nodes = may_share(*(np.concatenate(column) for column in zip(*parts)), percent)
+            if len(nodes):
+                yield pa.RecordBatch.from_arrays([pa.array(leads), pa.array(nodes)], names=["lead", "node"])
+
+        parts = []  # rows up to here; the last member's may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            nodes = batch.column("node").to_numpy()
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+            keys, nodes = keys[new], nodes[new]
+            other = np.flatnonzero(keys >> _EXTENT != keys[-1] >> _EXTENT)
+            cut = other[-1] + 1 if len(other) else 0
+            if cut or parts and parts[-1][0][-1] >> _EXTENT != keys[0] >> _EXTENT:
+                parts.append((keys[:cut], nodes[:cut]))
+                yield from blocks()
+                parts = []
+            parts.append((keys[cut:], nodes[cut:]))
+        if parts:
+            yield from blocks()
+
+    keyed = frames.small_batches(found.where("n_shingles > 0").select(F.explode("keys").alias("key"), "node"))
+    dealt = keyed.repartition(F.shiftrightunsigned("key", int(_EXTENT))).sortWithinPartitions("key", "node")
+    return frames.written(dealt.mapInArrow(convert, "lead long, node long").distinct(), "groups")
 
 
 def _possible(rows: DataFrame, percent: int) -> DataFrame:
@@ -319,17 +462,20 @@ def _possible(rows: DataFrame, percent: int) -> DataFrame:
 def _pack(batch):
     pack = zstandard.ZstdCompressor(level=3)
     packed = [pack.compress((text or "").encode()) for text in batch.column("text").to_pylist()]
-    yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "packed"])
+    columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(packed, pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "packed"])
 
 
 def links(docs: DataFrame, found: DataFrame, width: int, percent: int, cell_nodes: int) -> DataFrame:
     """Links (a, b) between nodes that connect all that the threshold connects."""
-    everything = groups(found)
+    everything = groups(found, percent)
     sizes = everything.groupBy("lead").count()
     cells = F.ceil(F.col("count") / cell_nodes).cast("long")
     counted = frames.written(everything.join(sizes.withColumn("cells", cells), "lead"), "counted")
-    points = found.where("n_shingles > 0").groupBy("node").agg(F.min("point").alias("point"))
-    possible = _possible(counted.where("cells = 1").join(points, "node"), percent).withColumn("cells", F.lit(1).cast("long"))
+    small = counted.where("cells = 1")
+    points = frames.marked(found.where("n_shingles > 0").select("node", "point"), F.col("node"), small.select("node"), "held")
+    points = points.where("held").groupBy("node").agg(F.min("point").alias("point"))
+    possible = _possible(small.join(points, "node"), percent).withColumn("cells", F.lit(1).cast("long"))
     grouped = possible.unionByName(counted.where("cells > 1").select("lead", "node", "cells"))
     grouped = frames.written(grouped, "possible")
     wanted = grouped.select("node").distinct()
@@ -343,10 +489,10 @@ def links(docs: DataFrame, found: DataFrame, width: int, percent: int, cell_node
     # one text for each node, carried packed; rows that repeat an id and text bring it once
     texts = docs.select(F.col("doc_id").cast("long"), "text", frames.row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
     holders = frames.written(holders, "holders")
-    texts = frames.marked(texts, F.col("row_key"), holders.select("row_key"), "held").where("held")
+    texts = frames.marked(texts, F.col("row_key"), holders.select("row_key"), "held").where("held").drop("held")
+    texts = frames.map_batches(texts, _pack, "doc_id long, row_key long, packed binary")
     same = texts["doc_id"].eqNullSafe(holders["doc_id"]) & (texts["row_key"] == holders["row_key"])
-    packed = frames.map_batches(texts.join(holders, same).select("node", "text"), _pack, "node long, packed binary")
-    packed = frames.written(packed, "texts").dropDuplicates(["node"])
+    packed = frames.written(texts.join(holders, same).select("node", "packed"), "texts").dropDuplicates(["node"])
 
     dealt = grouped.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
     # the group's smallest node goes to each of its cells

@@ -159,3 +159,16 @@ def shingles(hashes: np.ndarray, words: Words, width: int) -> tuple[np.ndarray,
         values = np.concatenate([values, *extra_values])
         rows = np.concatenate([rows, *extra_rows])
     return values, rows
+
+
+def shingle_sums(values: np.ndarray, words: Words, width: int) -> np.ndarray:
+    """The sum of the words' values in each of `shingles`, in its order."""
+    count = max(len(values) - width + 1, 0)
+    whole = words.rows[:count] == words.rows[width - 1 : width - 1 + count]
+    sums = [sum(values[k : k + count] for k in range(width))[whole]]
+    sizes = words.counts()
+    for size in range(1, width):
+        first = words.first[:-1][sizes == size]
+        if len(first):
+            sums.append(sum(values[first + k] for k in range(size)))
+    return np.concatenate(sums)

@@ -119,3 +119,73 @@ def test_points_of_many_short_rows_take_little_memory():
     unpack = jaccard_join.zstandard.ZstdDecompressor()
     points = np.stack([jaccard_join._point_of(unpack.decompress(raw)) for raw in packed])
     assert np.array_equal(points, jaccard_join._counts(members, rows, count))
+
+
+def chance_texts(count, seed):
+    """Texts of words that are frequent and rare as in prose, which share n-grams by chance only; some with a near copy."""
+    rng = np.random.default_rng(seed)
+    share = 1 / np.arange(1, 3_001)
+    texts = []
+    for size in rng.integers(40, 400, count):
+        own = [f"w{i}" for i in rng.choice(3_000, size, p=share / share.sum())]
+        texts.append(" ".join(own))
+        if rng.random() < 0.05:
+            own[rng.integers(size)] = "new"
+            texts.append(" ".join(own))
+    return list(enumerate(texts))
+
+
+def test_chance_n_grams_make_few_groups(corpus, monkeypatch):
+    """Rows of groups, each of which moves a point, do not grow with what documents share by chance."""
+    rows, seen = chance_texts(1_500, 4), {}
+    plain = jaccard_join.frames.written
+
+    def counted(frame, purpose):
+        kept = plain(frame, purpose)
+        seen.setdefault(purpose, kept.count())
+        return kept
+
+    monkeypatch.setattr(jaccard_join.frames, "written", counted)
+    found = {r.doc_id: r.component_id for r in jaccard_join.connect(corpus.documents(rows), 3, 80).collect()}
+    copies = sum("new" in text.split() for _, text in rows)
+    assert seen["groups"] < 4 * copies
+    # near copies follow their originals
+    assert sorted(d for d, c in found.items() if c != d) == [d for d, text in rows if "new" in text.split()]
+
+
+def test_blocks_lose_no_link(corpus, spark):
+    rng = np.random.default_rng(2)
+    for percent in (50, 80, 85, 100):
+        pool = rng.integers(0, 1 << 63, 2_000).astype(np.uint64)
+        bases = [rng.choice(pool, n, replace=False) for n in rng.integers(1, 600, 60)]
+        sets = [np.unique(np.where(rng.random(len(b)) < rng.random() / 5, rng.choice(pool, len(b)), b)) for b in bases * 5]
+        rows = []
+        for node, own in enumerate(sets):
+            place = np.arange(min(len(own), len(own) - (percent * len(own) + 99) // 100 + 1))
+            keys = jaccard_join._keys(own[place], np.full(len(place), len(own)), len(own) - place)
+            rows += [(node, len(own), keys.view(np.int64).tolist())] * (1 + (node % 7 == 0))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # runs go on over batches
+        try:
+            found = jaccard_join.groups(spark.createDataFrame(rows, "node long, n_shingles long, keys array<long>"), percent)
+            leads = {}
+            for row in found.collect():
+                leads.setdefault(row.node, set()).add(row.lead)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        linked = 0
+        for i in range(len(sets)):
+            for k in range(i):
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[k]) - both):
+                    linked += 1
+                    assert leads.get(i, set()) & leads.get(k, set())
+        assert linked
+
+
+def test_codes_of_sizes_ascend():
+    values = np.array([0, 1, 2, 254, 255, 256, 257, 511, 512, 513, 99_999, (1 << 31) - 1])
+    codes = jaccard_join._coded(values)
+    assert (np.diff(codes.astype(np.int64)) >= 0).all() and codes.max() < 1 << 12
+    assert (jaccard_join._least_of(codes) <= values).all()
+    assert (jaccard_join._least_of(codes + np.uint64(1)) > values).all()
+    assert np.array_equal(jaccard_join._least_of(codes[:5]), values[:5])
