@@ -113,11 +113,23 @@ def _numbers(vocabulary: np.ndarray, row: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.isin(vocabulary, row, assume_unique=True))
 
 
-def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """toxic and unlabelled: the distinct word hashes of each document."""
-    vocabulary = _telling_words(toxic, unlabelled)
-    toxic, unlabelled = ([_numbers(vocabulary, row) for row in rows] for rows in (toxic, unlabelled))
-    return _descend(vocabulary, toxic, unlabelled, prior)
+@dataclass
+class Placed:
+    """Documents as the places of their words in a vocabulary that was told before."""
+
+    vocabulary: np.ndarray
+    rows: list[np.ndarray]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+
+def train(toxic: list[np.ndarray] | Placed, unlabelled: list[np.ndarray] | Placed, prior: float) -> Model:
+    """toxic and unlabelled: the distinct word hashes of each document, or both placed in one vocabulary."""
+    if not isinstance(toxic, Placed):
+        vocabulary = _telling_words(toxic, unlabelled)
+        toxic, unlabelled = (Placed(vocabulary, [_numbers(vocabulary, row) for row in rows]) for rows in (toxic, unlabelled))
+    return _descend(toxic.vocabulary, toxic.rows, unlabelled.rows, prior)
 
 
 def _descend(vocabulary: np.ndarray, toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
@@ -228,7 +240,7 @@ def fit(
     rows = sorted((r.doc_id, r.toxic, r.only_toxic, bytes(r.places)) for r in rows)
     toxic = [np.frombuffer(raw, np.int32) for _, marked, _, raw in rows if marked]
     unlabelled = [np.frombuffer(raw, np.int32) for _, _, only, raw in rows if not only]
-    return _descend(vocabulary, toxic, unlabelled, min(share, 0.99))
+    return train(Placed(vocabulary, toxic), Placed(vocabulary, unlabelled), min(share, 0.99))
 
 
 def _sampled_vocabulary(held: DataFrame, toxic: int, unlabelled: int) -> np.ndarray:
