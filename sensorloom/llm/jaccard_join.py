@@ -545,11 +545,19 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     smallest id of a component, one stays.
     """
     placed = _placed(docs, width, percent, CELL_NODES).where("doc_id is not null and n_shingles > 0")
-    kept = placed.groupBy("place").agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
-    kept = kept.select(F.col("least.doc_id").alias("__llm_doc"), F.col("least.row_key").alias("__llm_row"))
+    row = F.struct("doc_id", "row_key")
+    several = placed.groupBy("place").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    several = frames.written(several.select("place", "least"), "several")
+    decided = placed.join(several, "place").select(
+        F.col("row_key").alias("__llm_row"), F.col("doc_id").alias("__llm_doc"), (row == F.col("least")).alias("__llm_least")
+    )
+    decided = frames.written(decided.distinct(), "decided")
     spoken = F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
     grouped = F.col("doc_id").isNotNull() & spoken
-    keyed = docs.where(grouped).withColumn("__llm_key", frames.row_key(F.col("doc_id").cast("long"), F.col("text")))
-    chosen = keyed.join(kept, (keyed["doc_id"] == kept["__llm_doc"]) & (keyed["__llm_key"] == kept["__llm_row"]))
-    chosen = chosen.dropDuplicates(["__llm_doc", "__llm_row"]).select(*docs.columns)
-    return chosen.unionByName(docs.where(~grouped))
+    key = F.when(grouped, frames.row_key(F.col("doc_id").cast("long"), F.col("text")))
+    keyed = frames.marked(docs.withColumn("__llm_key", key), F.col("__llm_key"), decided.select("__llm_row"), "__llm_held")
+    # only rows that may be one of several are shuffled with their texts
+    held = keyed.where("__llm_held")
+    same = (held["doc_id"] == decided["__llm_doc"]) & (held["__llm_key"] == decided["__llm_row"])
+    held = held.join(decided, same, "left").where(F.coalesce("__llm_least", F.lit(True))).dropDuplicates(["doc_id", "__llm_key"])
+    return keyed.where(~F.col("__llm_held")).select(*docs.columns).unionByName(held.select(*docs.columns))

@@ -189,3 +189,14 @@ def test_codes_of_sizes_ascend():
     assert (jaccard_join._least_of(codes) <= values).all()
     assert (jaccard_join._least_of(codes + np.uint64(1)) > values).all()
     assert np.array_equal(jaccard_join._least_of(codes[:5]), values[:5])
+
+
+def test_texts_of_single_documents_are_not_shuffled(corpus):
+    rows = chance_texts(200, 7) + [(900 + i, " ".join(words(50, i % 3))) for i in range(9)]
+    rows += [(900, rows[-9][1])] * 2  # the smallest id of a component three times
+    kept = jaccard_join.keep_one(corpus.documents(rows), 3, 80)
+    wanted = {c for _, _, c in brute(rows, 3, 80)}
+    assert by_id(kept) == sorted(((c,) for c in wanted), key=str)
+    plan = kept._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+    assert "Union" not in plan and "Aggregate [" not in plan.split("Join LeftOuter")[0]
+    assert plan.count("Join") == 1  # with the bitmap, which is broadcast
